@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatemill.functions.numbers import clip, polynomial
@@ -37,29 +37,32 @@ PPF_TAIL = 0.02425
 COPULA_NODES = 20
 
 
-def norm_pdf(x: Column) -> Column:
-    return F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
-
-
-def norm_cdf(x: Column) -> Column:
-    a = F.abs(x)
+def _upper_tail(a: Column) -> Column:
+    """P(Z > a) for a >= 0; `a` must be a plain column, it is repeated."""
     e = F.exp(-a * a / 2)
     centre = e * polynomial(a, CDF_NUM) / polynomial(a, CDF_DEN)
     frac = reduce(lambda f, k: a + F.lit(float(k)) / f, [4, 3, 2, 1], a + 0.65)
-    upper = F.when(a < CDF_SPLIT, centre).otherwise(e / frac / 2.506628274631)
-    upper = F.when(a > 37, F.lit(0.0)).otherwise(upper)
-    return F.when(x > 0, 1 - upper).otherwise(upper)
+    return F.when(a > 37, F.lit(0.0)).when(a < CDF_SPLIT, centre).otherwise(e / frac / 2.506628274631)
+
+
+def add_norm_cdf(df: DataFrame, out: str, x: Column) -> DataFrame:
+    """Adds Phi(x). The steps are separate projections on purpose: each refers to plain columns, so
+    the optimizer keeps them apart instead of multiplying the expression out."""
+    d = df.withColumn("_x", x).withColumn("_a", F.abs("_x")).withColumn("_u", _upper_tail(F.col("_a")))
+    return d.withColumn(out, F.when(F.col("_x") > 0, 1 - F.col("_u")).otherwise(F.col("_u"))).drop("_x", "_a", "_u")
 
 
-def norm_ppf(p: Column) -> Column:
-    """Acklam's approximation followed by one Newton step against norm_cdf."""
-    q = p - 0.5
-    r = q * q
-    mid = polynomial(r, PPF_A) * q / polynomial(r, PPF_B)
-    s = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
-    tail = polynomial(s, PPF_C) / polynomial(s, PPF_D)
-    x0 = (F.when(p < PPF_TAIL, tail).when(p > 1 - PPF_TAIL, -tail).otherwise(mid))
-    return x0 - (norm_cdf(x0) - p) / norm_pdf(x0)
+def add_norm_ppf(df: DataFrame, out: str, p: Column) -> DataFrame:
+    """Adds the normal quantile: Acklam's approximation, then one Newton step against Phi."""
+    c = F.col
+    d = df.withColumn("_p", p).withColumn("_q", c("_p") - 0.5)
+    d = d.withColumn("_r", c("_q") * c("_q")).withColumn("_s", F.sqrt(-2 * F.log(F.least(c("_p"), 1 - c("_p")))))
+    mid = polynomial(c("_r"), PPF_A) * c("_q") / polynomial(c("_r"), PPF_B)
+    tail = polynomial(c("_s"), PPF_C) / polynomial(c("_s"), PPF_D)
+    d = d.withColumn("_z", F.when(c("_p") < PPF_TAIL, tail).when(c("_p") > 1 - PPF_TAIL, -tail).otherwise(mid))
+    d = add_norm_cdf(d, "_f", c("_z"))
+    density = F.exp(-c("_z") * c("_z") / 2) / math.sqrt(2 * math.pi)
+    return d.withColumn(out, c("_z") - (c("_f") - c("_p")) / density).drop("_p", "_q", "_r", "_s", "_z", "_f")
 
 
 def logistic(x: Column) -> Column:
@@ -71,25 +74,26 @@ def logit(p: Column, eps: float = 1e-6) -> Column:
     return F.log(q / (1 - q))
 
 
-def copula_joint(p_a: Column, p_b: Column, rho: Column) -> Column:
-    """P(A and B) for two events with a Gaussian copula.
+def add_copula_joint(df: DataFrame, out: str, p_a: Column, p_b: Column, rho: Column) -> DataFrame:
+    """Adds P(A and B) for two events tied by a Gaussian copula.
 
     Phi2 = Phi(h)Phi(k) + (1/2pi) * integral over the angle 0..asin(rho), by Gauss-Legendre nodes
     (Drezner-Wesolowsky). rho = 0 gives the plain product.
     """
-    pa, pb = clip(p_a, 1e-6, 1 - 1e-6), clip(p_b, 1e-6, 1 - 1e-6)
-    h, k = norm_ppf(pa), norm_ppf(pb)
+    d = df.withColumns({"_pa": clip(p_a, 1e-6, 1 - 1e-6), "_pb": clip(p_b, 1e-6, 1 - 1e-6), "_t": F.asin(rho)})
+    d = add_norm_ppf(add_norm_ppf(d, "_h", F.col("_pa")), "_k", F.col("_pb"))
     nodes, weights = np.polynomial.legendre.leggauss(COPULA_NODES)
     grid = F.array(*[F.struct(F.lit(float((x + 1) / 2)).alias("x"), F.lit(float(w / 2)).alias("w"))
                      for x, w in zip(nodes, weights)])
-    top = F.asin(rho)
+    h, k, t = F.col("_h"), F.col("_k"), F.col("_t")
 
     def term(acc: Column, nw: Column) -> Column:
-        s = F.sin(top * nw["x"])
+        s = F.sin(t * nw["x"])
         return acc + nw["w"] * F.exp(-(h * h + k * k - 2 * h * k * s) / (2 * (1 - s * s)))
 
-    bump = top / (2 * math.pi) * F.aggregate(grid, F.lit(0.0), term)
-    return F.when(rho == 0, pa * pb).otherwise(pa * pb + bump)
+    bump = t / (2 * math.pi) * F.aggregate(grid, F.lit(0.0), term)
+    plain = F.col("_pa") * F.col("_pb")
+    return d.withColumn(out, F.when(t == 0, plain).otherwise(plain + bump)).drop("_pa", "_pb", "_h", "_k", "_t")
 
 
 def wilson_interval(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

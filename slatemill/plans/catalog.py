@@ -1,3 +1,3 @@
 """Importing the query modules fills the registry."""
-from slatemill.plans import q_market  # noqa: F401
+from slatemill.plans import q_history, q_market  # noqa: F401
 from slatemill.plans.registry import ORACLE, QUERIES  # noqa: F401
