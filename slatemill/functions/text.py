@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Accented letters folded to ASCII, and words that do not identify a club.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžčćđłńřťůěęąśźżğışœæø"
@@ -20,7 +21,7 @@ def fold_accents(s: Column) -> Column:
     return F.translate(F.lower(F.coalesce(s, F.lit(""))), ACCENTED, PLAIN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_accents_full(s: pd.Series) -> pd.Series:
     """Full Unicode decomposition, for names outside the table."""
     return s.fillna("").map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower())
@@ -53,7 +54,7 @@ def edit_ratio(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib ratio; called on distinct token pairs only."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")

@@ -35,12 +35,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 # ------------------------------------------------------------------ games
 CTES["games"] = ((), """
   SELECT *, home_pts + away_pts AS total, home_1h + away_1h AS first_half, home_pts + away_pts - home_1h - away_1h AS second_half,
-         line_close + ((game_key * 31) % 9 - 4) * 0.5 AS line_open, floor(line_close) / 2.0 AS line_2h,
-         home_spread_close + (game_key % 3 - 1) * 0.5 AS home_spread_open
+         line_close + ((game_key * 31) % 9 - 4) * 0.5e0 AS line_open, floor(line_close) / 2.0e0 AS line_2h,
+         home_spread_close + (game_key % 3 - 1) * 0.5e0 AS home_spread_open
   FROM (SELECT *, 80 + cents % 41 + home % 5 AS home_pts, 78 + (cents // 41) % 41 + away % 5 AS away_pts,
                36 + cents % 17 AS home_1h, 35 + (cents // 17) % 17 AS away_1h,
-               200 + ((game_key * 7919) % 21 - 10) * 0.5 + (home % 5 + away % 5) * 0.5 AS line_close,
-               ((game_key * 13) % 41 - 20) * 0.5 AS home_spread_close
+               200 + ((game_key * 7919) % 21 - 10) * 0.5e0 + (home % 5 + away % 5) * 0.5e0 AS line_close,
+               ((game_key * 13) % 41 - 20) * 0.5e0 AS home_spread_close
         FROM (SELECT o_orderkey AS game_key, CAST(o_orderdate AS DATE) AS date, CAST(year(o_orderdate) AS BIGINT) AS season,
                      o_custkey % 8 AS league, o_custkey % 96 AS home,
                      (o_custkey % 96 + 8 * (1 + o_orderkey % 11)) % 96 AS away,
@@ -91,7 +91,7 @@ CTES["box"] = (("games", "side_box"), """
          CASE WHEN x.side = 'home' THEN g.home_pts ELSE g.away_pts END AS pts,
          CASE WHEN x.side = 'home' THEN g.away_pts ELSE g.home_pts END AS pts_opp,
          """ + ", ".join(f"x.{s}, y.{s} AS {s}_opp" for s in STATS) + """,
-         0.5 * ((x.fga - x.oreb + x.tov + 0.44 * x.fta) + (y.fga - y.oreb + y.tov + 0.44 * y.fta)) AS poss
+         0.5e0 * ((x.fga - x.oreb + x.tov + 0.44e0 * x.fta) + (y.fga - y.oreb + y.tov + 0.44e0 * y.fta)) AS poss
   FROM games g JOIN side_box x USING (game_key) JOIN side_box y ON y.game_key = x.game_key AND y.side <> x.side""")
 
 
@@ -125,8 +125,8 @@ def box(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ book quotes of a game
 CTES["book_quotes"] = ((), """
-  SELECT game_key, book, q, d, t, 202 + ((game_key * 7919) % 21 - 10) * 0.5 + (q % 9 - 4) * 0.5 + CASE WHEN q % 23 = 0 THEN 7 ELSE 0 END AS open,
-         202 + ((game_key * 7919) % 21 - 10) * 0.5 + (q % 5 - 2) * 0.5 AS close,
+  SELECT game_key, book, q, d, t, 202 + ((game_key * 7919) % 21 - 10) * 0.5e0 + (q % 9 - 4) * 0.5e0 + CASE WHEN q % 23 = 0 THEN 7 ELSE 0 END AS open,
+         202 + ((game_key * 7919) % 21 - 10) * 0.5e0 + (q % 5 - 2) * 0.5e0 AS close,
          CASE WHEN q % 31 = 0 THEN 0 WHEN d = 0 THEN 100 + q ELSE -(100 + 2 * d) END AS open_over,
          CASE WHEN t = 0 THEN 100 + q % 7 ELSE -(100 + 3 * t) END AS open_under
   FROM (SELECT game_key, book, q, d, t FROM (
@@ -154,10 +154,10 @@ SOFT = ["click", "purchase", "signup", "error"]
 
 CTES["quotes"] = ((), """
   SELECT fixture_id, start, book, line, side, t, seq, active, incl_ot,
-         1.9 + (line - 152.5) * 0.04 * CASE WHEN side = 'over' THEN 1 ELSE -1 END + (v % 40) / 100.0 - 0.2 AS price
+         1.9e0 + (line - 152.5e0) * 0.04e0 * CASE WHEN side = 'over' THEN 1 ELSE -1 END + (v % 40) / 100.0e0 - 0.2e0 AS price
   FROM (SELECT user_id AS fixture_id, TIMESTAMP '2024-01-10 00:00:00' + (user_id % 480) * INTERVAL 1 HOUR AS start,
                event_type AS book, ts AS t, event_id AS seq, CAST(round(value * 100) AS BIGINT) AS v,
-               CASE k % 3 WHEN 0 THEN 150.5 WHEN 1 THEN 152.5 ELSE 155.0 END AS line,
+               CASE k % 3 WHEN 0 THEN 150.5e0 WHEN 1 THEN 152.5e0 ELSE 155.0e0 END AS line,
                CASE WHEN (k // 3) % 2 = 0 THEN 'over' ELSE 'under' END AS side, k % 10 <> 0 AS active, k % 7 <> 0 AS incl_ot
         FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))
   WHERE t < start""")
@@ -179,7 +179,7 @@ def quotes(spark: SparkSession, sf: str) -> DataFrame:
     return e.where(F.col("t") < F.col("start")).withColumn("price", price).drop("v")
 
 
-CTES["finals"] = ((), "SELECT DISTINCT user_id AS fixture_id, 140 + (user_id * 37) % 25 AS final, 148.0 + user_id % 9 AS model FROM events")
+CTES["finals"] = ((), "SELECT DISTINCT user_id AS fixture_id, 140 + (user_id * 37) % 25 AS final, 148.0e0 + user_id % 9 AS model FROM events")
 
 
 def finals(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,8 +190,8 @@ def finals(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ probability forecasts
 CTES["forecasts"] = ((), """
-  SELECT l.doc_id, d.lang, d.source, CAST(l.quality AS BIGINT) AS y, 0.05 + 0.9 * ((d.n_chars * 7919 + d.doc_id * 31) % 1000) / 1000.0 AS p,
-         0.5 AS p_base, d.doc_id % 40 AS day
+  SELECT l.doc_id, d.lang, d.source, CAST(l.quality AS BIGINT) AS y, 0.05e0 + 0.9e0 * ((d.n_chars * 7919 + d.doc_id * 31) % 1000) / 1000.0e0 AS p,
+         0.5e0 AS p_base, d.doc_id % 40 AS day
   FROM labels l JOIN documents d USING (doc_id)""")
 
 
@@ -207,10 +207,10 @@ def forecasts(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------ graded bets
 CTES["bets"] = (("games",), """
   SELECT *, CASE WHEN outcome = line THEN 0 WHEN (outcome - line) * side > 0 THEN 1 ELSE -1 END AS sign,
-         CASE WHEN outcome = line THEN 0.0 WHEN (outcome - line) * side > 0 THEN price - 1 ELSE -1.0 END AS pnl
+         CASE WHEN outcome = line THEN 0.0e0 WHEN (outcome - line) * side > 0 THEN price - 1 ELSE -1.0e0 END AS pnl
   FROM (SELECT game_key, league, season, date, home, away, line_open AS line, line_close, total AS outcome, ok_close,
-               CASE WHEN (game_key * 17) % 2 = 0 THEN 1 ELSE -1 END AS side, 0.45 + ((game_key * 7) % 41) / 200.0 AS p,
-               1.8 + ((game_key * 3) % 31) / 100.0 AS price, home_pts, away_pts, neutral
+               CASE WHEN (game_key * 17) % 2 = 0 THEN 1 ELSE -1 END AS side, 0.45e0 + ((game_key * 7) % 41) / 200.0e0 AS p,
+               1.8e0 + ((game_key * 3) % 31) / 100.0e0 AS price, home_pts, away_pts, neutral
         FROM games WHERE ok_open)""")
 
 
