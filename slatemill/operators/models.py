@@ -11,23 +11,28 @@ from slatemill.functions.probability import add_norm_cdf
 from slatemill.operators.running import grid_quantiles
 
 
-# ------------------------------------------------------------------ imputation
-def expand_to_later_seasons(df: DataFrame, season: str, later: DataFrame) -> DataFrame:
-    """Every row once per later season it may train. Only for statistics already reduced per season
-    and value; `later` is the short list of seasons."""
-    s = later.select(F.col(season).alias("for_season"))
-    seasons = s.agg(F.sort_array(F.collect_set("for_season")).alias("_all"))          # one row
-    j = df.join(F.broadcast(seasons))
+# ------------------------------------------------------------------ seasons
+def later_seasons(df: DataFrame, season: str) -> DataFrame:
+    """One row: the sorted list of seasons present."""
+    return df.select(season).distinct().agg(F.sort_array(F.collect_list(season)).alias("_all"))
+
+
+def expand_to_later_seasons(df: DataFrame, season: str, all_seasons: DataFrame) -> DataFrame:
+    """Each row once per later season it may train (`for_season`); `all_seasons` is a one-row list."""
+    j = df.join(F.broadcast(all_seasons))
     return j.withColumn("for_season", F.explode(F.filter("_all", lambda x: x > F.col(season)))).drop("_all")
 
 
+# ------------------------------------------------------------------ imputation
 def medians_of_earlier_seasons(df: DataFrame, season: str, cols: list[str]) -> DataFrame:
     """Exact median per column over all earlier seasons, keyed by the season it serves. Rows first
-    collapse to (season, value) counts; the distribution is ranked in chunks, never in one task."""
+    collapse to (season, value) counts; only counts are repeated for later seasons, and the
+    distribution is ranked in chunks, never in one task."""
     arr = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in cols])
     long = df.select(season, F.explode(arr).alias("x")).select(season, "x.*").where("v IS NOT NULL")
-    e = expand_to_later_seasons(long, season, df.select(season).distinct())
-    m = grid_quantiles(e, ["for_season", "col"], "v", 2).where("i = 1")
+    counts = long.groupBy(season, "col", "v").agg(F.count("*").alias("w"))
+    e = expand_to_later_seasons(counts, season, later_seasons(df, season))
+    m = grid_quantiles(e, ["for_season", "col"], "v", 2, weight="w").where("i = 1")
     return m.groupBy(F.col("for_season").alias(season)).agg(*[F.max(F.when(F.col("col") == c, F.col("q"))).alias(f"med_{c}") for c in cols])
 
 
@@ -46,3 +51,135 @@ def add_over_probability(df: DataFrame, mu: Column, line: Column, sd: Column) ->
     d = d.withColumn("p_push", F.when(whole, F.col("_hi") - F.col("_lo")).otherwise(0.0))
     p = (1 - F.col("_f")) / F.greatest(1 - F.col("p_push"), F.lit(1e-9))
     return d.withColumn("p_over", clip(p, 1e-4, 1 - 1e-4)).drop("_f", "_hi", "_lo")
+
+
+# ------------------------------------------------------------------ ridge from sufficient statistics
+def _design(feats: list[str], target: str) -> list[Column]:
+    """1, the target, each feature with 0 for missing, and each feature's missing flag."""
+    x = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in feats]
+    miss = [F.col(f).isNull().cast("double") for f in feats]
+    return [F.lit(1.0), F.col(target).cast("double"), *x, *miss]
+
+
+def cross_products(df: DataFrame, by: list[str], feats: list[str], target: str, weight: Column | None = None) -> DataFrame:
+    """Sums of all pairwise products of the design per group: everything a ridge fit needs, in one
+    map-side-combining pass. Missing flags are part of the design, so the sums stay valid whatever
+    value is imputed later."""
+    v = _design(feats, target)
+    w = F.lit(1.0) if weight is None else weight
+    sums = [F.sum(w * v[i] * v[j]) for i in range(len(v)) for j in range(i, len(v))]
+    return df.groupBy(*by).agg(F.array(*sums).alias("xx"))
+
+
+def solve_ridge(xx: np.ndarray, med: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
+    """Ridge on standardised features from packed cross products, missing values set to `med`."""
+    d = len(med)
+    m = 2 + 2 * d
+    full = np.zeros((m, m))
+    full[np.triu_indices(m)] = xx
+    full = full + np.triu(full, 1).T
+    t = np.zeros((2 + d, m))                     # maps the raw design to (1, y, imputed features)
+    t[0, 0] = t[1, 1] = 1
+    for j in range(d):
+        t[2 + j, 2 + j], t[2 + j, 2 + d + j] = 1, med[j]
+    s = t @ full @ t.T
+    n = s[0, 0]
+    mean = s[0, 2:] / n
+    cov = s[2:, 2:] / n - np.outer(mean, mean)
+    sd = np.sqrt(np.clip(np.diag(cov), 0, None))
+    sd = np.where(sd > 1e-12, sd, 1.0)
+    ybar = s[0, 1] / n
+    zz = n * cov / np.outer(sd, sd)
+    zy = n * (s[1, 2:] / n - mean * ybar) / sd
+    coef = np.linalg.solve(zz + alpha * np.eye(d), zy) if d else np.zeros(0)
+    y_sd = float(np.sqrt(max(s[1, 1] / n - ybar * ybar, 0.0)))
+    return coef, mean, sd, float(ybar), y_sd
+
+
+def ridge_coefficients(stats: DataFrame, key: str, meds: DataFrame, feats: list[str], alpha: float) -> DataFrame:
+    """Coefficient table (one row per season): coef, mean, sd arrays, intercept, target sd."""
+    @F.pandas_udf("struct<coef array<double>, mean array<double>, sd array<double>, intercept double, y_sd double>")
+    def fit(xx: pd.Series, med: pd.Series) -> pd.DataFrame:
+        rows = [solve_ridge(np.asarray(a, float), np.asarray(b, float), alpha) for a, b in zip(xx, med)]
+        return pd.DataFrame({"coef": [r[0].tolist() for r in rows], "mean": [r[1].tolist() for r in rows],
+                             "sd": [r[2].tolist() for r in rows], "intercept": [r[3] for r in rows], "y_sd": [r[4] for r in rows]})
+
+    med = F.array(*[F.coalesce(F.col(f"med_{f}"), F.lit(0.0)) for f in feats]) if feats else F.expr("cast(array() as array<double>)")
+    j = stats.join(meds, key, "left") if feats else stats
+    return j.withColumn("med", med).withColumn("m", fit("xx", "med")).select(key, "med", "m.*")
+
+
+def linear_prediction(feats: list[str]) -> Column:
+    """intercept + sum coef * (x - mean) / sd, missing features at their training median."""
+    out: Column = F.col("intercept")
+    for i, f in enumerate(feats):
+        x = F.coalesce(F.col(f).cast("double"), F.col("med")[i])
+        out = out + F.col("coef")[i] * (x - F.col("mean")[i]) / F.col("sd")[i]
+    return out
+
+
+def earlier_sums(stats: DataFrame, season: str) -> DataFrame:
+    """Add up the packed sums of all earlier seasons (one short row per season)."""
+    e = expand_to_later_seasons(stats, season, later_seasons(stats, season))
+    pos = e.select("for_season", F.posexplode("xx").alias("i", "v")).groupBy("for_season", "i").agg(F.sum("v").alias("v"))
+    packed = pos.groupBy(F.col("for_season").alias(season)).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("p"))
+    return packed.select(season, F.transform("p", lambda s: s["v"]).alias("xx"))
+
+
+def contribution_columns(feats: list[str]) -> dict[str, Column]:
+    """Each feature's push on the forecast relative to its training median."""
+    return {f"c_{f}": F.col("coef")[i] * (F.coalesce(F.col(f).cast("double"), F.col("med")[i]) - F.col("med")[i]) / F.col("sd")[i]
+            for i, f in enumerate(feats)}
+
+
+def fit_mean_models(train: DataFrame, feats: list[str], target: str = "resid", alpha: float = 50.0) -> DataFrame:
+    """Per season, the ridge fitted on all earlier seasons: one scan serves every refit."""
+    stats = earlier_sums(cross_products(train, ["season"], feats, target), "season")
+    meds = medians_of_earlier_seasons(train, "season", feats) if feats else None
+    return ridge_coefficients(stats, "season", meds, feats, alpha)
+
+
+def walk_forward(df: DataFrame, mean_feats: list[str], var_feats: list[str], alpha: float = 50.0,
+                 min_train: int = 2) -> DataFrame:
+    """Train on seasons < s, predict s: mean and spread of the residual, and the market-only
+    reference. df needs season, resid, eligible and the features.
+
+    Means come from summed cross products. The spread model's target depends on each refit, so
+    training rows are paired with the (few) later seasons they serve inside the map stage and reduce
+    to cross products again before any shuffle.
+    """
+    train = df.where("eligible")
+    mean_m = fit_mean_models(train, mean_feats, "resid", alpha)
+    mkt = ridge_coefficients(earlier_sums(cross_products(train, ["season"], [], "resid"), "season"), "season", None, [], alpha)
+    order = Window.partitionBy().orderBy("season")
+    rank = df.select("season").distinct().withColumn("_i", F.row_number().over(order) - 1)          # one row per season
+    allowed = rank.where(F.col("_i") >= min_train).drop("_i")
+    mean_m = mean_m.join(allowed, "season", "left_semi")
+    b = F.broadcast(mean_m.withColumnRenamed("season", "for_season"))        # one row per season
+    res = train.join(b, F.col("season") < F.col("for_season")).withColumn("_res", F.col("resid") - linear_prediction(mean_feats))
+    base = ["med", "coef", "mean", "sd", "intercept", "y_sd"]
+    res = res.drop(*base).withColumn("_log", F.log(F.col("_res") * F.col("_res") + 1))
+    vstats = cross_products(res, ["for_season"], var_feats, "_log").withColumnRenamed("for_season", "season")
+    vmeds = medians_of_earlier_seasons(train, "season", var_feats)
+    var_m = ridge_coefficients(vstats, "season", vmeds, var_feats, alpha)
+    vb = F.broadcast(var_m.withColumnRenamed("season", "for_season"))        # one row per season
+    scale = (res.join(vb, "for_season").withColumn("_raw", F.exp(linear_prediction(var_feats)))
+             .groupBy(F.col("for_season").alias("season")).agg(F.sqrt(F.avg(F.col("_res") * F.col("_res") / F.col("_raw"))).alias("_scale")))
+    p = df.join(F.broadcast(mean_m), "season").withColumn("mu", linear_prediction(mean_feats)).drop(*base)
+    p = p.join(F.broadcast(var_m), "season").withColumn("_raw", F.exp(linear_prediction(var_feats))).drop(*base)
+    p = p.join(F.broadcast(scale), "season").withColumn("sd", F.sqrt("_raw") * F.col("_scale")).drop("_raw", "_scale")
+    m = mkt.select("season", F.col("intercept").alias("mu_mkt"), F.col("y_sd").alias("sd_mkt"))
+    return p.join(F.broadcast(m), "season")
+
+
+# ------------------------------------------------------------------ residual shape
+def student_t_df(z: DataFrame, by: list[str], col: str, grid: list[float]) -> DataFrame:
+    """Degrees of freedom of a unit-scale t by likelihood over a grid: one pass, one sum per value.
+    Constants of the density come from lgamma on the (short) grid."""
+    import math
+
+    logs = [F.sum(F.lit(math.lgamma((v + 1) / 2) - math.lgamma(v / 2) - 0.5 * math.log(v * math.pi))
+                  - F.lit((v + 1) / 2) * F.log1p(F.col(col) * F.col(col) / v)) for v in grid]
+    pick = F.array(*[F.struct(s.alias("ll"), F.lit(v).alias("df")) for s, v in zip(logs, grid)])
+    g = z.groupBy(*by).agg(F.array_max(pick).alias("best"))
+    return g.select(*by, F.col("best.df").alias("t_df"), F.col("best.ll").alias("log_likelihood"))

@@ -56,10 +56,12 @@ def longest_run(df: DataFrame, keys: list[str], chunk: Column, order: list[str],
     return runs.groupBy(*keys).agg(F.max("_len").alias(name))
 
 
-def value_ranks(df: DataFrame, keys: list[str], col: str, bins: int = 512) -> DataFrame:
+def value_ranks(df: DataFrame, keys: list[str], col: str, bins: int = 512, weight: str | None = None) -> DataFrame:
     """One row per distinct value: how many rows hold it (`n`) and how many are <= it (`cum`),
-    with the group size `size`. Duplicates collapse map-side before anything is ordered."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    with the group size `size`. Duplicates collapse map-side before anything is ordered. `weight`
+    is a row count already reduced by the caller."""
+    n = F.count("*") if weight is None else F.sum(weight)
+    counts = df.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("v")).agg(n.alias("n"))
     span = counts.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.sum("n").alias("size"))
     width = F.when(F.col("_hi") > F.col("_lo"), (F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
     c = counts.join(span, keys) if keys else counts.join(F.broadcast(span))   # no keys: one row
@@ -67,9 +69,9 @@ def value_ranks(df: DataFrame, keys: list[str], col: str, bins: int = 512) -> Da
     return out.select(*keys, "v", "n", F.col("cum").cast("long").alias("cum"), F.col("size"))
 
 
-def grid_quantiles(df: DataFrame, keys: list[str], col: str, steps: int) -> DataFrame:
+def grid_quantiles(df: DataFrame, keys: list[str], col: str, steps: int, weight: str | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles 0, 1/steps, .., 1 per group: rows (keys, i, q)."""
-    r = value_ranks(df, keys, col)
+    r = value_ranks(df, keys, col, weight=weight)
     last = F.col("size") - 1
     first_rank, last_rank = F.col("cum") - F.col("n"), F.col("cum") - 1
     lo_i = F.greatest(F.lit(0), F.ceil((first_rank - 1) * steps / F.greatest(last, F.lit(1))) - 1)
@@ -90,3 +92,21 @@ def quantile_edges(df: DataFrame, keys: list[str], col: str, steps: int) -> Data
     """Distinct bin edges per group as a sorted array (duplicate edges dropped)."""
     g = grid_quantiles(df, keys, col, steps)
     return g.groupBy(*keys).agg(F.array_sort(F.collect_set("q")).alias("edges"))
+
+
+def counts_below(hist: DataFrame, asks: DataFrame, keys: list[str], x: str, value: str, bins: int = 512) -> DataFrame:
+    """For every ask (keys, id, x, closed): how many history rows lie below x (at or below it when
+    `closed`) and the sum of their `value`: rows (keys, id, below, below_value). History and asks
+    share one axis in [0, 1], cut into `bins` chunks, and a chunked running sum answers all asks."""
+    h = hist.groupBy(*keys, F.col(x).alias("x")).agg(F.count("*").cast("double").alias("n"), F.sum(value).cast("double").alias("w"))
+    points = h.select(*keys, "x", F.lit(1).alias("pos"), "n", "w", F.lit(None).cast("string").alias("id"))
+    q = asks.select(*keys, F.col(x).alias("x"), F.when(F.col("closed"), 2).otherwise(0).alias("pos"),
+                    F.lit(0.0).alias("n"), F.lit(0.0).alias("w"), F.col("id").cast("string").alias("id"))
+    axis = points.unionByName(q).withColumn("_chunk", F.floor(F.least(F.greatest("x", F.lit(0.0)), F.lit(1.0)) * bins))
+    sums = axis.groupBy(*keys, "_chunk").agg(F.sum("n").alias("tn"), F.sum("w").alias("tw"))
+    base = sums.select(*keys, "_chunk", F.coalesce(F.sum("tn").over(_earlier(keys)), F.lit(0.0)).alias("bn"),
+                       F.coalesce(F.sum("tw").over(_earlier(keys)), F.lit(0.0)).alias("bw"))
+    w = _inside(keys, ["x", "pos"])
+    local = axis.withColumn("ln", F.sum("n").over(w)).withColumn("lw", F.sum("w").over(w)).where(F.col("id").isNotNull())
+    return local.join(base, keys + ["_chunk"]).select(
+        *keys, "id", (F.col("bn") + F.col("ln")).cast("long").alias("below"), (F.col("bw") + F.col("lw")).alias("below_value"))
