@@ -1,3 +1,3 @@
 """Importing the query modules fills the registry."""
-from slatemill.plans import q_history, q_joins, q_market, q_metrics, q_tables  # noqa: F401
+from slatemill.plans import q_history, q_joins, q_market, q_metrics, q_models, q_tables  # noqa: F401
 from slatemill.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -74,13 +74,13 @@ def majority_id(spark, sf):
 
 
 # Fixtures are orders named after two parts; the feed writes the names differently
-CTES["named"] = (("games",), """SELECT g.game_key, g.date, a.p_name || ' club' || chr(CAST(97 + g.home % 26 AS INTEGER)) || chr(CAST(97 + g.home % 7 AS INTEGER)) || 'ton' AS home_name,
-  b.p_name || ' club' || chr(CAST(97 + g.away % 26 AS INTEGER)) || chr(CAST(97 + g.away % 7 AS INTEGER)) || 'ton' AS away_name FROM games g JOIN part a ON a.p_partkey = g.home JOIN part b ON b.p_partkey = g.away""")
+CTES["named"] = (("games",), """SELECT g.game_key, g.date, a.p_name || ' club ' || repeat(chr(CAST(97 + g.home % 26 AS INTEGER)), 3) || repeat(chr(CAST(97 + g.home % 7 AS INTEGER)), 3) AS home_name,
+  b.p_name || ' club ' || repeat(chr(CAST(97 + g.away % 26 AS INTEGER)), 3) || repeat(chr(CAST(97 + g.away % 7 AS INTEGER)), 3) AS away_name FROM games g JOIN part a ON a.p_partkey = g.home JOIN part b ON b.p_partkey = g.away""")
 
 
 def named(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_name")
-    tail = lambda c: F.concat(F.lit(" club"), F.char(97 + F.col(c) % 26), F.char(97 + F.col(c) % 7), F.lit("ton"))
+    tail = lambda c: F.concat(F.lit(" club "), F.repeat(F.char(97 + F.col(c) % 26), F.lit(3)), F.repeat(F.char(97 + F.col(c) % 7), F.lit(3)))
     g = games(spark, sf).select("game_key", "date", "home", "away")
     g = g.join(p.select(F.col("p_partkey").alias("home"), F.col("p_name").alias("hn")), "home").join(p.select(F.col("p_partkey").alias("away"), F.col("p_name").alias("an")), "away")
     return g.select("game_key", "date", F.concat("hn", tail("home")).alias("home_name"), F.concat("an", tail("away")).alias("away_name"))
@@ -119,10 +119,10 @@ def fuzzy_fixtures_matcher(spark, sf):
 
 @query("resolve_names")
 def resolve_names(spark, sf):
-    """Customer segments misspelt by one letter resolved against nation-coded club names."""
+    """Club names written with a stray last letter, resolved against the known ones."""
     n = named(spark, sf)
     known = n.select(F.col("home_name").alias("name"), F.col("home_name").alias("key"))
-    return resolve.resolve_names(n.select(F.regexp_replace("home_name", "ton$", "tan").alias("name")), known)
+    return resolve.resolve_names(n.select(F.regexp_replace("home_name", "(.)$", "$1q").alias("name")), known)
 
 
 # J14
