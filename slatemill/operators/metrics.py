@@ -140,32 +140,58 @@ def signal_leads(screen: DataFrame, era: str, discovery: str, validation: str) -
 
 
 # ------------------------------------------------------------------ same-slate dependence without pairs
-def pair_dependence(df: DataFrame, keys: list[str], slate: str, x: str, z: str) -> DataFrame:
-    """Correlations over all unordered pairs of a slate, without forming a pair.
+def slate_sums(df: DataFrame, keys: list[str], slate: str, x: str, z: str) -> DataFrame:
+    """One row per slate with what its pair statistics need.
 
     With S = sum and Q = sum of squares of a slate of n, the sum over pairs of x_i x_j is
     (S^2 - Q) / 2, and with both orders of a pair counted the two margins are the same: their sum is
-    (n - 1) S and their sum of squares (n - 1) Q. So one row per slate carries everything.
+    (n - 1) S and their sum of squares (n - 1) Q. So no pair is ever formed.
     """
     s = df.groupBy(*keys, slate).agg(
         F.count("*").cast("double").alias("n"), F.sum(x).cast("double").alias("sx"), F.sum(F.col(x) * F.col(x)).cast("double").alias("qx"),
         F.sum(z).alias("sz"), F.sum(F.col(z) * F.col(z)).alias("qz")).where("n >= 2")
     n = F.col("n")
-    g = s.groupBy(*keys).agg(
-        F.sum(n * (n - 1) / 2).alias("pairs"), F.count("*").alias("slates"),
-        F.sum((F.col("sx") ** 2 - F.col("qx")) / 2).alias("cx"), F.sum((n - 1) * F.col("sx") / 2).alias("mx"), F.sum((n - 1) * F.col("qx") / 2).alias("vx"),
-        F.sum((F.col("sz") ** 2 - F.col("qz")) / 2).alias("cz"), F.sum((n - 1) * F.col("sz") / 2).alias("mz"), F.sum((n - 1) * F.col("qz") / 2).alias("vz"))
-    m = F.col("pairs")
-
-    def corr(t: str) -> Column:
-        mean = F.col(f"m{t}") / m
-        return (F.col(f"c{t}") / m - mean * mean) / (F.col(f"v{t}") / m - mean * mean)
-
-    joint, mean = F.col("cx") / m, F.col("mx") / m
-    return g.select(*keys, m.cast("long").alias("pairs"), "slates", corr("x").alias("over_corr"), corr("z").alias("z_corr"),
+    half = {"m": n * (n - 1) / 2}
+    for t in ("x", "z"):
+        half |= {f"c{t}": (F.col(f"s{t}") ** 2 - F.col(f"q{t}")) / 2, f"m{t}": (n - 1) * F.col(f"s{t}") / 2, f"v{t}": (n - 1) * F.col(f"q{t}") / 2}
+    return s.select(*keys, slate, *[c.alias(k) for k, c in half.items()])
+
+
+def _pair_corr(t: str) -> Column:
+    mean = F.col(f"m{t}") / F.col("m")
+    return (F.col(f"c{t}") / F.col("m") - mean * mean) / (F.col(f"v{t}") / F.col("m") - mean * mean)
+
+
+PAIR_SUMS = ["m", "cx", "mx", "vx", "cz", "mz", "vz"]
+
+
+def pair_dependence(df: DataFrame, keys: list[str], slate: str, x: str, z: str) -> DataFrame:
+    """Correlations of outcomes and errors over all unordered same-slate pairs."""
+    g = slate_sums(df, keys, slate, x, z).groupBy(*keys).agg(F.count("*").alias("slates"), *[F.sum(c).alias(c) for c in PAIR_SUMS])
+    joint, mean = F.col("cx") / F.col("m"), F.col("mx") / F.col("m")
+    return g.select(*keys, F.col("m").cast("long").alias("pairs"), "slates", _pair_corr("x").alias("over_corr"), _pair_corr("z").alias("z_corr"),
                     joint.alias("joint_rate"), (joint - mean * mean).alias("joint_minus_product"))
 
 
+def earlier_season_dependence(df: DataFrame, season: str, slate: str, x: str, z: str, n_boot: int = 200, seed: int = 0,
+                              min_pairs: int = 2000, fallback: tuple[float, float] = (0.0, -0.05)) -> DataFrame:
+    """Per season, error correlation over earlier seasons' slates with its bootstrap 2.5% bound; too
+    little history falls back to a cautious pair. Slates, not rows, are resampled."""
+    from slatemill.operators.models import expand_to_later_seasons, later_seasons
+
+    s = expand_to_later_seasons(slate_sums(df, [season], slate, x, z), season, later_seasons(df, season))
+    s = s.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(n_boot - 1))))
+    w = F.when(F.col("rep") < 0, F.lit(1)).otherwise(poisson_weight(seed, F.col("rep"), F.col(slate).cast("string")))
+    g = s.withColumn("w", w).groupBy("for_season", "rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in PAIR_SUMS])
+    r = g.select("for_season", "rep", "m", _pair_corr("z").alias("r"))
+    b = r.groupBy(F.col("for_season").alias(season)).agg(
+        F.max(F.when(F.col("rep") < 0, F.col("r"))).alias("rho"), F.max(F.when(F.col("rep") < 0, F.col("m"))).alias("pairs"),
+        F.percentile(F.when(F.col("rep") >= 0, F.col("r")), F.lit(0.025)).alias("rho_lo"))
+    ok = F.col("pairs") >= min_pairs
+    out = df.select(season).distinct().join(b, season, "left")
+    return out.select(season, F.when(ok, F.col("rho")).otherwise(fallback[0]).alias("rho"), F.when(ok, F.col("rho_lo")).otherwise(fallback[1]).alias("rho_lo"))
+
+
 # ------------------------------------------------------------------ table fingerprint
 def fingerprint(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Order-free content hash and row count per key."""
