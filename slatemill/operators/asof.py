@@ -1,8 +1,9 @@
 """Price boards: the state of an append-only quote log at a moment.
 
 The log records changes only, so the price in force is the last update at or before the moment.
-`max_by` aggregates map-side, so a fixture with a third of all updates costs one partial row per
-task, and no update history is ever sorted or collected.
+`max_by` on plain numbers aggregates in a hash map on the map side, so a fixture with a third of all
+updates costs one partial row per task, and no update history is ever sorted or collected. `seq` is
+the log order (time, then arrival); a source without one uses unix_micros(t).
 """
 from __future__ import annotations
 
@@ -12,18 +13,13 @@ from pyspark.sql import functions as F
 CELL = ["fixture_id", "book", "line", "side"]
 
 
-def _order() -> Column:
-    return F.struct("t", "seq")
-
-
 def board_at(quotes: DataFrame, when: DataFrame, cell: list[str] = CELL, extra: list[str] | None = None) -> DataFrame:
     """Quotes in force at `when` (fixture_id, when[, extra keys such as the decision name]);
     cells whose last update was inactive are not offered."""
     extra = extra or []
     q = quotes.join(when, "fixture_id").where(F.col("t") <= F.col("when"))
-    last = q.groupBy(*extra, *cell).agg(F.max_by(F.struct("t", "price", "active"), _order()).alias("u"))
-    return (last.where(F.col("u.active") & (F.col("u.price") > 1))
-            .select(*extra, *cell, F.col("u.t").alias("t"), F.col("u.price").alias("price")))
+    last = q.groupBy(*extra, *cell).agg(F.max("t").alias("t"), F.max_by("price", "seq").alias("price"), F.max_by("active", "seq").alias("active"))
+    return last.where(F.col("active") & (F.col("price") > 1)).drop("active")
 
 
 def next_change(board: DataFrame, quotes: DataFrame, when: DataFrame) -> DataFrame:
@@ -40,28 +36,28 @@ def close_board(quotes: DataFrame, tolerance_minutes: float = 30) -> DataFrame:
     book's last update on the fixture (books suspend everything just before the start)."""
     live = F.col("active") & (F.col("price") > 1)
     cells = quotes.groupBy(*CELL).agg(
-        F.max("t").alias("last_t"), F.max_by("active", _order()).alias("last_active"),
-        F.max_by(F.when(live, F.struct("t", "price")), F.when(live, _order())).alias("u"))
+        F.max("t").alias("last_t"), F.max_by("active", "seq").alias("last_active"),
+        F.max(F.when(live, F.col("t"))).alias("t"), F.max_by("price", F.when(live, F.col("seq"))).alias("price"))
     end = cells.groupBy("fixture_id", "book").agg(F.max("last_t").alias("end_t"))
     gap = (F.col("end_t").cast("double") - F.col("last_t").cast("double")) / 60
     return (cells.join(end, ["fixture_id", "book"])
-            .where((F.col("last_active") | (gap <= tolerance_minutes)) & F.col("u").isNotNull())
-            .select(*CELL, F.col("u.t").alias("t"), F.col("u.price").alias("price")))
+            .where((F.col("last_active") | (gap <= tolerance_minutes)) & F.col("t").isNotNull())
+            .select(*CELL, "t", "price"))
 
 
 def open_close_ladder(quotes: DataFrame, tolerance_minutes: float = 30) -> DataFrame:
     """First and last active price per cell, with whether the cell was still offered at the close."""
     live = F.col("active") & F.col("price").isNotNull()
-    up = F.struct("t", "price")
+    when_live = lambda c: F.when(live, F.col(c))
     cells = quotes.groupBy(*CELL).agg(
-        F.min_by(F.when(live, up), F.when(live, _order())).alias("o"), F.max_by(F.when(live, up), F.when(live, _order())).alias("c"),
-        F.max("t").alias("last_t"), F.max_by("active", _order()).alias("last_active"))
-    cells = cells.where(F.col("o").isNotNull())
+        F.min(when_live("t")).alias("open_t"), F.min_by("price", when_live("seq")).alias("open_price"),
+        F.max(when_live("t")).alias("close_t"), F.max_by("price", when_live("seq")).alias("close_price"),
+        F.max("t").alias("last_t"), F.max_by("active", "seq").alias("last_active"))
+    cells = cells.where(F.col("open_t").isNotNull())
     end = cells.groupBy("fixture_id", "book").agg(F.max("last_t").alias("end_t"))
     gap = (F.col("end_t").cast("double") - F.col("last_t").cast("double")) / 60
     return cells.join(end, ["fixture_id", "book"]).select(
-        *CELL, F.col("o.price").alias("open_price"), F.col("o.t").alias("open_t"), F.col("c.price").alias("close_price"),
-        F.col("c.t").alias("close_t"), (F.col("last_active") | (gap <= tolerance_minutes)).alias("close_active"))
+        *CELL, "open_price", "open_t", "close_price", "close_t", (F.col("last_active") | (gap <= tolerance_minutes)).alias("close_active"))
 
 
 def prefer_overtime_lines(ladder: DataFrame) -> DataFrame:

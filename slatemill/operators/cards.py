@@ -10,6 +10,7 @@ from slatemill.functions.numbers import effective_threshold, half_point_threshol
 from slatemill.functions.odds import double_profit
 from slatemill.functions.probability import add_copula_joint
 from slatemill.operators.calibrate import add_latent_probability
+from slatemill.session import cut_lineage
 
 # Default price of a main leg without a real quote, and the flat -110 price used by slates.
 MAIN_PRICE = 1.909
@@ -93,12 +94,12 @@ LEG = ["game_key", "side", "k", "main", "thr", "odds", "p", "p_cons", "win", "pu
 
 
 def top_legs(options: DataFrame, score: Column, n: int) -> DataFrame:
-    """The n best (game, side) legs of each date by their best option, ties to the larger game key.
-    This limit is the card rule itself; it also bounds the pair join to n^2 per date."""
+    """The n best (game, side) legs of each date by their best option, ties to the larger game key;
+    `leg` is the rank. This limit is the card rule itself; it also bounds the pair join to n^2 per date."""
     best = options.groupBy("date", "game_key", "side").agg(F.max(score).alias("_s")).where(F.col("_s").isNotNull())
     w = Window.partitionBy("date").orderBy(F.col("_s").desc(), F.col("game_key").desc(), F.col("side").asc())
-    keep = best.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_s", "_r")
-    return options.join(keep, ["date", "game_key", "side"], "left_semi")
+    keep = best.withColumn("leg", F.row_number().over(w)).where(F.col("leg") <= n).drop("_s")
+    return options.join(keep, ["date", "game_key", "side"])
 
 
 def undominated(options: DataFrame, first: str, second: str) -> DataFrame:
@@ -115,6 +116,24 @@ def leg_pairs(options: DataFrame, cols: list[str]) -> DataFrame:
     return tag("a").join(tag("b").drop("season"), "date").where(F.col("game_key_a") < F.col("game_key_b"))
 
 
+def best_option_pair(options: DataFrame, needs: list[str], ok: Column, score: Column, detail: list[str]) -> DataFrame:
+    """The date's best pair of options among those where `ok` holds, with both legs' `detail`.
+
+    Every option carries a small id (`leg` rank and `opt` position), so the search aggregates plain
+    numbers (hash aggregation, no sorting of wide rows): first the best score of each date, then the
+    lowest pair id reaching it. The two winners fetch their details by id.
+    """
+    # read six times below, so the short list is written once instead of repricing every leg
+    o = cut_lineage(options.withColumn("oid", F.col("leg") * 64 + F.col("opt")))
+    x = leg_pairs(o.select("date", "season", "game_key", "oid", *needs), ["game_key", "oid", *needs]).where(ok).withColumn("_v", score)
+    top = x.groupBy("date").agg(F.max("_v").alias("_top"))
+    pid = F.col("oid_a") * 65536 + F.col("oid_b")
+    pick = x.join(top, "date").where(F.col("_v") == F.col("_top")).groupBy("date").agg(F.min(pid).alias("pid"), F.max("_v").alias("score"))
+    pick = pick.select("date", "score", F.expr("pid div 65536").alias("oid_a"), (F.col("pid") % 65536).alias("oid_b"))
+    side = lambda s, more: o.select("date", *more, F.col("oid").alias(f"oid_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in detail])
+    return pick.join(side("a", ["season"]), ["date", "oid_a"]).join(side("b", []), ["date", "oid_b"]).drop("oid_a", "oid_b")
+
+
 def buffered_cards(cube: DataFrame, target: float = 0.60, margin: float = 0.0455, legs: int = 14, rho_lo: float = 0.0,
                    max_buffer: float | None = None, value_gate: bool = False) -> DataFrame:
     """One card per date: the pair of legs and buffers with the highest value subject to a joint
@@ -124,17 +143,14 @@ def buffered_cards(cube: DataFrame, target: float = 0.60, margin: float = 0.0455
         c = c.where(F.col("k") <= max_buffer)
     price = lambda p: (1 - margin) / F.greatest(F.least(F.col(p), F.lit(1.0)), F.lit(1e-3))
     c = c.select("date", "season", "game_key", "side", "k", "thr", "win", "p", "p_cons", "p_mkt", price("p_mkt").alias("odds"), price("p_mkt_close").alias("odds_close"))
-    c = c.withColumn("val", F.col("p") * F.col("odds"))
+    c = c.withColumns({"val": F.col("p") * F.col("odds"), "opt": (F.col("k") * 2).cast("int")})
     c = top_legs(c, F.when(F.col("p_cons") >= math.sqrt(target), F.col("val")), legs)
     if rho_lo == 0.0:
         c = undominated(c.where(F.col("p_cons") >= target), "p_cons", "val")
-    cols = ["game_key", "side", "k", "thr", "win", "p", "p_cons", "p_mkt", "odds", "odds_close", "val"]
-    x = leg_pairs(c, cols)
     a, b = F.col("p_cons_a"), F.col("p_cons_b")
     joint = a * b if rho_lo == 0.0 else a * b + rho_lo * F.sqrt(a * (1 - a) * b * (1 - b))
-    ok = joint >= target
-    order = F.struct((F.col("val_a") * F.col("val_b")).alias("v"), (-F.col("game_key_a")).alias("a"), (-F.col("game_key_b")).alias("b"))
-    best = x.where(ok).groupBy("date").agg(F.max_by(F.struct(*[c for c in x.columns if c != "date"]), order).alias("m")).select("date", "m.*")
+    detail = ["game_key", "side", "k", "thr", "win", "p", "p_cons", "p_mkt", "odds", "odds_close", "val"]
+    best = best_option_pair(c, ["p_cons", "val"], joint >= target, F.col("val_a") * F.col("val_b"), detail)
     won = F.col("win_a") & F.col("win_b")
     r = best.withColumns({"ev": F.col("val_a") * F.col("val_b") - 1, "joint_model": F.col("p_a") * F.col("p_b"), "joint_cons": a * b,
                           "joint_mkt": F.col("p_mkt_a") * F.col("p_mkt_b"), "card_win": won,
@@ -153,10 +169,10 @@ def odds_cards(ladder: DataFrame, floor: float = 2.5, legs: int = 16, band: tupl
     if band is not None:
         d = d.where(F.col("odds").between(*band))
     d = d.withColumns({"vc": F.col("p_cons") * F.col("odds"), "vm": F.col("p") * F.col("odds")})
-    d = top_legs(d, F.col("vc"), legs).select("date", "season", *LEG, "settle", "vc", "vm")
+    d = d.withColumn("opt", F.when(F.col("main"), 0).otherwise(F.col("k") + 7))
+    d = top_legs(d, F.col("vc"), legs).select("date", "season", "leg", "opt", *LEG, "settle", "vc", "vm")
     if cap is None and objective == "ev":
         d = undominated(d, "odds", "vc")
-    x = leg_pairs(d, LEG + ["settle", "vc", "vm"])
     combo = F.col("odds_a") * F.col("odds_b")
     evc = F.col("vc_a") * F.col("vc_b")
     ok = combo >= floor
@@ -165,8 +181,7 @@ def odds_cards(ladder: DataFrame, floor: float = 2.5, legs: int = 16, band: tupl
     score = evc
     if objective == "joint":
         ok, score = ok & (evc > 1), F.col("p_cons_a") * F.col("p_cons_b")
-    order = F.struct(score.alias("v"), (-F.col("game_key_a")).alias("a"), (-F.col("game_key_b")).alias("b"), F.col("thr_a"), F.col("thr_b"))
-    best = x.where(ok).groupBy("date").agg(F.max_by(F.struct(*[c for c in x.columns if c != "date"]), order).alias("m")).select("date", "m.*")
+    best = best_option_pair(d, ["odds", "vc", "p_cons"], ok, score, LEG + ["settle", "vc", "vm"])
     best = best.withColumns({"ev_cons": F.col("vc_a") * F.col("vc_b") - 1, "ev_model": F.col("vm_a") * F.col("vm_b") - 1})
     if not force:
         best = best.where((F.col("ev_cons") if gate == "conservative" else F.col("ev_model")) > 0)

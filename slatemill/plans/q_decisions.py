@@ -145,11 +145,11 @@ def odds_cards_joint(spark, sf):
 # D6, A9 per earlier season
 def slate_preds(spark, sf):
     k = F.col("game_key")
-    return bets(spark, sf).select("game_key", "season", "date", (0.5 + (k * 37 % 211) / 800.0).alias("p_cal"), (0.46 + (k * 37 % 211) / 800.0 + (k % 13) / 500.0).alias("p_cons"),
+    return bets(spark, sf).select("game_key", "season", "date", (0.5 + (k * 37 % 211) / 797.0 + (k % 9973) / 1e7).alias("p_cal"), (0.46 + (k * 37 % 211) / 797.0 + (k % 13) / 500.0).alias("p_cons"),
                                   "line", (F.col("line") + 2).alias("proj_total"), F.col("outcome").alias("total"), F.lit(True).alias("calibrated"), (k % 10 != 0).alias("eligible"))
 
 
-@query("slate_decisions", with_("bets", "").rstrip() + f""", d AS (SELECT game_key, season, date, 0.5 + (game_key * 37 % 211) / 800.0 AS p_cal, 0.46 + (game_key * 37 % 211) / 800.0 + (game_key % 13) / 500.0 AS p_cons, line, outcome FROM bets WHERE game_key % 10 <> 0),
+@query("slate_decisions", with_("bets", "").rstrip() + f""", d AS (SELECT game_key, season, date, 0.5e0 + (game_key * 37 % 211) / 797.0e0 + (game_key % 9973) / 1e7 AS p_cal, 0.46e0 + (game_key * 37 % 211) / 797.0e0 + (game_key % 13) / 500.0e0 AS p_cons, line, outcome FROM bets WHERE game_key % 10 <> 0),
   c AS (SELECT * FROM d WHERE p_cal >= 0.6 AND p_cal * 1.909 > 1),
   x AS (SELECT a.date, a.game_key AS ga, b.game_key AS gb, a.p_cal * b.p_cal AS jc FROM c a JOIN c b ON a.date = b.date AND a.game_key < b.game_key WHERE a.p_cons * b.p_cons >= 0.42),
   r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY jc DESC, ga, gb) AS rn FROM x),
@@ -334,7 +334,7 @@ def strategy_grid(spark, sf):
     b = cut_lineage(market.best_leg_per_game(x, key + ["date", "fixture_id"]).withColumn("v", 1 + F.col("ev_now")))
     c = market.card_rows(market.best_pair(b, key + ["date"]), b, key + ["date"])
     c = c.withColumn("half", F.when(F.dayofmonth("date") <= 20, "first").otherwise("second"))
-    g = c.groupBy(*key).pivot("half", ["first", "second"]).agg(F.count("*").alias("cards"), F.avg("clv").alias("clv"), F.avg("pnl").alias("roi"))
+    g = c.groupBy(*key).pivot("half", ["first", "second"]).agg(F.count(F.lit(1)).alias("cards"), F.avg("clv").alias("clv"), F.avg("pnl").alias("roi"))
     top = g.agg(F.max(F.struct(F.when(F.col("first_cards") >= 3, F.col("first_clv")).alias("c"), *key)).alias("m"))      # one row
     return g.join(F.broadcast(top.select(*[F.col(f"m.{k}").alias(k) for k in key], F.lit(True).alias("chosen"))), key, "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
 
