@@ -146,7 +146,9 @@ def buffered_cards(cube: DataFrame, target: float = 0.60, margin: float = 0.0455
     c = c.withColumns({"val": F.col("p") * F.col("odds"), "opt": (F.col("k") * 2).cast("int")})
     c = top_legs(c, F.when(F.col("p_cons") >= math.sqrt(target), F.col("val")), legs)
     if rho_lo == 0.0:
-        c = undominated(c.where(F.col("p_cons") >= target), "p_cons", "val")
+        # filtered after the window: a filter on a computed probability would be pushed below and
+        # evaluate the whole pricing expression a second time
+        c = undominated(c, "p_cons", "val").where(F.col("p_cons") >= target)
     a, b = F.col("p_cons_a"), F.col("p_cons_b")
     joint = a * b if rho_lo == 0.0 else a * b + rho_lo * F.sqrt(a * (1 - a) * b * (1 - b))
     detail = ["game_key", "side", "k", "thr", "win", "p", "p_cons", "p_mkt", "odds", "odds_close", "val"]
@@ -166,8 +168,8 @@ def odds_cards(ladder: DataFrame, floor: float = 2.5, legs: int = 16, band: tupl
     for `joint`, the conservative chance of both winning among pairs of positive EV), released when
     the gate EV is positive. `settle` names the price column used for the result."""
     d = ladder.withColumn("settle", F.col(settle))
-    if band is not None:
-        d = d.where(F.col("odds").between(*band))
+    if band is not None:      # out-of-band options lose their price, which keeps pricing evaluated once
+        d = d.withColumn("odds", F.when(F.col("odds").between(*band), F.col("odds")))
     d = d.withColumns({"vc": F.col("p_cons") * F.col("odds"), "vm": F.col("p") * F.col("odds")})
     d = d.withColumn("opt", F.when(F.col("main"), 0).otherwise(F.col("k") + 7))
     d = top_legs(d, F.col("vc"), legs).select("date", "season", "leg", "opt", *LEG, "settle", "vc", "vm")

@@ -29,6 +29,15 @@ def running_total(df: DataFrame, keys: list[str], chunk: Column, order: list[str
             .drop("_chunk", "_base", "_local"))
 
 
+def running_max(df: DataFrame, keys: list[str], chunk: Column, order: list[str], value: str, name: str) -> DataFrame:
+    """Inclusive running maximum of `value` (nulls ignored), chunk by chunk."""
+    d = df.withColumn("_chunk", chunk)
+    tops = d.groupBy(*keys, "_chunk").agg(F.max(value).alias("_t"))
+    base = tops.select(*keys, "_chunk", F.max("_t").over(_earlier(keys)).alias("_base"))
+    local = d.withColumn("_local", F.max(value).over(_inside(keys, order)))
+    return local.join(base, keys + ["_chunk"]).withColumn(name, F.greatest("_base", "_local")).drop("_chunk", "_base", "_local")
+
+
 def drawdown(df: DataFrame, keys: list[str], chunk: Column, order: list[str], pnl: str) -> DataFrame:
     """Units and deepest fall from the running peak (the peak starts at 0), per key."""
     d = df.withColumn("_chunk", chunk)
