@@ -11,7 +11,7 @@ from slatemill.sources import ledger, odds_json, season_files
 # Quotes folded into books_json text per game and read back
 @query("books_json", with_("book_quotes", f"SELECT game_key, CAST(book AS VARCHAR) AS book, open_over, open_under, {reals(open='open', close='close')} FROM book_quotes"))
 def books_json(spark, sf):
-    one = F.struct(F.col("book").cast("string").alias("key"), F.struct(F.col("open"), F.col("open_over").cast("int"), F.col("open_under").cast("int"), F.col("close"),
+    one = F.struct(F.col("book").cast("string").alias("key"), F.struct("open", F.col("open_over").cast("int").alias("open_over"), F.col("open_under").cast("int").alias("open_under"), "close",
                                                                        F.lit(None).cast("int").alias("close_over"), F.lit(None).cast("int").alias("close_under")).alias("value"))
     text = book_quotes(spark, sf).groupBy("game_key").agg(F.to_json(F.map_from_entries(F.collect_list(one))).alias("books_json"))
     m = text.select("game_key", F.explode(odds_json.books_from_json(F.col("books_json"))).alias("book", "b"))
@@ -31,11 +31,11 @@ def paired_rows(spark, sf):
     row = lambda off, vh, team, pts, o, c: F.struct((F.col("key") * 3 + off).alias("row"), vh.alias("vh"), F.col(team).cast("string").alias("team"),
                                                     F.col(pts).cast("string").alias("final"), o.alias("open"), c.alias("close"))
     visit = F.when(broken, "X").when(neutral, "N").otherwise("V")
-    sheet = base.select("season", "mmdd", F.explode(F.array(
+    sheet = base.select(F.lit("all").alias("sheet"), "season", "mmdd", F.explode(F.array(
         row(0, visit, "away", "away_pts", F.col("lo"), F.when(F.col("ok_close"), F.col("lc")).otherwise(F.lit("NL"))),
         row(1, F.when(neutral, "N").otherwise("H"), "home", "home_pts", F.lit("pk"), F.col("sp")),
-        row(2, F.lit("-"), "home", "home_pts", F.lit(""), F.lit("")))).alias("r")).select("season", "mmdd", "r.*")
-    p = season_files.parse_paired_rows(sheet)
+        row(2, F.lit("-"), "home", "home_pts", F.lit(""), F.lit("")))).alias("r")).select("sheet", "season", "mmdd", "r.*")
+    p = season_files.parse_paired_rows(sheet, "sheet")
     return p.groupBy("neutral").agg(F.count("*").alias("n"), F.avg("line_open").alias("line_open"), F.avg("line_close").alias("line_close"),
                                     F.avg("home_spread_close").alias("spread"), F.avg("home_pts").alias("pts"))
 

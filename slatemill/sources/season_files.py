@@ -43,18 +43,19 @@ def split_total(a: Column, b: Column, floor: float) -> tuple[Column, Column]:
     return total, spread
 
 
-def parse_paired_rows(rows: DataFrame, chunk_rows: int = 65536) -> DataFrame:
+def parse_paired_rows(rows: DataFrame, sheet: str = "season", chunk_rows: int = 65536) -> DataFrame:
     """Games from sheets whose consecutive rows (visitor, home) or (neutral, neutral) form a pair,
-    resyncing past malformed rows. rows: season ('2015-16'), row, vh, mmdd, team, final, open, close.
+    resyncing past malformed rows. rows: `sheet` id, season ('2015-16'), row (0, 1, .. within the sheet),
+    vh, mmdd, team, final, open, close.
 
-    A row meets its successor by an equi-join on (season, row + 1). A V-H pair cannot overlap
+    A row meets its successor by an equi-join on (sheet, row + 1). A V-H pair cannot overlap
     another; inside a run of N rows every second row starts a pair, and the run's start comes from a
     chunked running maximum, so a sheet of any length is split over tasks."""
     r = rows.withColumn("_break", F.when(F.col("vh") != "N", F.col("row")))
-    r = running_max(r, ["season"], F.floor(F.col("row") / chunk_rows), ["row"], "_break", "_last")
+    r = running_max(r, [sheet], F.floor(F.col("row") / chunk_rows), ["row"], "_break", "_last")
     r = r.withColumn("_pos", F.col("row") - F.coalesce("_last", F.lit(-1)) - 1)
-    nxt = rows.select("season", (F.col("row") - 1).alias("row"), F.col("vh").alias("vh_b"), *[F.col(c).alias(f"{c}_b") for c in ("team", "final", "open", "close")])
-    p = r.join(nxt, ["season", "row"])
+    nxt = rows.select(sheet, (F.col("row") - 1).alias("row"), F.col("vh").alias("vh_b"), *[F.col(c).alias(f"{c}_b") for c in ("team", "final", "open", "close")])
+    p = r.join(nxt, [sheet, "row"])
     vis = (F.col("vh") == "V") & (F.col("vh_b") == "H")
     neu = (F.col("vh") == "N") & (F.col("vh_b") == "N") & (F.col("_pos") % 2 == 0)
     p = p.where(vis | neu)
