@@ -137,6 +137,43 @@ def platt(p: Column, slope: float, intercept: float) -> Column:
     return 1 / (1 + F.exp(-(slope * logit(p) + intercept)))
 
 
+def platt_by_season(preds: DataFrame, p: str, y: str, seed_seasons: int = 2, steps: int = 30) -> DataFrame:
+    """Platt map of every season on earlier seasons' predictions: rows (season, slope, icept). A
+    two-parameter logistic with unit penalty on the slope; all seasons share each Newton pass."""
+    seasons = sorted(r[0] for r in preds.select("season").distinct().collect())           # short list of years
+    targets = seasons[seed_seasons:]
+    later = F.filter(F.array(*[F.lit(t) for t in targets]), lambda t: t > F.col("season"))
+    d = preds.where("eligible").select("season", logit(F.col(p)).alias("x"), F.col(y).cast("double").alias("y")).withColumn("fit", F.explode(later))
+    beta = {s: (1.0, 0.0) for s in targets}
+    for _ in range(steps):
+        m = F.create_map(*[v for s in targets for v in (F.lit(s), F.array(F.lit(beta[s][0]), F.lit(beta[s][1])))])[F.col("fit")]
+        q = 1 / (1 + F.exp(-(m[0] * F.col("x") + m[1])))
+        e = d.withColumn("q", q)
+        w, r, x = F.col("q") * (1 - F.col("q")), F.col("y") - F.col("q"), F.col("x")
+        rows = e.groupBy("fit").agg(*[F.sum(c).alias(n) for n, c in (("hxx", w * x * x), ("hx", w * x), ("h", w), ("gx", r * x), ("g", r))]).collect()   # one row per season
+        biggest = 0.0
+        for k in rows:
+            a, b = beta[k["fit"]]
+            step = np.linalg.solve(np.array([[k["hxx"] + 1.0, k["hx"]], [k["hx"], k["h"] + 1e-12]]), np.array([k["gx"] - a, k["g"]]))
+            beta[k["fit"]] = (float(a + step[0]), float(b + step[1]))
+            biggest = max(biggest, float(np.abs(step).max()))
+        if biggest < 1e-9:
+            break
+    return preds.sparkSession.createDataFrame([(s, a, b) for s, (a, b) in beta.items()], "season bigint, slope double, icept double")
+
+
+def walk_forward_calibrated(preds: DataFrame, p: str, y: str, q: float = 0.05, seed_seasons: int = 2) -> DataFrame:
+    """Calibrated and conservative probability of each season from earlier seasons' predictions.
+    preds: season, eligible, p, y. Adds p_cal and p_cons; seed seasons drop out."""
+    m = platt_by_season(preds, p, y, seed_seasons)
+    b = F.broadcast(m)                                                                  # one row per season
+    cal = 1 / (1 + F.exp(-(F.col("slope") * logit(F.col(p)) + F.col("icept"))))
+    out = preds.join(b, "season").withColumn("p_cal", cal).drop("slope", "icept")
+    hist = preds.where("eligible").withColumnRenamed("season", "_s").join(F.broadcast(m), F.col("_s") < F.col("season")).withColumn("p_cal", cal)
+    bound = neighbourhood_bound(hist, out, ["season"], "p_cal", y, q=q)
+    return out.join(bound.select("season", F.col("p").alias("p_cal"), F.col("bound").alias("p_cons")), ["season", "p_cal"], "left")
+
+
 def fit_isotonic(hist: DataFrame, p: str, y: str):
     """Monotone map. Equal forecasts are merged to one weighted row first, so the model sees distinct
     forecast values, not rows."""

@@ -62,17 +62,25 @@ def _design(feats: list[str], target: str) -> list[Column]:
 
 
 def cross_products(df: DataFrame, by: list[str], feats: list[str], target: str, weight: Column | None = None) -> DataFrame:
+    """See below; with `weight` the unweighted sums are kept beside the weighted ones as `plain`."""
+    if weight is None:
+        return _products(df, by, feats, target, F.lit(1.0)).withColumn("plain", F.col("xx"))
+    v = _design(feats, target)
+    pairs = [v[i] * v[j] for i in range(len(v)) for j in range(i, len(v))]
+    return df.withColumn("_w", weight).groupBy(*by).agg(F.array(*[F.sum(F.col("_w") * x) for x in pairs]).alias("xx"), F.array(*[F.sum(x) for x in pairs]).alias("plain"))
+
+
+def _products(df: DataFrame, by: list[str], feats: list[str], target: str, w: Column) -> DataFrame:
     """Sums of all pairwise products of the design per group: everything a ridge fit needs, in one
     map-side-combining pass. Missing flags are part of the design, so the sums stay valid whatever
     value is imputed later."""
     v = _design(feats, target)
-    w = F.lit(1.0) if weight is None else weight
     sums = [F.sum(w * v[i] * v[j]) for i in range(len(v)) for j in range(i, len(v))]
     return df.groupBy(*by).agg(F.array(*sums).alias("xx"))
 
 
-def solve_ridge(xx: np.ndarray, med: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
-    """Ridge on standardised features from packed cross products, missing values set to `med`."""
+def _imputed(xx: np.ndarray, med: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """Unpack cross products with missing values set to `med`: sums, n, feature means, covariance."""
     d = len(med)
     m = 2 + 2 * d
     full = np.zeros((m, m))
@@ -83,10 +91,18 @@ def solve_ridge(xx: np.ndarray, med: np.ndarray, alpha: float) -> tuple[np.ndarr
     for j in range(d):
         t[2 + j, 2 + j], t[2 + j, 2 + d + j] = 1, med[j]
     s = t @ full @ t.T
-    n = s[0, 0]
-    mean = s[0, 2:] / n
-    cov = s[2:, 2:] / n - np.outer(mean, mean)
-    sd = np.sqrt(np.clip(np.diag(cov), 0, None))
+    mean = s[0, 2:] / s[0, 0]
+    return s, s[0, 0], mean, s[2:, 2:] / s[0, 0] - np.outer(mean, mean)
+
+
+def solve_ridge(xx: np.ndarray, med: np.ndarray, alpha: float, plain: np.ndarray | None = None
+                ) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
+    """Ridge on standardised features. With row weights in `xx`, the feature scale still comes from
+    the unweighted sums `plain`."""
+    d = len(med)
+    s, n, mean, cov = _imputed(xx, med)
+    spread = cov if plain is None else _imputed(plain, med)[3]
+    sd = np.sqrt(np.clip(np.diag(spread), 0, None))
     sd = np.where(sd > 1e-12, sd, 1.0)
     ybar = s[0, 1] / n
     zz = n * cov / np.outer(sd, sd)
@@ -99,14 +115,15 @@ def solve_ridge(xx: np.ndarray, med: np.ndarray, alpha: float) -> tuple[np.ndarr
 def ridge_coefficients(stats: DataFrame, key: str, meds: DataFrame, feats: list[str], alpha: float) -> DataFrame:
     """Coefficient table (one row per season): coef, mean, sd arrays, intercept, target sd."""
     @F.pandas_udf("struct<coef array<double>, mean array<double>, sd array<double>, intercept double, y_sd double>")
-    def fit(xx: pd.Series, med: pd.Series) -> pd.DataFrame:
-        rows = [solve_ridge(np.asarray(a, float), np.asarray(b, float), alpha) for a, b in zip(xx, med)]
+    def fit(xx: pd.Series, plain: pd.Series, med: pd.Series) -> pd.DataFrame:
+        rows = [solve_ridge(np.asarray(a, float), np.asarray(b, float), alpha, np.asarray(u, float)) for a, u, b in zip(xx, plain, med)]
         return pd.DataFrame({"coef": [r[0].tolist() for r in rows], "mean": [r[1].tolist() for r in rows],
                              "sd": [r[2].tolist() for r in rows], "intercept": [r[3] for r in rows], "y_sd": [r[4] for r in rows]})
 
     med = F.array(*[F.coalesce(F.col(f"med_{f}"), F.lit(0.0)) for f in feats]) if feats else F.expr("cast(array() as array<double>)")
     j = stats.join(meds, key, "left") if feats else stats
-    return j.withColumn("med", med).withColumn("m", fit("xx", "med")).select(key, "med", "m.*")
+    plain = F.col("plain") if "plain" in stats.columns else F.col("xx")
+    return j.withColumn("med", med).withColumn("m", fit(F.col("xx"), plain, F.col("med"))).select(key, "med", "m.*")
 
 
 def linear_prediction(feats: list[str]) -> Column:
@@ -118,12 +135,17 @@ def linear_prediction(feats: list[str]) -> Column:
     return out
 
 
-def earlier_sums(stats: DataFrame, season: str) -> DataFrame:
-    """Add up the packed sums of all earlier seasons (one short row per season)."""
-    e = expand_to_later_seasons(stats, season, later_seasons(stats, season))
-    pos = e.select("for_season", F.posexplode("xx").alias("i", "v")).groupBy("for_season", "i").agg(F.sum("v").alias("v"))
-    packed = pos.groupBy(F.col("for_season").alias(season)).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("p"))
-    return packed.select(season, F.transform("p", lambda s: s["v"]).alias("xx"))
+def earlier_sums(stats: DataFrame, season: str, decay: float | None = None) -> DataFrame:
+    """Add up the packed sums of all earlier seasons (one short row per season); with `decay` older
+    seasons fade by decay^(age - 1) in `xx`, while `plain` stays unweighted."""
+    every = later_seasons(stats, season)
+    e = expand_to_later_seasons(stats, season, every).join(F.broadcast(every))            # one row
+    age = F.array_position("_all", F.col("for_season")) - F.array_position("_all", F.col(season))
+    w = F.lit(1.0) if decay is None else F.pow(F.lit(decay), F.greatest(age - 1, F.lit(0)))
+    both = F.transform("xx", lambda x, i: F.struct((x * w).alias("v"), F.get("plain", i).alias("u")))
+    pos = e.select("for_season", F.posexplode(both).alias("i", "p")).groupBy("for_season", "i").agg(F.sum("p.v").alias("v"), F.sum("p.u").alias("u"))
+    packed = pos.groupBy(F.col("for_season").alias(season)).agg(F.array_sort(F.collect_list(F.struct("i", "v", "u"))).alias("p"))
+    return packed.select(season, F.transform("p", lambda x: x["v"]).alias("xx"), F.transform("p", lambda x: x["u"]).alias("plain"))
 
 
 def contribution_columns(feats: list[str]) -> dict[str, Column]:
@@ -132,46 +154,152 @@ def contribution_columns(feats: list[str]) -> dict[str, Column]:
             for i, f in enumerate(feats)}
 
 
-def fit_mean_models(train: DataFrame, feats: list[str], target: str = "resid", alpha: float = 50.0) -> DataFrame:
+def fit_mean_models(train: DataFrame, feats: list[str], target: str = "resid", alpha: float = 50.0, decay: float | None = None) -> DataFrame:
     """Per season, the ridge fitted on all earlier seasons: one scan serves every refit."""
-    stats = earlier_sums(cross_products(train, ["season"], feats, target), "season")
+    stats = earlier_sums(cross_products(train, ["season"], feats, target), "season", decay)
     meds = medians_of_earlier_seasons(train, "season", feats) if feats else None
     return ridge_coefficients(stats, "season", meds, feats, alpha)
 
 
+MODEL = ["med", "coef", "mean", "sd", "intercept", "y_sd"]
+
+
+def _season_list(df: DataFrame, min_train: int) -> DataFrame:
+    """Seasons that may be predicted, with their index (one row per season)."""
+    order = Window.partitionBy().orderBy("season")
+    return df.select("season").distinct().withColumn("_i", F.row_number().over(order) - 1).where(F.col("_i") >= min_train)
+
+
+def _refit_rows(train: DataFrame, model: DataFrame, all_seasons: DataFrame, decay: float | None) -> DataFrame:
+    """Training rows paired with every later season's model inside the map stage (the models are one
+    row per season); `_w` is the season weight. Reduced to sums before any shuffle."""
+    idx = all_seasons.select("season", F.row_number().over(Window.partitionBy().orderBy("season")).alias("_n"))       # one row per season
+    m = model.join(idx, "season").withColumnsRenamed({"season": "for_season", "_n": "_to"})
+    e = train.join(F.broadcast(idx), "season").join(F.broadcast(m), F.col("season") < F.col("for_season"))
+    w = F.lit(1.0) if decay is None else F.pow(F.lit(decay), F.greatest(F.col("_to") - F.col("_n") - 1, F.lit(0)))
+    return e.withColumn("_w", w).drop("_n", "_to")
+
+
+def _spread_models(res: DataFrame, feats: list[str], meds: DataFrame | None, alpha: float) -> tuple[DataFrame, DataFrame]:
+    """Ridge on log(res^2 + 1) per refit, and the factor that makes standardised residuals unit."""
+    res = res.withColumn("_log", F.log(F.col("_res") * F.col("_res") + 1))
+    v = cross_products(res, ["for_season"], feats, "_log", F.col("_w")).withColumnRenamed("for_season", "season")
+    m = ridge_coefficients(v, "season", meds, feats, alpha)
+    b = F.broadcast(m.withColumnRenamed("season", "for_season"))             # one row per season
+    scale = (res.join(b, "for_season").withColumn("_raw", F.exp(linear_prediction(feats))).groupBy(F.col("for_season").alias("season"))
+             .agg(F.sqrt(F.avg(F.col("_res") * F.col("_res") / F.col("_raw"))).alias("_scale")))
+    return m, scale
+
+
+def _predict(p: DataFrame, model: DataFrame, out: str, value: Column) -> DataFrame:
+    return p.join(F.broadcast(model), "season").withColumn(out, value).drop(*MODEL)                # one row per season
+
+
 def walk_forward(df: DataFrame, mean_feats: list[str], var_feats: list[str], alpha: float = 50.0,
-                 min_train: int = 2) -> DataFrame:
+                 min_train: int = 2, decay: float | None = None, close: str | None = None) -> DataFrame:
     """Train on seasons < s, predict s: mean and spread of the residual, and the market-only
-    reference. df needs season, resid, eligible and the features.
+    reference. df needs season, resid, eligible, the features and, with `close`, `move`.
 
     Means come from summed cross products. The spread model's target depends on each refit, so
     training rows are paired with the (few) later seasons they serve inside the map stage and reduce
     to cross products again before any shuffle.
+
+    close="target"  : the mean is the predicted open-to-close move plus the mean leftover residual
+    close="feature" : the predicted move enters the mean model as one more feature
     """
     train = df.where("eligible")
-    mean_m = fit_mean_models(train, mean_feats, "resid", alpha)
+    allowed, everything = _season_list(df, min_train), df.select("season").distinct()
+    meds = medians_of_earlier_seasons(train, "season", list(dict.fromkeys(mean_feats + var_feats)))
     mkt = ridge_coefficients(earlier_sums(cross_products(train, ["season"], [], "resid"), "season"), "season", None, [], alpha)
-    order = Window.partitionBy().orderBy("season")
-    rank = df.select("season").distinct().withColumn("_i", F.row_number().over(order) - 1)          # one row per season
-    allowed = rank.where(F.col("_i") >= min_train).drop("_i")
-    mean_m = mean_m.join(allowed, "season", "left_semi")
-    b = F.broadcast(mean_m.withColumnRenamed("season", "for_season"))        # one row per season
-    res = train.join(b, F.col("season") < F.col("for_season")).withColumn("_res", F.col("resid") - linear_prediction(mean_feats))
-    base = ["med", "coef", "mean", "sd", "intercept", "y_sd"]
-    res = res.drop(*base).withColumn("_log", F.log(F.col("_res") * F.col("_res") + 1))
-    vstats = cross_products(res, ["for_season"], var_feats, "_log").withColumnRenamed("for_season", "season")
-    vmeds = medians_of_earlier_seasons(train, "season", var_feats)
-    var_m = ridge_coefficients(vstats, "season", vmeds, var_feats, alpha)
-    vb = F.broadcast(var_m.withColumnRenamed("season", "for_season"))        # one row per season
-    scale = (res.join(vb, "for_season").withColumn("_raw", F.exp(linear_prediction(var_feats)))
-             .groupBy(F.col("for_season").alias("season")).agg(F.sqrt(F.avg(F.col("_res") * F.col("_res") / F.col("_raw"))).alias("_scale")))
-    p = df.join(F.broadcast(mean_m), "season").withColumn("mu", linear_prediction(mean_feats)).drop(*base)
-    p = p.join(F.broadcast(var_m), "season").withColumn("_raw", F.exp(linear_prediction(var_feats))).drop(*base)
+    first_target = "resid" if close is None else "move"
+    fit_rows = train if close is None else train.where(F.col("move").isNotNull())
+    lead = fit_mean_models(fit_rows, mean_feats, first_target, alpha, decay).join(allowed.select("season"), "season", "left_semi")
+    e = _refit_rows(train, lead, everything, decay).withColumn("_mu", linear_prediction(mean_feats)).drop(*MODEL)
+    p = _predict(df, lead, "mu", linear_prediction(mean_feats))
+    if close == "target":
+        shift = e.groupBy(F.col("for_season").alias("season")).agg(F.avg(F.col("resid") - F.col("_mu")).alias("_shift"))
+        e = e.join(F.broadcast(shift.withColumnRenamed("season", "for_season")), "for_season").withColumn("_mu", F.col("_mu") + F.col("_shift"))
+        p = p.join(F.broadcast(shift), "season").withColumn("mu", F.col("mu") + F.col("_shift")).drop("_shift")
+    elif close == "feature":
+        feats = mean_feats + ["mu_move"]
+        e, p = e.withColumnRenamed("_mu", "mu_move"), p.withColumnRenamed("mu", "mu_move")
+        s = cross_products(e, ["for_season"], feats, "resid", F.col("_w")).withColumnRenamed("for_season", "season")
+        m2 = ridge_coefficients(s, "season", meds.withColumn("med_mu_move", F.lit(0.0)), feats, alpha)
+        e = e.join(F.broadcast(m2.withColumnRenamed("season", "for_season")), "for_season").withColumn("_mu", linear_prediction(feats)).drop(*MODEL)
+        p = _predict(p, m2, "mu", linear_prediction(feats))
+    spread_m, scale = _spread_models(e.withColumn("_res", F.col("resid") - F.col("_mu")), var_feats, meds, alpha)
+    p = _predict(p, spread_m, "_raw", F.exp(linear_prediction(var_feats)))
     p = p.join(F.broadcast(scale), "season").withColumn("sd", F.sqrt("_raw") * F.col("_scale")).drop("_raw", "_scale")
     m = mkt.select("season", F.col("intercept").alias("mu_mkt"), F.col("y_sd").alias("sd_mkt"))
     return p.join(F.broadcast(m), "season")
 
 
+# ------------------------------------------------------------------ boosted mean and points forecast
+def boosted_walk_forward(df: DataFrame, feats: list[str], target: str, trees: int = 20, depth: int = 3, min_train: int = 2,
+                         seed: int = 0) -> DataFrame:
+    """Gradient-boosted mean per season on earlier seasons only, beside nothing else from later ones.
+    The loop is over the few seasons; each fit is Spark's own distributed learner."""
+    from functools import reduce
+
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    filled = impute_from_earlier_seasons(df, "season", feats).na.fill(0.0, feats)
+    d = VectorAssembler(inputCols=feats, outputCol="features").transform(filled)
+    gbt = GBTRegressor(labelCol=target, maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed, predictionCol="mu_gbt")
+    seasons = sorted(r[0] for r in df.select("season").distinct().collect())              # short list of years
+    parts = [gbt.fit(d.where((F.col("season") < s) & F.col("eligible"))).transform(d.where(F.col("season") == s)).drop("features") for s in seasons[min_train:]]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def spread_by_level(df: DataFrame, keys: list[str], mu: str, resid: str, bins: int = 20) -> DataFrame:
+    """sd = a + b sqrt(mu), fitted on the residual spread of equal-frequency bins of the forecast."""
+    from slatemill.operators.metrics import quantile_bins
+
+    b = quantile_bins(df, keys, mu, bins).groupBy(*keys, "bin").agg(F.stddev_samp(resid).alias("s"), F.sqrt(F.avg(mu)).alias("x"))
+    return b.groupBy(*keys).agg(F.regr_intercept("s", "x").alias("a"), F.regr_slope("s", "x").alias("b"))
+
+
+def empirical_exceedance(hist: DataFrame, asks: DataFrame, keys: list[str], z: str, reach: float = 64.0) -> DataFrame:
+    """P(Z > z) from a sample per key: rows (keys, z, p). Residuals are mapped to [0, 1] for the
+    chunked count (values beyond +-reach share the end chunks, which stays exact)."""
+    from slatemill.operators.running import counts_below
+
+    unit = lambda d: d.withColumn("_u", (F.col(z) + reach) / (2 * reach))
+    a = unit(asks.select(*keys, z).distinct()).withColumns({"closed": F.lit(True), "id": F.col(z).cast("string")})
+    c = counts_below(unit(hist).withColumn("_one", F.lit(1.0)), a, keys, "_u", "_one")
+    n = hist.groupBy(*keys).agg(F.count("*").alias("n"))
+    j = c.join(F.broadcast(n), keys) if keys else c.join(F.broadcast(n))                  # one row per key
+    return j.select(*keys, F.col("id").cast("double").alias(z), (1 - F.col("below") / F.col("n")).alias("p"))
+
+
+def information_test(df: DataFrame, y: str, base: Column, model: Column) -> DataFrame:
+    """Logit of the outcome on two forecasts: how much the model adds to the market, with standard
+    errors (columns term, weight, se)."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    from slatemill.functions.probability import logit
+
+    d = df.select(F.col(y).cast("double").alias("label"), array_to_vector(F.array(logit(base), logit(model) - logit(base))).alias("features"))
+    m = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=50, tol=1e-10).fit(d)
+    se = m.summary.coefficientStandardErrors
+    rows = [("market", float(m.coefficients[0]), float(se[0])), ("model_minus_market", float(m.coefficients[1]), float(se[1])), ("intercept", float(m.intercept), float(se[2]))]
+    return df.sparkSession.createDataFrame(rows, "term string, weight double, se double")
+
+
+def out_of_sample_gain(df: DataFrame, base: list[str], extra: list[str], target: str = "resid") -> DataFrame:
+    """Mean squared error with and without extra features, each season predicted from earlier ones,
+    plus a pooled row (least squares is a ridge with no penalty)."""
+    m0 = fit_mean_models(df, base, target, 1e-9)
+    m1 = fit_mean_models(df, base + extra, target, 1e-9)
+    p = _predict(_predict(df, m0, "p0", linear_prediction(base)), m1, "p1", linear_prediction(base + extra))
+    sq = lambda c: F.avg((F.col(target) - F.col(c)) ** 2)
+    g = p.rollup("season").agg(F.grouping_id().alias("_all"), F.count("*").alias("n"), sq("p0").alias("mse_base"), sq("p1").alias("mse_full"))
+    return g.select(F.when(F.col("_all") == 1, "all").otherwise(F.col("season").cast("string")).alias("season"), "n", "mse_base", "mse_full",
+                    (100 * (1 - F.col("mse_full") / F.col("mse_base"))).alias("reduction_pct"))
+
+
 # ------------------------------------------------------------------ residual shape
 def student_t_df(z: DataFrame, by: list[str], col: str, grid: list[float]) -> DataFrame:
     """Degrees of freedom of a unit-scale t by likelihood over a grid: one pass, one sum per value.

@@ -154,3 +154,82 @@ def team_states(spark, sf):
     g = rated_games(spark, sf)
     s = ratings.expected_points(g, ratings.team_states(g))
     return s.select("game_key", "date", "asof", "exp_home", "exp_away", "naive_total", "lg_gap", "home_games", "home_line_tend", "home_ou_trend")
+
+
+# Close-informed variants and season decay
+@query("walk_forward_move_target")
+def walk_forward_move_target(spark, sf):
+    t = training(spark, sf).withColumn("move", F.col("f_move"))
+    return models.walk_forward(t, ["f_home", "f_away"], VAR_FEATS, decay=0.6, close="target").select("game_key", "season", "mu", "sd")
+
+
+@query("walk_forward_move_feature")
+def walk_forward_move_feature(spark, sf):
+    t = training(spark, sf).withColumn("move", F.col("f_move"))
+    return models.walk_forward(t, ["f_home", "f_away"], VAR_FEATS, close="feature").select("game_key", "season", "mu", "sd", "mu_move")
+
+
+# The stage-one chain: Over probability, Platt map and lower bound per season
+@query("stage_one_walk_forward")
+def stage_one_walk_forward(spark, sf):
+    p = predictions(spark, sf).where(F.col("outcome") != F.col("line"))
+    p = models.add_over_probability(p, F.col("mu"), F.col("line"), F.col("sd")).withColumn("over", (F.col("outcome") > F.col("line")).cast("double"))
+    p = cut_lineage(p.select("game_key", "season", "eligible", "p_over", "over"))
+    return calibrate.walk_forward_calibrated(p, "p_over", "over").select("game_key", "season", "p_over", "p_cal", "p_cons")
+
+
+# M3: boosted mean averaged with the ridge
+@query("boosted_mean")
+def boosted_mean(spark, sf):
+    g = models.boosted_walk_forward(training(spark, sf), MEAN_FEATS, "resid", trees=5, min_train=5).select("game_key", "season", "mu_gbt")
+    r = predictions(spark, sf).select("game_key", "mu")
+    return g.join(r, "game_key").withColumn("mu_ensemble", (F.col("mu") + F.col("mu_gbt")) / 2)
+
+
+# Player points: history features, boosted mean, spread by level, chance of more than a line
+@query("points_forecast")
+def points_forecast(spark, sf):
+    from slatemill.operators import history
+    from slatemill.plans.standins import player_box
+
+    b = player_box(spark, sf)
+    h = history.ew_before(b, ["player"], "date", ["points", "minutes"], 8.0)
+    r = history.rolling_before(b, ["player"], "date", ["points"], 5, prefix="l5_")
+    d = b.join(h, ["player", "date"]).join(r, ["player", "date"]).where(F.col("h_points").isNotNull()).withColumn("eligible", F.lit(True))
+    feats = ["h_points", "h_minutes", "l5_points"]
+    p = cut_lineage(models.boosted_walk_forward(d, feats, "points", trees=3, min_train=5).select("game", "player", "season", "points", F.greatest("mu_gbt", F.lit(0.5)).alias("mu")))
+    p = p.withColumn("res", F.col("points") - F.col("mu"))
+    s = models.spread_by_level(p, [], "mu", "res")
+    return p.join(F.broadcast(s)).select("game", "player", "mu", (F.col("a") + F.col("b") * F.sqrt("mu")).alias("sd"))      # one row
+
+
+# M14
+@query("information_test")
+def information_test(spark, sf):
+    return models.information_test(forecasts(spark, sf), "y", F.lit(0.45) + F.col("doc_id") % 7 / 70, F.col("p"))
+
+
+@query("out_of_sample_gain")
+def out_of_sample_gain(spark, sf):
+    return models.out_of_sample_gain(training(spark, sf).where("eligible"), ["f_home"], ["f_away", "f_rest"])
+
+
+# empirical residual law per league
+@query("empirical_exceedance", with_("train", "").rstrip() + f", a AS (SELECT DISTINCT league, resid * 0.5 AS z FROM train) SELECT a.league, {reals(z='a.z', p='avg(CASE WHEN t.resid > a.z THEN 1.0 ELSE 0.0 END)')} FROM a JOIN train t USING (league) GROUP BY a.league, a.z")
+def empirical_exceedance(spark, sf):
+    t = training(spark, sf).withColumn("z", F.col("resid").cast("double"))
+    return models.empirical_exceedance(t, t.withColumn("z", F.col("z") * 0.5), ["league"], "z")
+
+
+# calibrated thresholds through the PIT map, with Beta bounds
+@query("threshold_probabilities")
+def threshold_probabilities(spark, sf):
+    from slatemill.functions.probability import add_norm_cdf
+
+    t = training(spark, sf).withColumn("mu", (F.col("f_home") + F.col("f_away") - 4) * 0.5)
+    u = lambda d, e: add_norm_cdf(d, "u", (e - F.col("line") - F.col("mu")) / 17.0)
+    hist = cut_lineage(u(t.where("season <= 1998"), F.col("outcome") + 0.5).select("u"))
+    knots, ask = calibrate.pit_knots(hist, [], "u"), cut_lineage(u(t.where("season > 1998"), F.floor("line") + 0.5).select("game_key", F.round("u", 6).alias("u")))
+    bounds = calibrate.pit_bounds(hist, ask, [], "u")
+    p = ask.join(F.broadcast(knots)).withColumn("p_over", 1 - calibrate.pit_map(F.col("u"), F.col("knots")))                # one row of knots
+    return p.join(bounds, "u").select("game_key", "p_over", (1 - F.col("hi")).alias("p_over_cons"))
