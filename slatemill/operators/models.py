@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from slatemill.functions.numbers import clip
 from slatemill.functions.probability import add_norm_cdf
 from slatemill.operators.running import grid_quantiles
+from slatemill.session import cut_lineage
 
 
 # ------------------------------------------------------------------ seasons
@@ -30,10 +31,11 @@ def medians_of_earlier_seasons(df: DataFrame, season: str, cols: list[str]) -> D
     distribution is ranked in chunks, never in one task."""
     arr = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in cols])
     long = df.select(season, F.explode(arr).alias("x")).select(season, "x.*").where("v IS NOT NULL")
-    counts = long.groupBy(season, "col", "v").agg(F.count("*").alias("w"))
+    counts = cut_lineage(long.groupBy(season, "col", "v").agg(F.count("*").alias("w")))     # read by every later step
     e = expand_to_later_seasons(counts, season, later_seasons(df, season))
     m = grid_quantiles(e, ["for_season", "col"], "v", 2, weight="w").where("i = 1")
-    return m.groupBy(F.col("for_season").alias(season)).agg(*[F.max(F.when(F.col("col") == c, F.col("q"))).alias(f"med_{c}") for c in cols])
+    return cut_lineage(m.groupBy(F.col("for_season").alias(season)).agg(
+        *[F.max(F.when(F.col("col") == c, F.col("q"))).alias(f"med_{c}") for c in cols]))             # one row per season
 
 
 def impute_from_earlier_seasons(df: DataFrame, season: str, cols: list[str]) -> DataFrame:
@@ -121,9 +123,10 @@ def ridge_coefficients(stats: DataFrame, key: str, meds: DataFrame, feats: list[
                              "sd": [r[2].tolist() for r in rows], "intercept": [r[3] for r in rows], "y_sd": [r[4] for r in rows]})
 
     med = F.array(*[F.coalesce(F.col(f"med_{f}"), F.lit(0.0)) for f in feats]) if feats else F.expr("cast(array() as array<double>)")
-    j = stats.join(meds, key, "left") if feats else stats
+    j = stats.join(F.broadcast(meds), key, "left") if feats else stats        # one row per season
     plain = F.col("plain") if "plain" in stats.columns else F.col("xx")
-    return j.withColumn("med", med).withColumn("m", fit(F.col("xx"), plain, F.col("med"))).select(key, "med", "m.*")
+    # every caller reads the table more than once; it holds one row per season
+    return cut_lineage(j.withColumn("med", med).withColumn("m", fit(F.col("xx"), plain, F.col("med"))).select(key, "med", "m.*"))
 
 
 def linear_prediction(feats: list[str]) -> Column:
@@ -138,6 +141,7 @@ def linear_prediction(feats: list[str]) -> Column:
 def earlier_sums(stats: DataFrame, season: str, decay: float | None = None) -> DataFrame:
     """Add up the packed sums of all earlier seasons (one short row per season); with `decay` older
     seasons fade by decay^(age - 1) in `xx`, while `plain` stays unweighted."""
+    stats = cut_lineage(stats)        # one row per season, read three times: the data is scanned once
     every = later_seasons(stats, season)
     e = expand_to_later_seasons(stats, season, every).join(F.broadcast(every))            # one row
     age = F.array_position("_all", F.col("for_season")) - F.array_position("_all", F.col(season))
@@ -188,7 +192,7 @@ def _spread_models(res: DataFrame, feats: list[str], meds: DataFrame | None, alp
     b = F.broadcast(m.withColumnRenamed("season", "for_season"))             # one row per season
     scale = (res.join(b, "for_season").withColumn("_raw", F.exp(linear_prediction(feats))).groupBy(F.col("for_season").alias("season"))
              .agg(F.sqrt(F.avg(F.col("_res") * F.col("_res") / F.col("_raw"))).alias("_scale")))
-    return m, scale
+    return m, cut_lineage(scale)
 
 
 def _predict(p: DataFrame, model: DataFrame, out: str, value: Column) -> DataFrame:
@@ -208,12 +212,13 @@ def walk_forward(df: DataFrame, mean_feats: list[str], var_feats: list[str], alp
     close="feature" : the predicted move enters the mean model as one more feature
     """
     train = df.where("eligible")
-    allowed, everything = _season_list(df, min_train), df.select("season").distinct()
+    everything = cut_lineage(df.select("season").distinct())                  # one row per season
+    allowed = _season_list(everything, min_train)
     meds = medians_of_earlier_seasons(train, "season", list(dict.fromkeys(mean_feats + var_feats)))
     mkt = ridge_coefficients(earlier_sums(cross_products(train, ["season"], [], "resid"), "season"), "season", None, [], alpha)
     first_target = "resid" if close is None else "move"
     fit_rows = train if close is None else train.where(F.col("move").isNotNull())
-    lead = fit_mean_models(fit_rows, mean_feats, first_target, alpha, decay).join(allowed.select("season"), "season", "left_semi")
+    lead = fit_mean_models(fit_rows, mean_feats, first_target, alpha, decay).join(F.broadcast(allowed.select("season")), "season", "left_semi")
     e = _refit_rows(train, lead, everything, decay).withColumn("_mu", linear_prediction(mean_feats)).drop(*MODEL)
     p = _predict(df, lead, "mu", linear_prediction(mean_feats))
     if close == "target":

@@ -181,7 +181,7 @@ def stage_one_walk_forward(spark, sf):
 # M3: boosted mean averaged with the ridge
 @query("boosted_mean")
 def boosted_mean(spark, sf):
-    g = models.boosted_walk_forward(training(spark, sf), MEAN_FEATS, "resid", trees=5, min_train=5).select("game_key", "season", "mu_gbt")
+    g = models.boosted_walk_forward(training(spark, sf), MEAN_FEATS, "resid", trees=3, min_train=6).select("game_key", "season", "mu_gbt")
     r = predictions(spark, sf).select("game_key", "mu")
     return g.join(r, "game_key").withColumn("mu_ensemble", (F.col("mu") + F.col("mu_gbt")) / 2)
 
@@ -197,7 +197,7 @@ def points_forecast(spark, sf):
     r = history.rolling_before(b, ["player"], "date", ["points"], 5, prefix="l5_")
     d = b.join(h, ["player", "date"]).join(r, ["player", "date"]).where(F.col("h_points").isNotNull()).withColumn("eligible", F.lit(True))
     feats = ["h_points", "h_minutes", "l5_points"]
-    p = cut_lineage(models.boosted_walk_forward(d, feats, "points", trees=3, min_train=5).select("game", "player", "season", "points", F.greatest("mu_gbt", F.lit(0.5)).alias("mu")))
+    p = cut_lineage(models.boosted_walk_forward(d, feats, "points", trees=2, min_train=6).select("game", "player", "season", "points", F.greatest("mu_gbt", F.lit(0.5)).alias("mu")))
     p = p.withColumn("res", F.col("points") - F.col("mu"))
     s = models.spread_by_level(p, [], "mu", "res")
     return p.join(F.broadcast(s)).select("game", "player", "mu", (F.col("a") + F.col("b") * F.sqrt("mu")).alias("sd"))      # one row

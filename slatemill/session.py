@@ -1,8 +1,9 @@
-"""Session helpers: a local session for tests and the lineage-cutting checkpoint."""
+"""Session helpers: a local session for tests and shared intermediate tables."""
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,11 +26,20 @@ def local_session(cpus: str = "8") -> SparkSession:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for intermediate tables; only where none is set (tests on one
+    machine) a fresh scratch directory, remembered for the session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint. Uses the cluster's shared folder when it names one; only an unset
-    folder (tests on one machine) falls back to a fresh scratch directory."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    """Write an intermediate result once as a table in the shared folder and read it back. Survives
+    lost executors, and unlike a cached plan it gives later stages a size and column pruning."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
