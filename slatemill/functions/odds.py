@@ -54,4 +54,4 @@ def points_clv(side: Column, close: Column, opened: Column) -> Column:
 
 
 def kelly_fraction(p: Column, price: Column, share: float) -> Column:
-    return clip((p * price - 1) / (price - 1), 0.0) * share
+    return clip(F.try_divide(p * price - 1, price - 1), 0.0) * share

@@ -56,7 +56,7 @@ def calibration_error(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFram
 # ------------------------------------------------------------------ bet summaries
 def bet_aggregates(p: str = "p", sign: str = "sign", pnl: str = "pnl") -> list[Column]:
     """Bets, wins, pushes, win rate without pushes, mean forecast, ROI, units and its standard error."""
-    won, settled = F.count_if(F.col(sign) == 1), F.count_if(F.col(sign) != 0)
+    won, settled = F.count_if(F.col(sign) == 1), F.nullif(F.count_if(F.col(sign) != 0), F.lit(0))
     return [F.count("*").alias("bets"), won.alias("wins"), F.count_if(F.col(sign) == 0).alias("pushes"),
             (won / settled).alias("win_rate"), F.avg(p).alias("avg_pred"),
             (won / settled - F.avg(F.when(F.col(sign) != 0, F.col(p)))).alias("cal_err"),
@@ -110,9 +110,9 @@ def cluster_bootstrap(df: DataFrame, keys: list[str], cluster: str, top: Column,
     reps = sums.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     w = poisson_weight(seed, F.col("rep"), F.col(cluster).cast("string"))
     r = reps.withColumn("w", w).groupBy(*keys, "rep").agg(
-        (F.sum(F.col("w") * F.col("t")) / F.sum(F.col("w") * F.col("b"))).alias("r"))
+        F.try_divide(F.sum(F.col("w") * F.col("t")), F.sum(F.col("w") * F.col("b"))).alias("r"))
     ci = r.groupBy(*keys).agg(F.percentile("r", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg("r").alias("boot_mean"))
-    point = sums.groupBy(*keys).agg((F.sum("t") / F.sum("b")).alias("value"), F.count("*").alias("clusters"))
+    point = sums.groupBy(*keys).agg(F.try_divide(F.sum("t"), F.sum("b")).alias("value"), F.count("*").alias("clusters"))
     out = point.join(ci, keys) if keys else point.join(F.broadcast(ci))      # one row each
     return out.select(*keys, "value", "clusters", "boot_mean", F.col("q")[0].alias("ci_lo"), F.col("q")[1].alias("ci_hi"))
 
@@ -125,8 +125,9 @@ def signal_screen(df: DataFrame, signals: dict[str, Column], target: str, era: s
     g = long.groupBy("signal", era).agg(
         F.regr_slope("y", "x").alias("slope"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"),
         F.regr_sxy("y", "x").alias("sxy"), F.regr_count("y", "x").alias("n"))
-    rss = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0))
-    t = F.when((F.col("n") >= min_n) & (F.col("sxx") > 0), F.col("slope") / F.sqrt(rss / (F.col("n") - 2) / F.col("sxx")))
+    sxx = F.nullif(F.col("sxx"), F.lit(0.0))
+    rss = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / sxx, F.lit(0.0))
+    t = F.when((F.col("n") >= min_n) & (F.col("sxx") > 0), F.try_divide(F.col("slope"), F.sqrt(rss / (F.col("n") - 2) / sxx)))
     return g.select("signal", era, "slope", "n", t.alias("t"))
 
 
@@ -159,7 +160,7 @@ def slate_sums(df: DataFrame, keys: list[str], slate: str, x: str, z: str) -> Da
 
 def _pair_corr(t: str) -> Column:
     mean = F.col(f"m{t}") / F.col("m")
-    return (F.col(f"c{t}") / F.col("m") - mean * mean) / (F.col(f"v{t}") / F.col("m") - mean * mean)
+    return F.try_divide(F.col(f"c{t}") / F.col("m") - mean * mean, F.col(f"v{t}") / F.col("m") - mean * mean)
 
 
 PAIR_SUMS = ["m", "cx", "mx", "vx", "cz", "mz", "vz"]
@@ -182,7 +183,7 @@ def earlier_season_dependence(df: DataFrame, season: str, slate: str, x: str, z:
     s = expand_to_later_seasons(slate_sums(df, [season], slate, x, z), season, later_seasons(df, season))
     s = s.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(n_boot - 1))))
     w = F.when(F.col("rep") < 0, F.lit(1)).otherwise(poisson_weight(seed, F.col("rep"), F.col(slate).cast("string")))
-    g = s.withColumn("w", w).groupBy("for_season", "rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in PAIR_SUMS])
+    g = s.withColumn("w", w).groupBy("for_season", "rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in PAIR_SUMS]).where("m > 0")
     r = g.select("for_season", "rep", "m", _pair_corr("z").alias("r"))
     b = r.groupBy(F.col("for_season").alias(season)).agg(
         F.max(F.when(F.col("rep") < 0, F.col("r"))).alias("rho"), F.max(F.when(F.col("rep") < 0, F.col("m"))).alias("pairs"),

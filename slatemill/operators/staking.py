@@ -35,7 +35,7 @@ def staking_report(bets: DataFrame, keys: list[str], stake: Column, chunk: Colum
     b = bets.withColumn("_st", stake).withColumn("_pl", F.col("_st") * F.col("pnl"))
     s = b.groupBy(*keys).agg(F.count("*").alias("bets"), F.sum("_st").alias("staked"), F.sum("_pl").alias("profit"))
     dd = drawdown(b, keys, chunk, order, "_pl").drop("units")
-    return s.join(dd, keys).withColumn("roi", F.col("profit") / F.col("staked"))
+    return s.join(dd, keys).withColumn("roi", F.try_divide("profit", "staked"))
 
 
 def day_grain(bets: DataFrame, keys: list[str]) -> DataFrame:

@@ -83,7 +83,16 @@ def straight_bets(spark, sf):
     return m.groupBy("season").agg(F.count("*").alias("bets"), F.avg(flat_profit(s, F.lit(1 + 100 / 110))).alias("roi"), F.avg("p_best").alias("avg_p"))
 
 
-@query("shopped_bets")
+DEC = "CASE WHEN {a} >= 100 THEN 1 + {a} / 100.0e0 WHEN {a} <= -100 THEN 1 + 100.0e0 / abs({a}) END"
+
+
+@query("shopped_bets", with_("cube0 book_quotes", "").rstrip() + MAIN_SQL + f""", c AS (SELECT game_key, median(open) AS ml FROM book_quotes GROUP BY 1),
+  q AS (SELECT b.*, {DEC.format(a='open_over')} AS d_o, {DEC.format(a='open_under')} AS d_u FROM book_quotes b JOIN c USING (game_key) WHERE abs(open - ml) <= 3),
+  o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY game_key ORDER BY open, d_o DESC, book) AS rn FROM q WHERE d_o IS NOT NULL) WHERE rn = 1),
+  u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY game_key ORDER BY open DESC, d_u DESC, book) AS rn FROM q WHERE d_u IS NOT NULL) WHERE rn = 1),
+  s AS (SELECT mv.season, mv.outcome, CASE WHEN p_over * o.d_o >= p_under * u.d_u THEN 1 ELSE -1 END AS side, CASE WHEN p_over * o.d_o >= p_under * u.d_u THEN o.open ELSE u.open END AS ln,
+     CASE WHEN p_over * o.d_o >= p_under * u.d_u THEN o.d_o ELSE u.d_u END AS od, greatest(p_over * o.d_o, p_under * u.d_u) AS value FROM mv JOIN o USING (game_key) JOIN u USING (game_key))
+  SELECT season, count(*) AS bets, {reals(roi='avg(CASE WHEN outcome = ln THEN 0 WHEN side * (outcome - ln) > 0 THEN od - 1 ELSE -1 END)')} FROM s WHERE value > 1 GROUP BY 1""")
 def shopped_bets(spark, sf):
     """Line shopping: each side at its best book, the side of higher value, graded at that line."""
     m = cards.main_line_view(preds(spark, sf), *fixed_calibrators(spark, sf))

@@ -74,10 +74,14 @@ def residual_shape(spark, sf):
     return models.student_t_df(z, ["season"], "z", [8.0]).select("season", "log_likelihood")
 
 
-@query("student_t_grid")
+GRID = [3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 15.0, 20.0, 30.0, 50.0, 100.0, 200.0]
+
+
+@query("student_t_grid", with_("train", "").rstrip() + f""", z AS (SELECT season, resid / 17.0e0 AS z FROM train WHERE eligible), l AS (SELECT season, v, sum(lgamma((v + 1) / 2) - lgamma(v / 2) - 0.5 * ln(v * pi()) - (v + 1) / 2 * ln(1 + z * z / v)) AS ll FROM z, (SELECT unnest([{', '.join(f'{v}e0' for v in GRID)}]) AS v) GROUP BY 1, 2)
+  SELECT season, {reals(t_df='arg_max(v, ll)', log_likelihood='max(ll)')} FROM l GROUP BY 1""")
 def student_t_grid(spark, sf):
     z = training(spark, sf).where("eligible").withColumn("z", F.col("resid") / 17.0)
-    return models.student_t_df(z, ["season"], "z", [3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 15.0, 20.0, 30.0, 50.0, 100.0, 200.0])
+    return models.student_t_df(z, ["season"], "z", GRID)
 
 
 # M9
