@@ -4,10 +4,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slatemill.functions.odds import flat_profit, outcome_sign
-from slatemill.operators import asof, calibrate, cards, clean, history, market, metrics, models, staking
-from slatemill.plans.q_history import style
-from slatemill.plans.q_market import CLOSE, LEGS, curve_cte, with_board
-from slatemill.plans.q_models import predictions, rated_games
+from slatemill.operators import asof, calibrate, cards, clean, history, market, metrics, staking
+from slatemill.plans.q_models import predictions
 from slatemill.plans.registry import query, reals
 from slatemill.plans.standins import CTES, SHARP, SOFT, bets, book_quotes, box, finals, games, player_box, quotes, with_
 from slatemill.session import cut_lineage

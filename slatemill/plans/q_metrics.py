@@ -4,10 +4,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slatemill.functions.probability import add_copula_joint, wilson_interval
-from slatemill.operators import clean, market, metrics, running
+from slatemill.operators import clean, market, metrics
 from slatemill.plans.q_history import long_history
 from slatemill.plans.registry import query, reals
-from slatemill.plans.standins import CTES, bets, book_quotes, forecasts, games, player_box, quotes, table, with_
+from slatemill.plans.standins import bets, book_quotes, forecasts, games, player_box, quotes, with_
 
 WILSON = "({c} {s} 1.96 * sqrt(({p}) * (1 - ({p})) / {n} + 1.96*1.96 / (4.0 * {n} * {n})) / (1 + 1.96*1.96 / {n}))"
 

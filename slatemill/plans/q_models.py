@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from slatemill.operators import calibrate, models, ratings
 from slatemill.plans.registry import query, reals
-from slatemill.plans.standins import CTES, bets, box, forecasts, games, with_
+from slatemill.plans.standins import CTES, box, forecasts, games, with_
 from slatemill.session import cut_lineage
 
 MEAN_FEATS = ["f_home", "f_away", "f_move", "f_rest"]

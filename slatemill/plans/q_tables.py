@@ -5,11 +5,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from slatemill.functions import dates, numbers, odds, text
-from slatemill.functions.probability import add_norm_cdf
 from slatemill.operators import clean, history
 from slatemill.plans.q_history import CTES, HIST, STYLE, ew_sql, long_history, style
 from slatemill.plans.registry import query, reals
-from slatemill.plans.standins import bets, book_quotes, games, quotes, table, with_
+from slatemill.plans.standins import bets, book_quotes, games, table, with_
 
 
 # S1
