@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from slatemill.llm.common import table
+from slatemill.llm.covering_simhash import simhash_components
 from slatemill.llm.token_files import token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +34,8 @@ def query(name: str, sql: str | None = None):
 def op1_token_files(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
     return token_files(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_OF_DOCUMENT)
+
+
+@query("op6_covering_simhash")
+def op6_covering_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash_components(table(spark, sf, "documents"))
