@@ -4,9 +4,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from slatemill.llm.collision_ann import nearest
 from slatemill.llm.common import table
 from slatemill.llm.covering_simhash import simhash_components
+from slatemill.llm.hnsw_dedup import cosine_groups
+from slatemill.llm.length_buckets import pack
+from slatemill.llm.mixing import mix
+from slatemill.llm.quality import quality_scores
 from slatemill.llm.token_files import token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +45,28 @@ def op1_token_files(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_covering_simhash")
 def op6_covering_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_components(table(spark, sf, "documents"))
+
+
+@query("op4_collision_ann")
+def op4_collision_ann(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op7_hnsw_dedup")
+def op7_hnsw_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return cosine_groups(table(spark, sf, "embeddings"))
+
+
+@query("op2_mixing")
+def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mix(table(spark, sf, "documents"))
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op10_length_buckets")
+def op10_length_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(table(spark, sf, "documents"))
