@@ -69,7 +69,8 @@ def backoff_scores(docs: DataFrame, order: int = 2, backoff: float = 0.4, block_
         at = np.append(at, len(h))
         some = np.flatnonzero(np.diff(at))
         return pd.DataFrame({"block": np.full(len(some), key[0], dtype=np.int64), "bucket": some,
-                             "hash": [h[at[i]:at[i + 1]].view(np.int64) for i in some], "n": [n[at[i]:at[i + 1]].astype(np.int32) for i in some]})
+                             "hash": pd.Series([h[at[i]:at[i + 1]].view(np.int64) for i in some], dtype=object),
+                             "n": pd.Series([n[at[i]:at[i + 1]].astype(np.int32) for i in some], dtype=object)})
 
     packed = blocked.groupBy("block").applyInPandas(explode, "block long, bucket long, hash array<long>, n array<int>").repartition("bucket")
     grams = packed.select("block", "bucket", F.inline(F.arrays_zip("hash", "n")))

@@ -6,12 +6,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slatemill.llm.backoff_lm import backoff_scores
 from slatemill.llm.collision_ann import nearest
 from slatemill.llm.common import table
 from slatemill.llm.covering_simhash import simhash_components
 from slatemill.llm.hnsw_dedup import cosine_groups
 from slatemill.llm.length_buckets import pack
 from slatemill.llm.mixing import mix
+from slatemill.llm.page_diff import main_text
+from slatemill.llm.preference import preference_rows
 from slatemill.llm.quality import quality_scores
 from slatemill.llm.token_files import token_files
 
@@ -70,3 +73,18 @@ def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_length_buckets")
 def op10_length_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"))
+
+
+@query("op5_backoff_lm")
+def op5_backoff_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return backoff_scores(table(spark, sf, "documents"))
+
+
+@query("op8_preference")
+def op8_preference(spark: SparkSession, sf: str) -> DataFrame:
+    return preference_rows(table(spark, sf, "conversations"))
+
+
+@query("op9_page_diff")
+def op9_page_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return main_text(table(spark, sf, "pages"))
