@@ -132,7 +132,8 @@ def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     c, d = np.ones_like(t), 1 - (p + q) * t / (p + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()
-    for m in range(1, 400):
+    most = 400 + int(8 * math.sqrt(float(np.max(np.maximum(p, q), initial=1.0))))     # needs about the root of the larger parameter
+    for m in range(1, most):
         for num in (m * (q - m) * t / ((p + 2 * m - 1) * (p + 2 * m)),
                     -(p + m) * (p + q + m) * t / ((p + 2 * m) * (p + 2 * m + 1))):
             d = 1 + num * d
@@ -143,12 +144,16 @@ def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             h *= step
         if np.all(np.abs(step - 1) < 1e-14):
             break
+    else:
+        raise ArithmeticError(f"the incomplete beta fraction did not converge in {most} steps")
     out = front * h
     return np.where(flip, 1 - out, out)
 
 
 def beta_quantile_array(q: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    lo, hi = np.zeros_like(a, dtype=float), np.ones_like(a, dtype=float)
+    mean = a / (a + b)
+    wide = 12 * np.sqrt(mean * (1 - mean) / (a + b + 1)) + 40 / (a + b)
+    lo, hi = np.maximum(mean - wide, 0.0), np.minimum(mean + wide, 1.0)
     for _ in range(60):
         mid = (lo + hi) / 2
         below = beta_cdf(mid, a, b) < q

@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import difflib
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,12 +20,6 @@ def fold_accents(s: Column) -> Column:
     return F.translate(F.lower(F.coalesce(s, F.lit(""))), ACCENTED, PLAIN)
 
 
-@F.pandas_udf(T.StringType())
-def fold_accents_full(s: pd.Series) -> pd.Series:
-    """Full Unicode decomposition, for names outside the table."""
-    return s.fillna("").map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower())
-
-
 def name_tokens(s: Column, folded: bool = False) -> Column:
     """Distinct-order word list: three or more letters or digits, stop words removed."""
     base = s if folded else fold_accents(s)
@@ -35,14 +28,14 @@ def name_tokens(s: Column, folded: bool = False) -> Column:
 
 
 def person_key(s: Column) -> Column:
-    """Comparable form of a person's name: folded, letters only, generation suffix dropped."""
-    words = F.split(F.trim(F.regexp_replace(fold_accents(s), r"[^a-z ]", "")), r"\s+")
+    """Comparable form of a person's name: folded, letters only (a hyphen parts words), generation suffix dropped."""
+    words = F.split(F.trim(F.regexp_replace(F.translate(fold_accents(s), "-", " "), r"[^a-z ]", "")), r"\s+")
     return F.concat_ws(" ", F.filter(words, lambda w: ~w.isin(*NAME_SUFFIXES)))
 
 
 def nickname(team: Column) -> Column:
-    """Last word of a team name."""
-    return F.element_at(F.split(F.trim(team), r"\s+"), -1)
+    """Last word of a team name, lower case."""
+    return F.element_at(F.split(F.lower(F.trim(team)), r"\s+"), -1)
 
 
 def alnum_key(s: Column) -> Column:

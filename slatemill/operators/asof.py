@@ -47,7 +47,7 @@ def close_board(quotes: DataFrame, tolerance_minutes: float = 30) -> DataFrame:
 
 def open_close_ladder(quotes: DataFrame, tolerance_minutes: float = 30) -> DataFrame:
     """First and last active price per cell, with whether the cell was still offered at the close."""
-    live = F.col("active") & F.col("price").isNotNull()
+    live = F.col("active") & (F.col("price") != 0)          # a null or zero price is no offer
     when_live = lambda c: F.when(live, F.col(c))
     cells = quotes.groupBy(*CELL).agg(
         F.min(when_live("t")).alias("open_t"), F.min_by("price", when_live("seq")).alias("open_price"),
@@ -92,9 +92,14 @@ def main_lines(ladder: DataFrame, balance: float = 0.08, window_seconds: float =
         F.col("c.line").alias("close_line"), F.col("c.po").alias("close_over"), F.col("c.pu").alias("close_under"))
 
 
+def starting_times(quotes: DataFrame) -> DataFrame:
+    """Start of each fixture as its last update has it; a fixture may be moved."""
+    return quotes.groupBy("fixture_id").agg(F.max_by("start", "seq").alias("start"))
+
+
 def decision_at(quotes: DataFrame, hours: float) -> DataFrame:
     """Act `hours` before the scheduled start."""
-    starts = quotes.groupBy("fixture_id").agg(F.first("start").alias("start"))
+    starts = starting_times(quotes)
     return starts.select("fixture_id", (F.col("start") - F.make_dt_interval(secs=F.lit(hours * 3600.0))).alias("when"))
 
 
@@ -108,7 +113,7 @@ def at_local_hour(quotes: DataFrame, zone: str, hour: int) -> DataFrame:
     """Act at a local clock hour of the game day, where that is before the start."""
     from slatemill.functions.dates import local_clock
 
-    starts = quotes.groupBy("fixture_id").agg(F.first("start").alias("start"))
+    starts = starting_times(quotes)
     return starts.withColumn("when", local_clock(F.col("start"), zone, hour)).where(F.col("when") < F.col("start")).drop("start")
 
 

@@ -25,6 +25,11 @@ def pseudo_bets(hist: DataFrame) -> DataFrame:
                           "win": (F.col("side") * (F.col("outcome") - thr) > 0).cast("double")})
 
 
+def _type(df: DataFrame, name: str) -> str:
+    """Type of a column as schema text; seasons may be years or texts such as 2015-16."""
+    return df.schema[name].dataType.simpleString()
+
+
 def design(terms: str, s_model: Column, s_buf: Column, side: Column) -> list[Column]:
     x = [F.lit(1.0), s_model, s_buf, s_buf * s_buf, s_model * s_buf]
     if terms in ("side", "side_buffer"):
@@ -87,6 +92,8 @@ def fit_latent(preds: DataFrame, seed_seasons: int = 2, terms: str = "base", dec
             biggest = max(biggest, float(np.abs(step).max()))
         if biggest < 1e-8:
             break
+    else:
+        raise RuntimeError(f"the latent fit still moved by {biggest} after {max_steps} steps")
     final = hessians()
     e = d.withColumn("r", F.col("w") * (F.col("win") - 1 / (1 + F.exp(-eta()))))
     score = e.groupBy("fit", "date").agg(*[F.sum(F.col("r") * c).alias(f"g{i}") for i, c in enumerate(cols)])
@@ -98,7 +105,7 @@ def fit_latent(preds: DataFrame, seed_seasons: int = 2, terms: str = "base", dec
             m[i, j] = m[j, i] = v
         inv = np.linalg.inv(final[r["fit"]][0])
         table.append((r["fit"], [float(b) for b in beta[r["fit"]]], [float(v) for v in (inv @ m @ inv).ravel()]))
-    return preds.sparkSession.createDataFrame(table, "season bigint, beta array<double>, v array<double>")
+    return preds.sparkSession.createDataFrame(table, f"season {_type(preds, 'season')}, beta array<double>, v array<double>")
 
 
 def add_latent_probability(df: DataFrame, out: str, s_model: Column, s_buf: Column, side: Column, terms: str = "base",
@@ -159,7 +166,9 @@ def platt_by_season(preds: DataFrame, p: str, y: str, seed_seasons: int = 2, ste
             biggest = max(biggest, float(np.abs(step).max()))
         if biggest < 1e-9:
             break
-    return preds.sparkSession.createDataFrame([(s, a, b) for s, (a, b) in beta.items()], "season bigint, slope double, icept double")
+    else:
+        raise RuntimeError(f"the Platt fit still moved by {biggest} after {steps} steps")
+    return preds.sparkSession.createDataFrame([(s, a, b) for s, (a, b) in beta.items()], f"season {_type(preds, 'season')}, slope double, icept double")
 
 
 def walk_forward_calibrated(preds: DataFrame, p: str, y: str, q: float = 0.05, seed_seasons: int = 2) -> DataFrame:
@@ -215,7 +224,7 @@ def neighbourhood_bound(hist: DataFrame, asks: DataFrame, keys: list[str], p: st
     chunk = F.floor(F.least(F.greatest("x", F.lit(0.0)), F.lit(1.0)) * 512)
     r = running_total(running_total(d, keys, chunk, ["x"], "n", "cn"), keys, chunk, ["x"], "w", "cw")
     thin = g.where(F.col("start") < F.col("lo"))
-    j = thin.join(r, keys) if keys else thin.join(F.broadcast(r))
+    j = thin.join(r, keys) if keys else thin.join(F.broadcast(r))      # no keys: one axis
     hit = j.where((F.col("cn") > F.col("start")) & (F.col("cn") - F.col("n") <= F.col("start")))
     hit = hit.select(*keys, "p", (F.col("cw") - F.col("w") + (F.col("start") - (F.col("cn") - F.col("n"))) * F.col("w") / F.col("n")).alias("wst"))
     g = g.join(hit, keys + ["p"], "left").withColumn("wins", F.col("whi") - F.coalesce("wst", "wlo")).withColumn("n", F.col("hi") - F.col("start"))

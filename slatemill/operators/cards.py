@@ -14,6 +14,8 @@ from slatemill.session import cut_lineage
 
 # Default price of a main leg without a real quote, and the flat -110 price used by slates.
 MAIN_PRICE = 1.909
+# Fixed value: games of a date among which the closest pair is looked for.
+CLOSEST_OF = 8
 
 
 def _attach(df: DataFrame, cal: DataFrame) -> DataFrame:
@@ -90,7 +92,9 @@ def ladder_legs(preds: DataFrame, cal: DataFrame, market: DataFrame, quotes: Dat
 
 
 # ------------------------------------------------------------------ pair search
-LEG = ["game_key", "side", "k", "main", "thr", "odds", "p", "p_cons", "win", "push"]
+LEG = ["game_key", "side", "k", "main", "thr", "odds", "p", "p_cons", "outcome", "win", "push"]
+# Ids of a pair: an option number below OPTIONS, and two leg-and-option ids side by side in one long.
+OPTIONS, PAIR = 1 << 12, 1 << 31
 
 
 def top_legs(options: DataFrame, score: Column, n: int) -> DataFrame:
@@ -121,15 +125,17 @@ def best_option_pair(options: DataFrame, needs: list[str], ok: Column, score: Co
 
     Every option carries a small id (`leg` rank and `opt` position), so the search aggregates plain
     numbers (hash aggregation, no sorting of wide rows): first the best score of each date, then the
-    lowest pair id reaching it. The two winners fetch their details by id.
+    lowest pair id reaching it. The two winners fetch their details by id. Numbers too large for the ids are an error.
     """
     # read six times below, so the short list is written once instead of repricing every leg
-    o = cut_lineage(options.withColumn("oid", F.col("leg") * 64 + F.col("opt")))
+    o = cut_lineage(options.withColumn("oid", F.when(
+        (F.col("opt") < OPTIONS) & (F.col("leg") < PAIR // OPTIONS), F.col("leg").cast("long") * OPTIONS + F.col("opt"))
+        .otherwise(F.raise_error(F.lit("too many legs or options of a date for the pair ids")).cast("long"))))
     x = leg_pairs(o.select("date", "season", "game_key", "oid", *needs), ["game_key", "oid", *needs]).where(ok).withColumn("_v", score)
     top = x.groupBy("date").agg(F.max("_v").alias("_top"))
-    pid = F.col("oid_a") * 65536 + F.col("oid_b")
+    pid = F.col("oid_a") * PAIR + F.col("oid_b")
     pick = x.join(top, "date").where(F.col("_v") == F.col("_top")).groupBy("date").agg(F.min(pid).alias("pid"), F.max("_v").alias("score"))
-    pick = pick.select("date", "score", F.expr("pid div 65536").alias("oid_a"), (F.col("pid") % 65536).alias("oid_b"))
+    pick = pick.select("date", "score", F.expr(f"pid div {PAIR}").alias("oid_a"), (F.col("pid") % PAIR).alias("oid_b"))
     side = lambda s, more: o.select("date", *more, F.col("oid").alias(f"oid_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in detail])
     return pick.join(side("a", ["season"]), ["date", "oid_a"]).join(side("b", []), ["date", "oid_b"]).drop("oid_a", "oid_b")
 
@@ -214,17 +220,22 @@ def decide_slates(preds: DataFrame, rhos: DataFrame, joint_target: float = 0.60,
     good = (F.col("p_cal") >= floor) & (F.col("p_cal") * odds > 1) & (F.col("proj_total") - F.col("line") > min_edge)
     per = d.groupBy("date", "season").agg(F.count("*").alias("n_games"), F.count_if(good).alias("n_candidates"))
     single_ok = good & (F.col("p_cons") >= single_min) & (F.col("p_cons") * odds > 1)
-    single = d.where(single_ok).groupBy("date").agg(F.max_by(F.struct("game_key", "line", "total"), F.struct("p_cal", (-F.col("game_key")).alias("g"))).alias("s"))
+    single = d.where(single_ok).groupBy("date").agg(F.min_by(F.struct("game_key", "line", "total"), F.struct(-F.col("p_cal"), F.col("game_key"))).alias("s"))
     cols = ["game_key", "p_cal", "p_cons", "line", "total"]
     c = pair_skyline(d.where(good), "p_cal", "p_cons")
     x = leg_pairs(c, cols).join(F.broadcast(rhos), "season")                          # one row per season
     x = add_copula_joint(x, "joint_cal", F.col("p_cal_a"), F.col("p_cal_b"), F.col("rho"))
     x = add_copula_joint(x, "joint_cons", F.col("p_cons_a"), F.col("p_cons_b"), F.col("rho_lo"))
     ok = F.col("joint_cons") >= joint_target
-    order = F.when(ok, F.struct("joint_cal", (-F.col("game_key_a")).alias("a"), (-F.col("game_key_b")).alias("b")))
+    order = F.when(ok, F.struct(-F.col("joint_cal"), F.col("game_key_a"), F.col("game_key_b")))
     pick = F.struct("game_key_a", "game_key_b", "line_a", "line_b", "total_a", "total_b", "joint_cal", "joint_cons")
-    card = x.groupBy("date").agg(F.max_by(F.when(ok, pick), order).alias("c"), F.max("joint_cons").alias("closest_joint_cons"))
-    r = per.join(card, "date", "left").join(single, "date", "left")
+    card = x.groupBy("date").agg(F.min_by(F.when(ok, pick), order).alias("c"))
+    # the near miss is taken among a date's most likely games, whether candidates or not
+    nearest = F.row_number().over(Window.partitionBy("date").orderBy(F.col("p_cal").desc(), "game_key"))
+    pool = d.withColumn("_rk", nearest).where(F.col("_rk") <= CLOSEST_OF)
+    near = add_copula_joint(leg_pairs(pool, ["game_key", "p_cons"]).join(F.broadcast(rhos), "season"), "joint_cons", F.col("p_cons_a"), F.col("p_cons_b"), F.col("rho_lo"))
+    near = near.groupBy("date").agg(F.max("joint_cons").alias("closest_joint_cons"))
+    r = per.join(card, "date", "left").join(single, "date", "left").join(near, "date", "left")
     res = lambda t, l: F.signum(F.col(t) - F.col(l)).cast("int")
     two, one = F.col("c").isNotNull(), F.col("s").isNotNull()
     sa, sb = res("c.total_a", "c.line_a"), res("c.total_b", "c.line_b")
@@ -259,7 +270,8 @@ def max_playable_line(preds: DataFrame, cal: DataFrame, market: DataFrame, min_p
 
 
 def improve_by_best_book(cards: DataFrame, quotes: DataFrame, median: DataFrame) -> DataFrame:
-    """Regrade chosen cards with each leg moved by the best book's advantage over the median line."""
+    """Chosen cards with each leg moved by the best book's advantage over the median line, and graded there at unchanged
+    prices: adds thr_shop, win_shop and push_shop per leg, and profit_shop."""
     q = quotes.join(median.select("game_key", F.col("line").alias("median_line")), "game_key")
     gain = q.select("game_key", F.greatest(F.col("median_line") - F.col("over_line"), F.lit(0.0)).alias("gain_over"),
                     F.greatest(F.col("under_line") - F.col("median_line"), F.lit(0.0)).alias("gain_under"))
@@ -269,4 +281,7 @@ def improve_by_best_book(cards: DataFrame, quotes: DataFrame, median: DataFrame)
         d = d.join(g, f"game_key_{s}", "left")
         adv = F.coalesce(F.when(F.col(f"side_{s}") == 1, F.col(f"_go_{s}")).otherwise(F.col(f"_gu_{s}")), F.lit(0.0))
         d = d.withColumn(f"thr_shop_{s}", F.col(f"thr_{s}") - F.col(f"side_{s}") * adv).drop(f"_go_{s}", f"_gu_{s}")
-    return d
+        d = d.withColumns({f"win_shop_{s}": F.col(f"side_{s}") * (F.col(f"outcome_{s}") - F.col(f"thr_shop_{s}")) > 0,
+                           f"push_shop_{s}": F.col(f"outcome_{s}") == F.col(f"thr_shop_{s}")})
+    sign = lambda s: F.when(F.col(f"win_shop_{s}"), 1).when(F.col(f"push_shop_{s}"), 0).otherwise(-1)
+    return d.withColumn("profit_shop", double_profit(sign("a"), F.col("settle_a"), sign("b"), F.col("settle_b")))

@@ -210,6 +210,15 @@ def previous_meeting(games: DataFrame, value: str) -> DataFrame:
     return attach(g, d, ["season", "pair"])
 
 
+def best_or_all(df: DataFrame, keys: list[str], n: int, order: list[Column], keep: Column) -> DataFrame:
+    """The first `n` rows of each group and every row that meets `keep`. Only the first part is ranked, and a bare limit
+    on a rank is applied before the shuffle, so a large group never meets in one task."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    first = df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+    keep = F.coalesce(keep, F.lit(False))
+    return first.where(~keep).unionByName(df.where(keep))
+
+
 def leakage_violations(df: DataFrame, asof: str = "asof", date: str = "date") -> DataFrame:
     """Rows whose features saw their own date or later. Must be empty."""
     return df.where(F.col(asof) >= F.col(date))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slatemill.functions.numbers import clip
 from slatemill.functions.odds import american_to_decimal, no_vig
 from slatemill.functions.probability import add_norm_cdf, add_norm_ppf
-from slatemill.operators.asof import board_at, two_way
+from slatemill.operators.asof import board_at, starting_times, two_way
 from slatemill.operators.history import centre_before
 from slatemill.operators.running import grid_quantiles
 
@@ -59,7 +59,7 @@ def value_legs(quotes: DataFrame, when: DataFrame, closing: DataFrame, soft: lis
     b = board_at(quotes, when, extra=extra)
     now = fair_curve(b, sharp, keys).select(*keys, "a", "b", "fair_mu")
     cl = closing.select("fixture_id", F.col("a").alias("ca"), F.col("b").alias("cb"))
-    starts = quotes.groupBy("fixture_id").agg(F.first("start").alias("start"))
+    starts = starting_times(quotes)
     s = (b.where(F.col("book").isin(soft) & is_half_line(F.col("line"))).join(now, keys).join(cl, "fixture_id")
          .join(starts, "fixture_id").join(finals, "fixture_id", "left").withColumn("date", date_of))
     # one deviation per fixture, centred on the mean of earlier dates
@@ -112,8 +112,8 @@ def best_pair(legs: DataFrame, group: list[str], key: str = "fixture_id", price:
     """The pair with the highest joint value per group: (group, leg_a, leg_b, joint), a < b."""
     p = best_partner(legs, group, key, price, value, floor)
     a, b = F.least("leg", "partner"), F.greatest("leg", "partner")
-    return p.groupBy(*group).agg(F.max(F.struct("joint", (-a).alias("a"), (-b).alias("b"))).alias("m")).select(
-        *group, (-F.col("m.a")).alias("leg_a"), (-F.col("m.b")).alias("leg_b"), F.col("m.joint").alias("joint"))
+    best = F.struct(a.alias("leg_a"), b.alias("leg_b"), "joint")
+    return p.groupBy(*group).agg(F.min_by(best, F.struct(-F.col("joint"), a, b)).alias("m")).select(*group, "m.*")
 
 
 def disjoint_pairs(legs: DataFrame, group: list[str], cut, key: str = "fixture_id", price: str = "price",

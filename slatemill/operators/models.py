@@ -168,7 +168,7 @@ def fit_mean_models(train: DataFrame, feats: list[str], target: str = "resid", a
 MODEL = ["med", "coef", "mean", "sd", "intercept", "y_sd"]
 
 
-def _season_list(df: DataFrame, min_train: int) -> DataFrame:
+def allowed_seasons(df: DataFrame, min_train: int) -> DataFrame:
     """Seasons that may be predicted, with their index (one row per season)."""
     order = Window.partitionBy().orderBy("season")
     return df.select("season").distinct().withColumn("_i", F.row_number().over(order) - 1).where(F.col("_i") >= min_train)
@@ -213,7 +213,7 @@ def walk_forward(df: DataFrame, mean_feats: list[str], var_feats: list[str], alp
     """
     train = df.where("eligible")
     everything = cut_lineage(df.select("season").distinct())                  # one row per season
-    allowed = _season_list(everything, min_train)
+    allowed = allowed_seasons(everything, min_train)
     meds = medians_of_earlier_seasons(train, "season", list(dict.fromkeys(mean_feats + var_feats)))
     mkt = ridge_coefficients(earlier_sums(cross_products(train, ["season"], [], "resid"), "season"), "season", None, [], alpha)
     first_target = "resid" if close is None else "move"
@@ -265,6 +265,21 @@ def spread_by_level(df: DataFrame, keys: list[str], mu: str, resid: str, bins: i
     return b.groupBy(*keys).agg(F.regr_intercept("s", "x").alias("a"), F.regr_slope("s", "x").alias("b"))
 
 
+def level_forecasts(p: DataFrame, outcome: str, mu: str, line: str) -> DataFrame:
+    """Spread and chance of more than a line for out-of-sample forecasts. A season's spread (by level) and residual shape come
+    from the forecasts of earlier seasons alone, each of which was made before its own season; a season with none drops out.
+    p: season, outcome, mu, line. Adds sd and p_over."""
+    seasons = p.select(F.col("season").alias("for_season")).distinct()                       # one row per season
+    past = p.withColumn("_res", F.col(outcome) - F.col(mu)).join(F.broadcast(seasons), F.col("season") < F.col("for_season"))
+    past = cut_lineage(past.select("for_season", mu, "_res"))
+    level = F.broadcast(cut_lineage(spread_by_level(past, ["for_season"], mu, "_res")))      # one row per season
+    sd = F.col("a") + F.col("b") * F.sqrt(mu)
+    z = past.join(level, "for_season").select("for_season", (F.col("_res") / sd).alias("_z"))
+    asked = p.join(level, F.col("season") == F.col("for_season")).withColumn("sd", sd).withColumn("_z", (F.col(line) - F.col(mu)) / F.col("sd")).drop("a", "b")
+    asked = cut_lineage(asked)
+    return asked.join(empirical_exceedance(z, asked, ["for_season"], "_z").withColumnRenamed("p", "p_over"), ["for_season", "_z"]).drop("for_season", "_z")
+
+
 def empirical_exceedance(hist: DataFrame, asks: DataFrame, keys: list[str], z: str, reach: float = 64.0) -> DataFrame:
     """P(Z > z) from a sample per key: rows (keys, z, p). Residuals are mapped to [0, 1] for the
     chunked count (values beyond +-reach share the end chunks, which stays exact)."""

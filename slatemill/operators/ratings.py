@@ -44,8 +44,15 @@ def _system(sides: list[tuple], y: list[np.ndarray], n: np.ndarray, size: int, t
     return np.linalg.solve(ata + np.diag(reg + 1e-9), aty)
 
 
-RATING_SCHEMA = ("league bigint, date date, home bigint, away bigint, neutral boolean, asof date, n_home double, n_away double, "
-                 "pts_home double, pts_away double, poss double, oe_home double, oe_away double, eff_total double")
+RATING_COLUMNS = ("league", "date", "home", "away", "neutral", "asof", "n_home", "n_away", "pts_home", "pts_away", "poss", "oe_home", "oe_away", "eff_total")
+
+
+def _schema(games: DataFrame, columns: tuple[str, ...], like: dict[str, str]) -> str:
+    """Schema text: key columns have the type they have in `games` (numbers or texts), dates are dates, the rest doubles."""
+    kind = {f.name: f.dataType.simpleString() for f in games.schema.fields}
+    of = {c: kind[like.get(c, c)] for c in columns if like.get(c, c) in ("league", "season", "home")}
+    fixed = {"date": "date", "asof": "date", "neutral": "boolean"}
+    return ", ".join(f"{c} {of.get(c, fixed.get(c, 'double'))}" for c in columns)
 
 
 def daily_ratings(games: DataFrame, half_life: float = 45.0, previous: float = 0.15, ridge: float = 3.0, lookback: int = 400,
@@ -66,7 +73,7 @@ def daily_ratings(games: DataFrame, half_life: float = 45.0, previous: float = 0
         d = d.sort_values(["day", "home", "away", "neutral"]).reset_index(drop=True)
         today = d[d.day // block_days == block]
         if today.empty:
-            return pd.DataFrame(columns=[c.split()[0] for c in RATING_SCHEMA.split(", ")])
+            return pd.DataFrame(columns=list(RATING_COLUMNS))
         teams = {t: i for i, t in enumerate(sorted(set(d.home) | set(d.away)))}
         k = len(teams)
         hi, ai = d.home.map(teams).to_numpy(), d.away.map(teams).to_numpy()
@@ -106,15 +113,14 @@ def daily_ratings(games: DataFrame, half_life: float = 45.0, previous: float = 0
                 oh, oa = e[m] + e[th] + e[k + ta] + e[hv] * tv, e[m] + e[ta] + e[k + th] - e[hv] * tv
                 rows = rows.assign(poss=poss, oe_home=oh, oe_away=oa, eff_total=poss * (oh + oa) / 100.0)
             out.append(rows)
-        r = pd.concat(out, ignore_index=True).reindex(columns=[c.split()[0] for c in RATING_SCHEMA.split(", ")])
+        r = pd.concat(out, ignore_index=True).reindex(columns=list(RATING_COLUMNS))
         r["asof"] = r["asof"].astype(object).where(r["asof"].notna(), None)
         return r
 
-    return spread(p, "league", "block").groupBy("league", "block").applyInPandas(solve, RATING_SCHEMA)
+    return spread(p, "league", "block").groupBy("league", "block").applyInPandas(solve, _schema(games, RATING_COLUMNS, {"away": "home"}))
 
 
-STATE_SCHEMA = ("league bigint, date date, team bigint, season bigint, asof date, off double, dfn double, games double, line_tend double, ou_trend double, "
-                "pts_for double, pts_against double, lg_total double, lg_line double, home_adv double")
+STATE_COLUMNS = ("league", "date", "team", "season", "asof", "off", "dfn", "games", "line_tend", "ou_trend", "pts_for", "pts_against", "lg_total", "lg_line", "home_adv")
 
 
 def team_states(games: DataFrame, k: float = 0.08, halflife: float = 10.0, prior: float = 5.0, regress: float = 0.4,
@@ -176,9 +182,9 @@ def team_states(games: DataFrame, k: float = 0.08, halflife: float = 10.0, prior
                     s["n"] += r.n
                 lg, ll = ew(*lg, r.hp + r.ap, r.n, lg_decay), ew(*ll, r.ln, r.n, lg_decay)
             last = date
-        return pd.DataFrame(out, columns=[c.split()[0] for c in STATE_SCHEMA.split(", ")])
+        return pd.DataFrame(out, columns=list(STATE_COLUMNS))
 
-    return spread(p, "league").groupBy("league").applyInPandas(fold, STATE_SCHEMA)
+    return spread(p, "league").groupBy("league").applyInPandas(fold, _schema(games, STATE_COLUMNS, {"team": "home"}))
 
 
 def expected_points(games: DataFrame, states: DataFrame) -> DataFrame:

@@ -55,7 +55,9 @@ def _pieces(t: Column) -> Column:
 
 def similar_words(a: DataFrame, b: DataFrame, cutoff: float, exact_matcher: bool) -> DataFrame:
     """Pairs (wa, wb) of distinct words with ratio >= cutoff. Only the two vocabularies are compared,
-    blocked by shared pieces and by length."""
+    blocked by shared pieces and by length. Below 0.75 two words need not share a piece, so that is an error."""
+    if cutoff < 0.75:
+        raise ValueError("cutoff must be 0.75 or more")
     pa = a.select("wa", F.explode(_pieces(F.col("wa"))).alias("piece"))
     pb = b.select("wb", F.explode(_pieces(F.col("wb"))).alias("piece"))
     la, lb = F.length("wa"), F.length("wb")
@@ -115,10 +117,10 @@ def match_fixtures(left: DataFrame, right: DataFrame, days: int = 1, cutoff: flo
     crossed = F.least(_similarity("home_l", "ra"), _similarity("away_l", "rh")) if both_ways else F.lit(0.0)
     s = c.select("fixture_id", "game_key", straight.alias("s1"), crossed.alias("s2"))
     s = s.select("fixture_id", "game_key", F.greatest("s1", "s2").alias("score"), (F.col("s2") > F.col("s1")).alias("swapped"))
-    best = s.groupBy("fixture_id").agg(F.max(F.struct("score", (-F.col("game_key")).alias("k"), "swapped")).alias("m"))
+    best = s.groupBy("fixture_id").agg(F.min_by(F.struct("score", "game_key", "swapped"), F.struct(-F.col("score"), F.col("game_key"))).alias("m"))
     out = left.select("fixture_id").join(best, "fixture_id", "left")
     ok = F.coalesce(F.col("m.score") >= accept, F.lit(False))
-    return out.select("fixture_id", F.when(ok, -F.col("m.k")).alias("game_key"), F.coalesce("m.score", F.lit(0.0)).alias("match_score"),
+    return out.select("fixture_id", F.when(ok, F.col("m.game_key")).alias("game_key"), F.coalesce("m.score", F.lit(0.0)).alias("match_score"),
                       F.coalesce(ok & F.col("m.swapped"), F.lit(False)).alias("swapped"))
 
 
@@ -139,28 +141,40 @@ def resolve_names(names: DataFrame, known: DataFrame, cutoff: float = 0.75) -> D
 
 
 # ------------------------------------------------------------------ ids without names
-def match_ids(lines: DataFrame, forecasts: DataFrame, min_share: float = 0.5, absent: float = 20.0, no_forecast: float = 8.0) -> DataFrame:
+def match_ids(lines: DataFrame, forecasts: DataFrame, min_share: float = 0.5, absent: float = 20.0, no_forecast: float = 8.0,
+              keys: list[str] | None = None) -> DataFrame:
     """Feed ids to players: cost = median |line - forecast| over shared games + 20 x share of the id's
     games the player missed (at most half). Mutual best pairs are kept with the gap to the id's next
-    best. lines: pid, game, line; forecasts: game, player, mu (null: on the roster, no forecast)."""
-    played = lines.groupBy("pid").agg(F.count("*").alias("n"))
-    pair = lines.join(forecasts, "game").groupBy("pid", "player").agg(
+    best. lines: pid, game, line; forecasts: game, player, mu (null: on the roster, no forecast).
+    `keys` are columns of both sides; each of their values is matched by itself."""
+    keys = keys or []
+    played = lines.groupBy(*keys, "pid").agg(F.count("*").alias("n"))
+    pair = lines.join(forecasts, keys + ["game"]).groupBy(*keys, "pid", "player").agg(
         F.count("*").alias("k"), F.median(F.abs(F.col("line") - F.col("mu"))).alias("d"))
     share = F.col("k") / F.col("n")
-    c = pair.join(played, "pid").where(share >= min_share)
-    c = c.select("pid", "player", (F.coalesce("d", F.lit(no_forecast)) + absent * (1 - share)).alias("cost"))
-    w = Window.partitionBy("pid").orderBy("cost", "player")
-    first = c.select("pid", "player", "cost", F.row_number().over(w).alias("rk"), F.lead("cost").over(w).alias("next")).where("rk = 1")
-    back = c.groupBy("player").agg(F.min_by("pid", F.struct("cost", "pid")).alias("pid"))
-    return first.join(back, ["pid", "player"], "left_semi").select("pid", "player", "cost", (F.col("next") - F.col("cost")).alias("margin"))
-
-
-def margin_for_accuracy(matches: DataFrame, truth: DataFrame, margins: list[float], accuracy: float, folds: int = 5, min_n: int = 10) -> DataFrame:
-    """Smallest gap at which held-out named ids were matched correctly often enough, per margin:
-    n, accuracy, ok. truth: pid, player. Folds come from a hash so they are reproducible."""
-    v = matches.join(truth.withColumnRenamed("player", "actual"), "pid").withColumn("fold", F.pmod(F.xxhash64("pid"), F.lit(folds)))
-    v = v.withColumn("m", F.explode(F.array(*[F.lit(float(x)) for x in margins]))).where(F.coalesce("margin", F.lit(1e6)) >= F.col("m"))
-    g = v.groupBy("m").agg(F.count("*").alias("n"), F.avg((F.col("player") == F.col("actual")).cast("double")).alias("accuracy"))
+    c = pair.join(played, keys + ["pid"]).where(share >= min_share)
+    c = c.select(*keys, "pid", "player", (F.coalesce("d", F.lit(no_forecast)) + absent * (1 - share)).alias("cost"))
+    w = Window.partitionBy(*keys, "pid").orderBy("cost", "player")
+    first = c.select(*keys, "pid", "player", "cost", F.row_number().over(w).alias("rk"), F.lead("cost").over(w).alias("next")).where("rk = 1")
+    back = c.groupBy(*keys, "player").agg(F.min_by("pid", F.struct("cost", "pid")).alias("pid"))
+    return (first.join(back, keys + ["pid", "player"], "left_semi")
+            .select(*keys, "pid", "player", "cost", (F.col("next") - F.col("cost")).alias("margin")))
+
+
+def margin_for_accuracy(lines: DataFrame, forecasts: DataFrame, named: DataFrame, fold: Column, margins: list[float], accuracy: float,
+                        min_n: int = 10, folds: int = 5) -> DataFrame:
+    """How often hidden named ids are matched right, per gap: margin, n, accuracy, ok. The smallest gap with `ok` is the
+    one to apply. One fold of the named ids at a time is hidden and matched while the other folds stay fixed, with their players
+    taken. named: pid, player; `fold` (0 .. folds - 1) is an expression on it."""
+    k = named.withColumn("fold", fold)
+    each = lambda d: d.withColumn("hidden", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    fixed = each(k).where(F.col("fold") != F.col("hidden"))
+    left = each(lines).join(fixed.select("hidden", "pid"), ["hidden", "pid"], "left_anti")
+    free = each(forecasts).join(fixed.select("hidden", "player"), ["hidden", "player"], "left_anti")
+    m = match_ids(left, free, keys=["hidden"])
+    v = m.join(k.select(F.col("fold").alias("hidden"), "pid", F.col("player").alias("actual")), ["hidden", "pid"])
+    v = v.withColumn("at", F.explode(F.array(*[F.lit(float(x)) for x in margins]))).where(F.coalesce("margin", F.lit(1e6)) >= F.col("at"))
+    g = v.groupBy(F.col("at").alias("margin")).agg(F.count("*").alias("n"), F.avg((F.col("player") == F.col("actual")).cast("double")).alias("accuracy"))
     return g.withColumn("ok", (F.col("n") >= min_n) & (F.col("accuracy") >= accuracy))
 
 

@@ -72,11 +72,8 @@ def main_line_view(spark, sf):
   SELECT *, row_number() OVER (PARTITION BY date ORDER BY p_best DESC, game_key) AS rk FROM mv WHERE eligible AND p_best >= 0.55) WHERE rk <= 2 OR p_best >= 0.62 GROUP BY season""")
 def straight_bets(spark, sf):
     """Singles at -110: a probability floor, two a day, and every pick at 0.62 or more."""
-    from pyspark.sql import Window
-
-    m = cards.main_line_view(preds(spark, sf), *fixed_calibrators(spark, sf)).where(F.col("eligible") & (F.col("p_best") >= 0.55))
-    rk = F.row_number().over(Window.partitionBy("date").orderBy(F.col("p_best").desc(), "game_key"))
-    m = m.withColumn("rk", rk).where((F.col("rk") <= 2) | (F.col("p_best") >= 0.62))
+    m = cut_lineage(cards.main_line_view(preds(spark, sf), *fixed_calibrators(spark, sf)).select("season", "date", "game_key", "eligible", "outcome", "line", "best_side", "p_best"))
+    m = history.best_or_all(m.where(F.col("eligible") & (F.col("p_best") >= 0.55)), ["date"], 2, [F.col("p_best").desc(), F.col("game_key")], F.col("p_best") >= 0.62)
     s = outcome_sign(F.col("outcome"), F.col("line"), F.col("best_side"))
     return m.groupBy("season").agg(F.count("*").alias("bets"), F.avg(flat_profit(s, F.lit(1 + 100 / 110))).alias("roi"), F.avg("p_best").alias("avg_p"))
 
@@ -160,15 +157,17 @@ def slate_preds(spark, sf):
   c AS (SELECT * FROM d WHERE p_cal >= 0.6 AND p_cal * 1.909 > 1),
   x AS (SELECT a.date, a.game_key AS ga, b.game_key AS gb, a.p_cal * b.p_cal AS jc FROM c a JOIN c b ON a.date = b.date AND a.game_key < b.game_key WHERE a.p_cons * b.p_cons >= 0.42),
   r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY jc DESC, ga, gb) AS rn FROM x),
+  po AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY p_cal DESC, game_key) AS rk FROM d) WHERE rk <= 8),
+  cl AS (SELECT a.date, max(a.p_cons * b.p_cons) AS jc FROM po a JOIN po b ON a.date = b.date AND a.game_key < b.game_key GROUP BY 1),
   s AS (SELECT date, arg_max(game_key, p_cal - game_key * 1e-12) AS sk FROM c WHERE p_cons >= 0.5238 AND p_cons * 1.909 > 1 GROUP BY 1)
   SELECT strftime(p.date, '%Y-%m-%d') AS date, n_games, nc AS n_candidates, nc * (nc - 1) // 2 AS n_pairs, CASE WHEN r.ga IS NOT NULL THEN 'TWO-PICK CARD' WHEN sk IS NOT NULL THEN 'ONE QUALIFYING PICK' ELSE 'NO BET' END AS outcome,
-    coalesce(r.ga, sk) AS pick_a, r.gb AS pick_b, {reals(joint_cal='r.jc')}
-  FROM (SELECT date, count(*) AS n_games, count(*) FILTER (p_cal >= 0.6 AND p_cal * 1.909 > 1) AS nc FROM d GROUP BY 1) p LEFT JOIN (SELECT * FROM r WHERE rn = 1) r ON r.date = p.date LEFT JOIN s ON s.date = p.date""")
+    coalesce(r.ga, sk) AS pick_a, r.gb AS pick_b, {reals(joint_cal='r.jc', closest_joint_cons='cl.jc')}
+  FROM (SELECT date, count(*) AS n_games, count(*) FILTER (p_cal >= 0.6 AND p_cal * 1.909 > 1) AS nc FROM d GROUP BY 1) p LEFT JOIN (SELECT * FROM r WHERE rn = 1) r ON r.date = p.date LEFT JOIN s ON s.date = p.date LEFT JOIN cl ON cl.date = p.date""")
 def slate_decisions(spark, sf):
     """With no dependence the copula is a product, which SQL can search over all pairs."""
     p = slate_preds(spark, sf)
     rho = p.select("season").distinct().withColumns({"rho": F.lit(0.0), "rho_lo": F.lit(0.0)})
-    return cards.decide_slates(p, rho, joint_target=0.42).select("date", "n_games", "n_candidates", "n_pairs", "outcome", "pick_a", "pick_b", "joint_cal")
+    return cards.decide_slates(p, rho, joint_target=0.42).select("date", "n_games", "n_candidates", "n_pairs", "outcome", "pick_a", "pick_b", "joint_cal", "closest_joint_cons")
 
 
 @query("slate_engine")
@@ -329,31 +328,55 @@ def execution_delay(spark, sf):
 
 @query("strategy_grid")
 def strategy_grid(spark, sf):
-    """Every rule (EV floor x odds band x books x model agreement) scored on both halves of the dates
-    in one pass; the rule with the best closing value in the first half is marked."""
-    l = cut_lineage(_legs_by_decision(spark, sf, {"6h": lambda q: asof.decision_at(q, 6), "24h": lambda q: asof.decision_at(q, 24)}))
-    rules = F.array(*[F.struct(F.lit(e).alias("ev_min"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(b).alias("books"), F.lit(a).alias("agree"))
-                      for e in (-0.3, -0.2, -0.1) for lo, hi in ((1.4, 3.0), (1.5, 2.2), (1.6, 2.0)) for b in ["all", *SOFT] for a in (False, True)])
+    """Every rule (decision time x EV floor x odds band x books x model agreement x cards a date: 1,680) scored on all dates
+    and on both halves, split at the median date. `best_a` marks the rule chosen on the first half, whose honest score is that of
+    the second, `best_b` the reverse, `best_all` the one to lock. A choice needs 4 cards in its half, 8 overall."""
+    whens = {f"{h}h": (lambda h: lambda q: asof.decision_at(q, h))(h) for h in (24, 12, 6, 3, 1)}
+    whens |= {"open": lambda q: asof.first_post(q, SHARP, 0), "10am": lambda q: asof.at_local_hour(q, "Europe/Madrid", 10)}
+    l = cut_lineage(_legs_by_decision(spark, sf, whens))
+    arr = lambda values, name: F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
+    rules = spark.range(1).select(arr(list(whens), "decision")).select("*", arr((-0.3, -0.2, -0.1, 0.0, 0.03), "ev_min"))
+    rules = rules.select("*", F.explode(F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi")) for a, b in ((1.4, 1.9), (1.5, 1.75), (1.55, 1.7), (1.7, 2.1))])).alias("band"))
+    rules = rules.select("decision", "ev_min", "band.*").select("*", arr(("all", *SOFT[:2]), "books")).select("*", arr((False, True), "agree"))
     key = ["decision", "ev_min", "lo", "hi", "books", "agree"]
-    x = l.withColumn("r", F.explode(rules)).select("*", "r.*").drop("r")
-    x = x.where((F.col("ev_now") > F.col("ev_min")) & F.col("price").between(F.col("lo"), F.col("hi")) & ((F.col("books") == "all") | (F.col("books") == F.col("book")))
-                & (~F.col("agree") | F.col("model_agrees")))
-    b = cut_lineage(market.best_leg_per_game(x, key + ["date", "fixture_id"]).withColumn("v", 1 + F.col("ev_now")))
-    c = market.card_rows(market.best_pair(b, key + ["date"]), b, key + ["date"])
-    c = c.withColumn("half", F.when(F.dayofmonth("date") <= 20, "first").otherwise("second"))
-    g = c.groupBy(*key).pivot("half", ["first", "second"]).agg(F.count(F.lit(1)).alias("cards"), F.avg("clv").alias("clv"), F.avg("pnl").alias("roi"))
-    top = g.agg(F.max(F.struct(F.when(F.col("first_cards") >= 3, F.col("first_clv")).alias("c"), *key)).alias("m"))      # one row
-    return g.join(F.broadcast(top.select(*[F.col(f"m.{k}").alias(k) for k in key], F.lit(True).alias("chosen"))), key, "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+    x = l.join(F.broadcast(rules), "decision").where(                                     # 840 rows, fixed
+        (F.col("ev_now") > F.col("ev_min")) & F.col("price").between(F.col("lo"), F.col("hi")) & ((F.col("books") == "all") | (F.col("books") == F.col("book")))
+        & (~F.col("agree") | F.col("model_agrees")))
+    group = [*key, "date"]
+    b = cut_lineage(market.best_leg_per_game(x, group + ["fixture_id"]).withColumn("v", 1 + F.col("ev_now")))
+    one = market.best_pair(b, group).withColumn("per_date", F.lit("1"))
+    every = market.disjoint_pairs(b, group, cut_lineage).withColumn("per_date", F.lit("all_disjoint"))
+    c = market.card_rows(one.unionByName(every.select(one.columns)), b.withColumn("per_date", F.explode(F.array(F.lit("1"), F.lit("all_disjoint")))), group + ["per_date"])
+    days = F.array_sort(F.collect_set("date"))                                            # one value per calendar day
+    split = l.agg(F.element_at(days, (F.size(days) / 2).cast("int") + 1).alias("split"))
+    c = c.crossJoin(F.broadcast(split)).withColumn("half", F.when(F.col("date") < F.col("split"), "a").otherwise("b"))      # one row
+    key = [*key, "per_date"]
+    g = c.groupBy(*key).agg(*[f(F.when(part, v)).alias(f"{h}_{n}") for h, part in (("all", F.lit(True)), ("a", F.col("half") == "a"), ("b", F.col("half") == "b"))
+                              for n, f, v in (("cards", F.count, F.lit(1)), ("clv", F.avg, F.col("clv")), ("roi", F.avg, F.col("pnl")), ("won", F.avg, F.col("win").cast("double")))])
+    g = cut_lineage(rules.select("*", arr(("1", "all_disjoint"), "per_date")).join(g, key, "left").na.fill(0, ["all_cards", "a_cards", "b_cards"]))
+    best = lambda h, least: F.min_by(F.struct(*key), F.when(F.col(f"{h}_cards") >= least, F.struct(-F.col(f"{h}_clv"), *key))).alias(h)
+    top = g.agg(best("a", 4), best("b", 4), best("all", 8))                               # one row
+    g = g.crossJoin(F.broadcast(top.select(*[F.col(h).alias(f"_{h}") for h in ("a", "b", "all")])))
+    return g.withColumns({f"best_{h}": F.coalesce(F.struct(*key) == F.col(f"_{h}"), F.lit(False)) for h in ("a", "b", "all")}).drop("_a", "_b", "_all")
 
 
 # D21
-@query("line_shopping_cards")
+@query("line_shopping_cards", with_("preds book_quotes", "").rstrip() + ", l AS (SELECT * FROM " + priced("""(SELECT *, CASE WHEN thr = floor(thr) THEN thr + 0.5 * side ELSE thr END AS t_eff FROM (SELECT p.*, side, line AS thr FROM preds p, (VALUES (1), (-1)) s(side) WHERE eligible))""") + f"""),
+  o1 AS (SELECT *, p_cons * 1.909 AS vc FROM l), tp AS (SELECT * FROM (SELECT date, game_key, side, row_number() OVER (PARTITION BY date ORDER BY vc DESC, game_key DESC, side) AS r FROM o1) WHERE r <= 16),
+  c AS (SELECT game_key, median(open) AS ml FROM book_quotes GROUP BY 1), q AS (SELECT b.*, ml, {DEC.format(a='open_over')} AS d_o, {DEC.format(a='open_under')} AS d_u FROM book_quotes b JOIN c USING (game_key) WHERE abs(open - ml) <= 3),
+  gn AS (SELECT game_key, greatest(any_value(ml) - min(open) FILTER (d_o IS NOT NULL), 0) AS go, greatest(max(open) FILTER (d_u IS NOT NULL) - any_value(ml), 0) AS gu FROM q GROUP BY 1),
+  o AS (SELECT o1.*, tp.r, thr - side * coalesce(CASE WHEN side = 1 THEN go ELSE gu END, 0) AS ts FROM o1 JOIN tp USING (date, game_key, side) LEFT JOIN gn USING (game_key)),
+  x AS (SELECT a.date, a.game_key AS ga, b.game_key AS gb, a.vc * b.vc AS v, a.r AS ra, b.r AS rb, a.thr AS ta, b.thr AS tb, a.ts AS sa, b.ts AS sb,
+     CASE WHEN a.side * (a.outcome - a.thr) < 0 OR b.side * (b.outcome - b.thr) < 0 THEN -1.0 ELSE CASE WHEN a.outcome = a.thr THEN 1 ELSE 1.909 END * CASE WHEN b.outcome = b.thr THEN 1 ELSE 1.909 END - 1 END AS profit,
+     CASE WHEN a.side * (a.outcome - a.ts) < 0 OR b.side * (b.outcome - b.ts) < 0 THEN -1.0 ELSE CASE WHEN a.outcome = a.ts THEN 1 ELSE 1.909 END * CASE WHEN b.outcome = b.ts THEN 1 ELSE 1.909 END - 1 END AS ps
+     FROM o a JOIN o b ON a.date = b.date AND a.game_key < b.game_key), r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY v DESC, ra, rb) AS rn FROM x)
+  SELECT strftime(date, '%Y-%m-%d') AS date, ga AS game_key_a, gb AS game_key_b, {reals(thr_a='ta', thr_shop_a='sa', thr_b='tb', thr_shop_b='sb', profit='profit', profit_shop='ps')} FROM r WHERE rn = 1""")
 def line_shopping_cards(spark, sf):
     """Chosen cards regraded with each leg moved to the best book's number."""
     q = market.best_quotes(book_quotes(spark, sf))
     c = cards.odds_cards(cards.ladder_legs(preds(spark, sf), *fixed_calibrators(spark, sf), main_only=True), force=True)
     m = market.consensus(book_quotes(spark, sf))
-    return cards.improve_by_best_book(c, q, m).select("date", "game_key_a", "game_key_b", "thr_a", "thr_shop_a", "thr_b", "thr_shop_b", "profit")
+    return cards.improve_by_best_book(c, q, m).select("date", "game_key_a", "game_key_b", "thr_a", "thr_shop_a", "thr_b", "thr_shop_b", "profit", "profit_shop")
 
 
 # E2 spine: walk-forward -> calibrators -> ladder -> cards -> report

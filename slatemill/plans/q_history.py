@@ -122,16 +122,12 @@ def centred_values(spark, sf):
 
 
 # W11, O2
-@query("top_n_daily", with_("bets", f"""SELECT game_key, strftime(date, '%Y-%m-%d') AS date, rk, {reals(p='p')} FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY p DESC, game_key) AS rk FROM bets WHERE p >= 0.5)
+@query("top_n_daily", with_("bets", f"""SELECT game_key, strftime(date, '%Y-%m-%d') AS date, {reals(p='p')} FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY p DESC, game_key) AS rk FROM bets WHERE p >= 0.5)
   WHERE rk <= 2 OR p >= 0.64"""))
 def top_n_daily(spark, sf):
-    """Best two per day plus everything at or above 0.64. The keep-all rows bypass the ranking, so
-    only the rank-limited part is windowed (and limited map-side)."""
-    from pyspark.sql import Window
-
+    """Best two per day plus everything at or above 0.64."""
     b = bets(spark, sf).where(F.col("p") >= 0.5).select("game_key", "date", "p")
-    rk = F.row_number().over(Window.partitionBy("date").orderBy(F.col("p").desc(), "game_key"))
-    return b.withColumn("rk", rk).where((F.col("rk") <= 2) | (F.col("p") >= 0.64))
+    return history.best_or_all(b, ["date"], 2, [F.col("p").desc(), F.col("game_key")], F.col("p") >= 0.64)
 
 
 # W12, W13, D16
@@ -162,8 +158,12 @@ def season_weights(spark, sf):
     return s.withColumn("w", history.season_weight(age, 0.6))
 
 
+# a roster of 15 distinct players for each team; three of them change teams every season
+ROSTER = "CASE WHEN player % 15 < 3 THEN 100000 + (team + season) * 15 + player % 15 ELSE team * 15 + player % 15 END"
+
+
 # W15, A18
-@query("roster_continuity", with_("player_box", "").rstrip() + f""", pb AS (SELECT season, team, player % 15 AS player, date, minutes FROM player_box),
+@query("roster_continuity", with_("player_box", "").rstrip() + f""", pb AS (SELECT season, team, {ROSTER} AS player, date, minutes FROM player_box),
   tot AS (SELECT season, team, player, sum(minutes) AS m, min(date) AS first FROM pb GROUP BY 1, 2, 3),
   prv AS (SELECT season + 1 AS season, team, player, m AS own FROM tot), anyp AS (SELECT season, player, sum(own) AS anywhere FROM prv GROUP BY 1, 2),
   base AS (SELECT season, team, sum(own) AS base FROM prv GROUP BY 1, 2),
@@ -172,11 +172,11 @@ def season_weights(spark, sf):
   SELECT d.season, d.team, strftime(d.date, '%Y-%m-%d') AS date, {reals(cont='CASE WHEN count(f.first) > 0 AND any_value(base) > 0 THEN sum(f.own) / any_value(base) END', xfer='CASE WHEN count(f.first) > 0 AND any_value(base) > 0 THEN sum(f.other) / any_value(base) END')}
   FROM days d LEFT JOIN base USING (season, team) LEFT JOIN f ON f.season = d.season AND f.team = d.team AND f.first < d.date GROUP BY 1, 2, d.date""")
 def roster_continuity(spark, sf):
-    return history.roster_continuity(player_box(spark, sf).withColumn("player", F.col("player") % 15))
+    return history.roster_continuity(player_box(spark, sf).withColumn("player", F.expr(ROSTER)))
 
 
 # W16
-@query("key_absence", with_("player_box", "").rstrip() + f""", m AS (SELECT season, team, date, game, player % 15 AS player, sum(minutes) AS m FROM player_box GROUP BY ALL),
+@query("key_absence", with_("player_box", "").rstrip() + f""", m AS (SELECT season, team, date, game, {ROSTER} AS player, sum(minutes) AS m FROM player_box GROUP BY ALL),
   gr AS (SELECT season, team, date, game, row_number() OVER (PARTITION BY season, team ORDER BY date, game) - 1 AS j FROM (SELECT DISTINCT season, team, date, game FROM m)),
   ro AS (SELECT DISTINCT season, team, player FROM m),
   grid AS (SELECT gr.*, ro.player, coalesce(m.m, 0) AS m FROM gr JOIN ro USING (season, team) LEFT JOIN m USING (season, team, date, game, player)),
@@ -186,7 +186,7 @@ def roster_continuity(spark, sf):
     CASE WHEN j >= 4 THEN count(*) FILTER (r1 >= 8 AND l = 0) END AS missed_last, CASE WHEN j >= 4 THEN count(*) FILTER (r1 >= 8 AND l = 0 AND m = 0) END AS missed_again
   FROM g GROUP BY season, team, date, game, j""")
 def key_absence(spark, sf):
-    pb = player_box(spark, sf).select("season", "team", "date", "game", (F.col("player") % 15).alias("player"), F.col("minutes").alias("m"))
+    pb = player_box(spark, sf).select("season", "team", "date", "game", F.expr(ROSTER).alias("player"), F.col("minutes").alias("m"))
     return history.key_player_absence(pb, 8.0)
 
 

@@ -135,3 +135,20 @@ def match_ids(spark, sf):
     b = player_box(spark, sf)
     lines = b.select((F.col("player") * 7 + 3).alias("pid"), "game", (F.col("points") + 0.5 * (F.col("game") % 3 - 1)).alias("line"))
     return resolve.match_ids(lines, b.select("game", "player", F.col("points").alias("mu")))
+
+
+# How sure a match is, from named ids hidden a fifth at a time
+@query("id_margins", with_("player_box", "").rstrip() + f""", named AS (SELECT DISTINCT player * 7 + 3 AS pid, player, (player * 7 + 3) % 5 AS fold FROM player_box WHERE player % 4 <> 0),
+  ln AS (SELECT player * 7 + 3 AS pid, game, points + 3.5 * ((game + player) % 5 - 2) AS line FROM player_box), hd AS (SELECT unnest(range(0, 5)) AS hidden),
+  lines AS (SELECT l.*, hidden FROM ln l CROSS JOIN hd LEFT JOIN named n USING (pid) WHERE n.fold IS NULL OR n.fold = hidden), fc AS (SELECT b.*, hidden FROM player_box b CROSS JOIN hd LEFT JOIN named n USING (player) WHERE n.fold IS NULL OR n.fold = hidden),
+  pair AS (SELECT hidden, l.pid, b.player, count(*) AS k, median(abs(l.line - b.points)) AS d FROM lines l JOIN fc b USING (hidden, game) GROUP BY 1, 2, 3),
+  c AS (SELECT hidden, pid, player, d + 20 * (1 - k * 1.0 / n) AS cost FROM pair JOIN (SELECT hidden, pid, count(*) AS n FROM lines GROUP BY 1, 2) USING (hidden, pid) WHERE k * 1.0 / n >= 0.5),
+  f AS (SELECT *, row_number() OVER (PARTITION BY hidden, pid ORDER BY cost, player) AS rk, lead(cost) OVER (PARTITION BY hidden, pid ORDER BY cost, player) AS nx, row_number() OVER (PARTITION BY hidden, player ORDER BY cost, pid) AS rb FROM c),
+  v AS (SELECT coalesce(nx - cost, 1e6) AS gap, f.player = n.player AS hit FROM f JOIN named n ON n.pid = f.pid AND n.fold = f.hidden WHERE rk = 1 AND rb = 1),
+  g AS (SELECT m AS margin, count(*) AS n, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS accuracy FROM v, (SELECT unnest([0.0e0, 0.5e0, 1.0e0, 2.0e0, 4.0e0]) AS m) WHERE gap >= m GROUP BY 1)
+  SELECT {reals(margin='margin', accuracy='accuracy')}, n, n >= 10 AND accuracy >= 0.9 AS ok FROM g""")
+def id_margins(spark, sf):
+    b = player_box(spark, sf)
+    lines = b.select((F.col("player") * 7 + 3).alias("pid"), "game", (F.col("points") + 3.5 * ((F.col("game") + F.col("player")) % 5 - 2)).alias("line"))
+    named = b.where(F.col("player") % 4 != 0).select((F.col("player") * 7 + 3).alias("pid"), "player").distinct()
+    return resolve.margin_for_accuracy(lines, b.select("game", "player", F.col("points").alias("mu")), named, F.col("pid") % 5, [0.0, 0.5, 1.0, 2.0, 4.0], 0.9)

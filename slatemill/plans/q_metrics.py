@@ -126,7 +126,7 @@ def outcome_quantiles(spark, sf):
 @query("bootstrap_roi")
 def bootstrap_roi(spark, sf):
     """Date-clustered interval of ROI per league."""
-    return metrics.cluster_bootstrap(bets(spark, sf), ["league"], "date", F.col("pnl"), F.lit(1.0), 400)
+    return metrics.cluster_bootstrap(bets(spark, sf), ["league"], "date", F.col("pnl"), F.lit(1.0), 1000)
 
 
 @query("bootstrap_log_loss_gain")

@@ -185,7 +185,7 @@ def stage_one_walk_forward(spark, sf):
 # M3: boosted mean averaged with the ridge
 @query("boosted_mean")
 def boosted_mean(spark, sf):
-    g = models.boosted_walk_forward(training(spark, sf), MEAN_FEATS, "resid", trees=3, min_train=6).select("game_key", "season", "mu_gbt")
+    g = models.boosted_walk_forward(training(spark, sf), MEAN_FEATS, "resid").select("game_key", "season", "mu_gbt")
     r = predictions(spark, sf).select("game_key", "mu")
     return g.join(r, "game_key").withColumn("mu_ensemble", (F.col("mu") + F.col("mu_gbt")) / 2)
 
@@ -201,10 +201,9 @@ def points_forecast(spark, sf):
     r = history.rolling_before(b, ["player"], "date", ["points"], 5, prefix="l5_")
     d = b.join(h, ["player", "date"]).join(r, ["player", "date"]).where(F.col("h_points").isNotNull()).withColumn("eligible", F.lit(True))
     feats = ["h_points", "h_minutes", "l5_points"]
-    p = cut_lineage(models.boosted_walk_forward(d, feats, "points", trees=2, min_train=6).select("game", "player", "season", "points", F.greatest("mu_gbt", F.lit(0.5)).alias("mu")))
-    p = p.withColumn("res", F.col("points") - F.col("mu"))
-    s = models.spread_by_level(p, [], "mu", "res")
-    return p.join(F.broadcast(s)).select("game", "player", "mu", (F.col("a") + F.col("b") * F.sqrt("mu")).alias("sd"))      # one row
+    p = models.boosted_walk_forward(d, feats, "points").withColumn("line", F.floor(F.col("minutes") / 2) + 0.5)
+    p = cut_lineage(p.select("game", "player", "season", "points", "line", F.greatest("mu_gbt", F.lit(0.5)).alias("mu")))
+    return models.level_forecasts(p, "points", "mu", "line").select("game", "player", "season", "mu", "sd", "p_over")
 
 
 # M14
@@ -232,8 +231,12 @@ def threshold_probabilities(spark, sf):
 
     t = training(spark, sf).withColumn("mu", (F.col("f_home") + F.col("f_away") - 4) * 0.5)
     u = lambda d, e: add_norm_cdf(d, "u", (e - F.col("line") - F.col("mu")) / 17.0)
-    hist = cut_lineage(u(t.where("season <= 1998"), F.col("outcome") + 0.5).select("u"))
-    knots, ask = calibrate.pit_knots(hist, [], "u"), cut_lineage(u(t.where("season > 1998"), F.floor("line") + 0.5).select("game_key", F.round("u", 6).alias("u")))
-    bounds = calibrate.pit_bounds(hist, ask, [], "u")
-    p = ask.join(F.broadcast(knots)).withColumn("p_over", 1 - calibrate.pit_map(F.col("u"), F.col("knots")))                # one row of knots
-    return p.join(bounds, "u").select("game_key", "p_over", (1 - F.col("hi")).alias("p_over_cons"))
+    seasons = cut_lineage(t.select("season").distinct())                                                    # one row per season
+    later = F.broadcast(models.allowed_seasons(seasons, 2).withColumnRenamed("season", "fit"))
+    hist = u(t.where("eligible"), F.col("outcome") + 0.5).select("season", "u").join(later, F.col("season") < F.col("fit"))
+    hist = cut_lineage(hist.select(F.col("fit").alias("season"), "u"))
+    ask = cut_lineage(u(t, F.floor("line") + 0.5).join(later, F.col("season") == F.col("fit")).select("game_key", "season", "u"))
+    bounds = calibrate.pit_bounds(hist, ask, ["season"], "u")
+    p = ask.join(calibrate.pit_knots(hist, ["season"], "u"), "season").withColumn("p_under", calibrate.pit_map(F.col("u"), F.col("knots")))
+    return p.join(bounds, ["season", "u"]).select("game_key", "season", (1 - F.col("p_under")).alias("p_over"), (1 - F.col("hi")).alias("p_over_cons"),
+                                                  "p_under", F.col("lo").alias("p_under_cons"))

@@ -255,7 +255,7 @@ def threshold_grid(spark, sf):
 
 # F2, F3, F4, F5
 @query("name_functions", r"""SELECT p_partkey, array_to_string(list_filter(regexp_extract_all(lower(p_name), '([a-z0-9]{3,})'), lambda x: x NOT IN ('basketball','basket','club','the','bc','kk','bk','sad','team','fc','as','cb')), ' ') AS tokens,
-  CAST(regexp_extract(p_brand, '(\d+)', 1) AS BIGINT) AS brand_no, list_last(string_split(trim(p_name), ' ')) AS nick,
+  CAST(regexp_extract(p_brand, '(\d+)', 1) AS BIGINT) AS brand_no, list_last(string_split(lower(trim(p_name)), ' ')) AS nick,
   CASE WHEN round(1 - levenshtein(p_name, 'small ring') * 1.0 / greatest(length(p_name), 10), 6) = 0 THEN 0.0 ELSE round(1 - levenshtein(p_name, 'small ring') * 1.0 / greatest(length(p_name), 10), 6) END AS sim FROM part""")
 def name_functions(spark, sf):
     n = F.col("p_name")
@@ -264,6 +264,13 @@ def name_functions(spark, sf):
                                            text.edit_ratio(n, F.lit("small ring")).alias("sim"))
 
 
+@query("person_keys", """SELECT s_suppkey, trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(s_name || '-' || chr(CAST(65 + s_suppkey % 26 AS INTEGER)) || 'Şa Jr.'), 'ş', 's'), '-', ' ', 'g'), '[^a-z ]', '', 'g'), '( |^)jr( |$)', ' ', 'g')) AS key FROM supplier""")
+def person_keys(spark, sf):
+    """A hyphen parts names, so both spellings of a double name meet."""
+    s = table(spark, sf, "supplier")
+    return s.select("s_suppkey", text.person_key(F.concat("s_name", F.lit("-"), F.char((65 + F.col("s_suppkey") % 26).cast("int")), F.lit("Şa Jr."))).alias("key"))
+
+
 @query("paired_list", "SELECT s_suppkey, array_to_string([s_name || ', ' || s_suppkey, 'B, ' || s_nationkey], '|') AS refs FROM supplier")
 def paired_list(spark, sf):
     s = F.concat(F.col("s_name"), F.lit(", "), F.col("s_suppkey"), F.lit(", B, "), F.col("s_nationkey"))

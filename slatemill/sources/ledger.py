@@ -12,16 +12,15 @@ def new_rows(picks: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
     return picks.dropDuplicates(keys).join(ledger.select(*keys).distinct(), keys, "left_anti")
 
 
-def append_ledger(spark: SparkSession, picks: DataFrame, path: str, keys: list[str]) -> None:
-    """Append only new keys. Nothing already written is touched."""
-    try:
-        known = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001 - the first run has no ledger
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        picks.dropDuplicates(keys).write.parquet(path)
-        return
-    new_rows(picks, known.select(*picks.columns), keys).write.mode("append").parquet(path)
+def append_ledger(spark: SparkSession, picks: DataFrame, path: str, keys: list[str], run: str) -> None:
+    """Append only keys that no other run has recorded, as the partition of this run: a run that is repeated overwrites its
+    own rows and touches no others."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fresh = picks.dropDuplicates(keys)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        known = spark.read.option("basePath", path).parquet(path).where(F.col("run").cast("string") != run)
+        fresh = new_rows(picks, known, keys)
+    (fresh.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path))
 
 
 def stale_seasons(games: DataFrame, stored: DataFrame, cols: list[str]) -> DataFrame:
@@ -34,12 +33,12 @@ def stale_seasons(games: DataFrame, stored: DataFrame, cols: list[str]) -> DataF
     return now.join(F.broadcast(first), F.col("season") >= F.col("first")).select("season", "hash", "n")
 
 
-def refresh_features(games: DataFrame, build, path: str, stale: DataFrame) -> None:
-    """Rebuild only stale seasons (with one earlier season as lead-in) and overwrite just their
-    partitions."""
+def refresh_features(games: DataFrame, build, path: str, stale: DataFrame, lead_in: int) -> None:
+    """Rebuild only stale seasons, with the `lead_in` seasons before them that the features look back on, and overwrite just
+    their partitions."""
     first = stale.agg(F.min("season")).first()[0]                                     # one value
     if first is None:
         return
-    lead_in = games.where(F.col("season") >= first - 1)
-    (build(lead_in).where(F.col("season") >= first).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    earlier = games.where(F.col("season") >= first - lead_in)
+    (build(earlier).where(F.col("season") >= first).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("season").parquet(path))

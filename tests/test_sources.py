@@ -95,8 +95,9 @@ def test_sources_may_not_overlap(spark):
 def test_ledger_appends_only_new_keys(spark, tmp_path):
     p = str(tmp_path / "ledger")
     d = lambda *ks: spark.createDataFrame([(k, 1.9) for k in ks], "pick int, price double")
-    ledger.append_ledger(spark, d(1, 2, 2), p, ["pick"])
-    ledger.append_ledger(spark, d(2, 3), p, ["pick"])
+    ledger.append_ledger(spark, d(1, 2, 2), p, ["pick"], "a")
+    ledger.append_ledger(spark, d(2, 3), p, ["pick"], "b")
+    ledger.append_ledger(spark, d(2, 3), p, ["pick"], "b")
     assert sorted(r["pick"] for r in spark.read.parquet(p).collect()) == [1, 2, 3]
 
 
@@ -111,6 +112,6 @@ def test_refresh_rewrites_only_stale_seasons(spark, tmp_path):
     g2 = g.withColumn("total", F.when((F.col("season") == 2) & (F.col("game_key") == 1), 50).otherwise(F.col("total")))
     stale = ledger.stale_seasons(g2, stored, ["game_key", "total"])
     assert sorted(r["season"] for r in stale.collect()) == [2, 3]
-    ledger.refresh_features(g2, build, p, stale)
+    ledger.refresh_features(g2, build, p, stale, lead_in=1)
     out = spark.read.parquet(p)
     assert out.count() == 12 and out.where("season = 2 and game_key = 1").first()["f"] == 100
