@@ -139,7 +139,22 @@ def odds_cards(spark, sf):
     return c.select("date", "game_key_a", "game_key_b", "ev_cons", "combined_odds", "thr_a", "thr_b", "profit")
 
 
-@query("odds_cards_joint")
+@query("odds_cards_joint", with_("preds book_quotes", "").rstrip() + f""", c AS (SELECT game_key, median(open) AS ml FROM book_quotes GROUP BY 1),
+  q AS (SELECT b.*, {DEC.format(a='open_over')} AS d_o, {DEC.format(a='open_under')} AS d_u FROM book_quotes b JOIN c USING (game_key) WHERE abs(open - ml) <= 3),
+  bo AS (SELECT * FROM (SELECT game_key, open, d_o, row_number() OVER (PARTITION BY game_key ORDER BY open, d_o DESC, book) AS rn FROM q WHERE d_o IS NOT NULL) WHERE rn = 1),
+  bu AS (SELECT * FROM (SELECT game_key, open, d_u, row_number() OVER (PARTITION BY game_key ORDER BY open DESC, d_u DESC, book) AS rn FROM q WHERE d_u IS NOT NULL) WHERE rn = 1),
+  sd2 AS (SELECT p.*, side, CASE WHEN side = 1 THEN coalesce(bo.open, line) ELSE coalesce(bu.open, line) END AS ref, CASE WHEN side = 1 THEN d_o ELSE d_u END AS bp FROM preds p CROSS JOIN (VALUES (1), (-1)) s(side) LEFT JOIN bo ON bo.game_key = p.game_key LEFT JOIN bu ON bu.game_key = p.game_key WHERE eligible),
+  l AS (SELECT * FROM """ + priced("""(SELECT *, CASE WHEN thr = floor(thr) THEN thr + 0.5 * side ELSE thr END AS t_eff FROM (
+    SELECT s.*, a.k, a.main, CASE WHEN a.main THEN ref ELSE CASE WHEN side = 1 THEN ceil(ref + 0.5) - 0.5 ELSE floor(ref - 0.5) + 0.5 END - side * a.k END AS thr
+    FROM sd2 s, (SELECT true AS main, 0 AS k UNION ALL SELECT false, unnest(range(-6, 16))) a))""", "ref") + f"""),
+  o0 AS (SELECT *, CASE WHEN main THEN 0 ELSE k + 7 END AS opt, CASE WHEN main THEN coalesce(bp, 1.909) ELSE 0.955 / greatest(least(p_mkt, 1), 1e-3) END AS od FROM l), o1 AS (SELECT *, p_cons * od AS vc FROM o0 WHERE od BETWEEN 1.3 AND 3.0),
+  tp AS (SELECT * FROM (SELECT date, game_key, side, row_number() OVER (PARTITION BY date ORDER BY max(vc) DESC, game_key DESC, side) AS r FROM o1 GROUP BY 1, 2, 3) WHERE r <= 16),
+  o AS (SELECT o1.*, r FROM o1 JOIN tp USING (date, game_key, side)),
+  x AS (SELECT a.date, a.game_key AS ga, b.game_key AS gb, a.p_cons * b.p_cons AS jc, a.od * b.od AS od, a.vc * b.vc AS v, a.r AS ra, b.r AS rb, a.opt AS pa, b.opt AS pb,
+     CASE WHEN a.side * (a.outcome - a.thr) < 0 OR b.side * (b.outcome - b.thr) < 0 THEN -1.0 ELSE CASE WHEN a.outcome = a.thr THEN 1 ELSE a.od END * CASE WHEN b.outcome = b.thr THEN 1 ELSE b.od END - 1 END AS profit
+     FROM o a JOIN o b ON a.date = b.date AND a.game_key < b.game_key WHERE a.od * b.od BETWEEN 2.5 AND 4.0 AND a.vc * b.vc > 1),
+  r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY jc DESC, ra, pa, rb, pb) AS rn FROM x)
+  SELECT strftime(date, '%Y-%m-%d') AS date, ga AS game_key_a, gb AS game_key_b, {reals(joint_cons='jc', combined_odds='od', profit='profit')} FROM r WHERE rn = 1 AND v - 1 > 0""")
 def odds_cards_joint(spark, sf):
     """Product variant: highest chance of both winning among main and alternate legs of positive EV."""
     l = cards.ladder_legs(preds(spark, sf), *fixed_calibrators(spark, sf), quotes=market.best_quotes(book_quotes(spark, sf)), alt_ref="best_book")

@@ -67,6 +67,40 @@ def walk_forward(spark, sf):
     return predictions(spark, sf).select("game_key", "season", "mu", "sd", "mu_mkt", "sd_mkt")
 
 
+# M1, M2, M5, M12 with one feature each, where every fit has a closed form: the same operator, row by row
+def _one_feature_sql(target: bool) -> str:
+    """Mean on f_home (of the move, with the mean leftover, if `target`), spread on f_spread, market reference."""
+    y, rows = ("f_move", "AND t.f_move IS NOT NULL") if target else ("resid", "")
+    shift = "avg(t.resid - (my + n * (c / sx) / (n + 50.0) * (t.f_home - mx) / sx))" if target else "0.0"
+    return f"""{{head}}, ss AS (SELECT season, row_number() OVER (ORDER BY season) - 1 AS i FROM (SELECT DISTINCT season FROM train)), s AS (SELECT season FROM ss WHERE i >= 2),
+  a AS (SELECT s.season, count(*) AS n, avg(f_home) AS mx, stddev_pop(f_home) AS sx, avg({y}) AS my, covar_pop(f_home, {y}) AS c FROM s JOIN train t ON t.season < s.season AND t.eligible {rows} GROUP BY 1),
+  sh AS (SELECT a.season, {shift} AS shift FROM a JOIN train t ON t.season < a.season AND t.eligible GROUP BY a.season{', my, n, c, sx, mx' if not target else ''}),
+  e AS (SELECT a.season, t.f_spread AS g, t.resid - (my + n * (c / sx) / (n + 50.0) * (t.f_home - mx) / sx + shift) AS r FROM a JOIN sh USING (season) JOIN train t ON t.season < a.season AND t.eligible),
+  b AS (SELECT season, count(*) AS n, avg(g) AS mg, stddev_pop(g) AS sg, avg(ln(r * r + 1)) AS ml, covar_pop(g, ln(r * r + 1)) AS cl FROM e GROUP BY 1),
+  sc AS (SELECT e.season, sqrt(avg(r * r / exp(ml + n * (cl / sg) / (n + 50.0) * (g - mg) / sg))) AS scale FROM e JOIN b USING (season) GROUP BY 1),
+  m AS (SELECT s.season, avg(resid) AS mm, stddev_pop(resid) AS sm FROM s JOIN train t ON t.season < s.season AND t.eligible GROUP BY 1)
+  SELECT game_key, {reals(mu='my + a.n * (c / sx) / (a.n + 50.0) * (f_home - mx) / sx + shift', sd='sqrt(exp(ml + b.n * (cl / sg) / (b.n + 50.0) * (f_spread - mg) / sg)) * scale', mu_mkt='mm', sd_mkt='sm')}
+  FROM train JOIN a USING (season) JOIN sh USING (season) JOIN b USING (season) JOIN sc USING (season) JOIN m USING (season)""".replace("{head}", with_("train", "").rstrip())
+
+
+@query("walk_forward_one_feature", _one_feature_sql(False))
+def walk_forward_one_feature(spark, sf):
+    return models.walk_forward(training(spark, sf), ["f_home"], ["f_spread"]).select("game_key", "mu", "sd", "mu_mkt", "sd_mkt")
+
+
+@query("walk_forward_move_one_feature", _one_feature_sql(True))
+def walk_forward_move_one_feature(spark, sf):
+    t = training(spark, sf).withColumn("move", F.col("f_move"))
+    return models.walk_forward(t, ["f_home"], ["f_spread"], close="target").select("game_key", "mu", "sd", "mu_mkt", "sd_mkt")
+
+
+@query("out_of_sample_gain_one_feature", with_("train", "").rstrip() + f""", s AS (SELECT DISTINCT season FROM train WHERE eligible), a AS (SELECT s.season, avg(resid) AS my, avg(f_home) AS mx, covar_pop(f_home, resid) / var_pop(f_home) AS b FROM s JOIN train t ON t.season < s.season AND t.eligible GROUP BY 1),
+  p AS (SELECT season, resid, my AS p0, my + b * (f_home - mx) AS p1 FROM train JOIN a USING (season) WHERE eligible), g AS (SELECT coalesce(CAST(season AS VARCHAR), 'all') AS season, count(*) AS n, avg((resid - p0) ** 2) AS m0, avg((resid - p1) ** 2) AS m1 FROM p GROUP BY ROLLUP (season))
+  SELECT season, n, {reals(mse_base='m0', mse_full='m1', reduction_pct='100 * (1 - m1 / m0)')} FROM g""")
+def out_of_sample_gain_one_feature(spark, sf):
+    return models.out_of_sample_gain(training(spark, sf).where("eligible"), [], ["f_home"])
+
+
 # M4
 @query("residual_shape", with_("train", "").rstrip() + f", z AS (SELECT season, resid / 17.0 AS z FROM train WHERE eligible) SELECT season, {reals(log_likelihood='sum(-0.5 * ln(pi() * 8) + lgamma(4.5) - lgamma(4.0) - 4.5 * ln(1 + z * z / 8))')} FROM z GROUP BY 1")
 def residual_shape(spark, sf):

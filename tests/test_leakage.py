@@ -59,3 +59,18 @@ def test_same_day_games_do_not_see_each_other(spark):
     assert r[1] is None and r[2] == 1.0
     w = 2 ** (1 / 8)
     assert r[3] == pytest.approx((1 + w * 14) / (1 + 2 * w))
+
+
+def test_level_forecasts_see_earlier_seasons_only(spark):
+    import random
+
+    from slatemill.operators.models import level_forecasts
+
+    rnd = random.Random(4)
+    rows = [(s, i, rnd.gauss(10, 4), 5 + 10 * rnd.random(), 9.5) for s in (1, 2, 3, 4) for i in range(300)]
+    build = lambda r: {(x.season, x.k): (round(x.sd, 9), x.p_over) for x in level_forecasts(
+        spark.createDataFrame(r, "season int, k int, points double, mu double, line double"), "points", "mu", "line").collect()}
+    base = build(rows)
+    moved = build([(s, i, y + 50 * rnd.random() if s >= 3 else y, m, x) for s, i, y, m, x in rows])
+    assert {s for s, _ in base} == {2, 3, 4}
+    assert all(base[k] == moved[k] for k in base if k[0] <= 3) and any(base[k] != moved[k] for k in base if k[0] == 4)
