@@ -255,7 +255,7 @@ def pit_bounds(hist: DataFrame, asks: DataFrame, keys: list[str], u: str, q: flo
     a = asks.select(*keys, F.col(u)).distinct()
     c = counts_below(hist.withColumn("_one", F.lit(1.0)), a.withColumns({"closed": F.lit(True), "id": F.col(u).cast("string")}), keys, u, "_one")
     n = hist.groupBy(*keys).agg(F.count("*").alias("n"))
-    j = c.join(F.broadcast(n), keys) if keys else c.join(F.broadcast(n))            # one row per key
+    j = c.join(n, keys) if keys else c.join(F.broadcast(n))                         # no keys: one row
     pairs = j.select(F.col("below").alias("k"), "n").distinct()
     pairs = pairs.withColumns({"lo": beta_quantile(q, F.col("k") + 0.5, F.col("n") - F.col("k") + 0.5),
                                "hi": beta_quantile(1 - q, F.col("k") + 0.5, F.col("n") - F.col("k") + 0.5)})

@@ -149,10 +149,13 @@ def season_weight(season_age: Column, decay: float) -> Column:
 def roster_continuity(minutes: DataFrame) -> DataFrame:
     """Share of last season's team minutes by players already seen this season before the date,
     and minutes brought in from other teams, over the same base.
+    Last season is the one before in order, so seasons may be years or texts such as 2015-16.
     minutes: season, team, player, date, minutes."""
     p = minutes.where((F.col("minutes") > 0) & F.col("player").isNotNull() & F.col("team").isNotNull())
     tot = p.groupBy("season", "team", "player").agg(F.sum("minutes").alias("m"), F.min("date").alias("date"))
-    prev = tot.select((F.col("season") + 1).alias("season"), "team", "player", F.col("m").alias("own"))
+    after = Window.partitionBy().orderBy("season")
+    following = tot.select("season").distinct().withColumn("_next", F.lead("season").over(after))        # one row per season
+    prev = tot.join(F.broadcast(following), "season").where(F.col("_next").isNotNull()).select(F.col("_next").alias("season"), "team", "player", F.col("m").alias("own"))
     anyp = prev.groupBy("season", "player").agg(F.sum("own").alias("anywhere"))
     base = prev.groupBy("season", "team").agg(F.sum("own").alias("base"))
     first = (tot.drop("m").join(prev, ["season", "team", "player"], "left").join(anyp, ["season", "player"], "left")

@@ -10,6 +10,7 @@ from slatemill.functions.probability import add_norm_cdf, add_norm_ppf
 from slatemill.operators.asof import board_at, starting_times, two_way
 from slatemill.operators.history import centre_before
 from slatemill.operators.running import grid_quantiles
+from slatemill.session import cut_lineage
 
 # Spread used for a single line, flattest slope accepted, combined odds floor.
 SIGMA_SINGLE = 16.0
@@ -56,12 +57,13 @@ def value_legs(quotes: DataFrame, when: DataFrame, closing: DataFrame, soft: lis
     `closing` is a fair curve; `finals` holds fixture_id, final, model."""
     extra = extra or []
     keys = extra + ["fixture_id"]
-    b = board_at(quotes, when, extra=extra)
+    b = cut_lineage(board_at(quotes, when, extra=extra))          # read twice below
     now = fair_curve(b, sharp, keys).select(*keys, "a", "b", "fair_mu")
     cl = closing.select("fixture_id", F.col("a").alias("ca"), F.col("b").alias("cb"))
     starts = starting_times(quotes)
     s = (b.where(F.col("book").isin(soft) & is_half_line(F.col("line"))).join(now, keys).join(cl, "fixture_id")
          .join(starts, "fixture_id").join(finals, "fixture_id", "left").withColumn("date", date_of))
+    s = cut_lineage(s)                                            # read twice below
     # one deviation per fixture, centred on the mean of earlier dates
     dev = s.groupBy(*keys, "date").agg(F.first(F.col("model") - F.col("fair_mu")).alias("dev"))
     dev = centre_before(dev, extra, "date", "dev", "dev_c").select(*keys, "dev_c")

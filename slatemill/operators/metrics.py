@@ -40,7 +40,7 @@ def reliability(df: DataFrame, keys: list[str], p: str, y: str, bucket: Column)
 def quantile_bins(df: DataFrame, keys: list[str], col: str, steps: int) -> DataFrame:
     """Equal-frequency bin index of `col`; the edges are at most steps + 1 numbers per key."""
     e = quantile_edges(df, keys, col, steps)
-    j = df.join(F.broadcast(e), keys) if keys else df.join(F.broadcast(e))   # one short array per key
+    j = df.join(e, keys) if keys else df.join(F.broadcast(e))                # no keys: one short array
     return j.withColumn("bin", bin_index(F.col(col), F.col("edges"))).drop("edges")
 
 

@@ -289,7 +289,7 @@ def empirical_exceedance(hist: DataFrame, asks: DataFrame, keys: list[str], z: s
     a = unit(asks.select(*keys, z).distinct()).withColumns({"closed": F.lit(True), "id": F.col(z).cast("string")})
     c = counts_below(unit(hist).withColumn("_one", F.lit(1.0)), a, keys, "_u", "_one")
     n = hist.groupBy(*keys).agg(F.count("*").alias("n"))
-    j = c.join(F.broadcast(n), keys) if keys else c.join(F.broadcast(n))                  # one row per key
+    j = c.join(n, keys) if keys else c.join(F.broadcast(n))                               # no keys: one row
     return j.select(*keys, F.col("id").cast("double").alias(z), (1 - F.col("below") / F.col("n")).alias("p"))
 
 
