@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame operations only.
 
-Targets share a budget by weight, none above a cap. Each source's documents stand in hashed order and form one
+Targets share a budget by weight, none above a cap. Each source's documents stand in scattered order and form one
 stream of words, as many times over as the cap allows, cut into blocks of equally many words. The schedule is the
 van der Corput sequence: slot i is the bit-reversed i, mapped through the cumulative numbers of blocks that the sources
 need. With 2^m slots every source is hit exactly as often as it needs blocks, evenly spread; slots beyond the
@@ -18,6 +18,14 @@ from slatemill.llm.common import cut_lineage, n_words, ranked_in_chunks
 
 BLOCK_WORDS = 4096
 CHUNK_ROWS, MOST_CHUNKS = 256, 65_536
+PRIME = (1 << 31) - 1
+
+
+def shuffled_place(doc_id: str, seed: int) -> str:
+    """SQL for a number below PRIME that scatters doc_ids: a linear step, then a product with a part of its own result. Plain
+    arithmetic, so that any SQL engine can give the same order."""
+    x = f"((({doc_id} % {PRIME} + {PRIME}) % {PRIME}) * 48271 + {seed}) % {PRIME}"
+    return f"(({x}) * (({x}) % 46337 + 1)) % {PRIME}"
 
 
 def source_targets(sized: DataFrame, weights: Sequence[int], budget: float, cap: float) -> DataFrame:
@@ -86,8 +94,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), budget: float = 1.5
     plan = schedule(targets)
     bits = max(1, min(MOST_CHUNKS, sized.count() // CHUNK_ROWS).bit_length())
     named = sized.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    shuffled = named.withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
-    placed = ranked_in_chunks(shuffled, ["sid"], F.shiftright("h", 64 - bits), [F.col(c) for c in ("h", "doc_id", "size", "row")], F.col("size"), "at")
+    shuffled = named.withColumn("h", F.expr(shuffled_place("doc_id", seed)))
+    placed = ranked_in_chunks(shuffled, ["sid"], F.shiftright("h", 31 - bits), [F.col(c) for c in ("h", "doc_id", "size", "row")], F.col("size"), "at")
     start = F.col("at") + F.col("source_size") * F.col("pass")
     stop = F.least(start + F.col("size"), F.col("quota"))
     last_pass = F.lit(int(-(-cap // 1)) - 1)
