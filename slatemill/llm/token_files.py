@@ -86,11 +86,12 @@ class WordEncoder:
             return b""
         if not self.by_word or ODD_SPACE.search(text):
             return self._whole(text)
-        try:
-            text.encode("latin-1")
-            text = text.lower()            # within Latin-1 lower-casing and normal forms work letter by letter
-        except UnicodeEncodeError:
-            pass
+        if "<|" not in text:               # special tokens are told by their case
+            try:
+                text.encode("latin-1")
+                text = text.lower()        # within Latin-1 lower-casing and normal forms work letter by letter
+            except UnicodeEncodeError:
+                pass
         split = text.split()
         words = self.words
         for w in set(split).difference(words):
@@ -248,7 +249,7 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int = 2
     tokens = token_table(docs, tokenizer, end_id)
     counts = id_counts(tokens).orderBy(F.desc("n"), "id").toPandas()       # at most one row per id of the vocabulary
     by_rank = counts["id"].to_numpy(dtype=np.int64)
-    parts = max(1, min(100_000, int(counts["n"].sum()) // (4 * shard_ids) + 1, ), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, min(100_000, int(counts["n"].sum()) // (4 * shard_ids) + 1), int(spark.conf.get("spark.sql.shuffle.partitions")))
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     manifest = write_files(tokens, by_rank, folder, shard_ids, parts)
     based = running_total(manifest.withColumn("key", F.lit(0)), ["key"], F.floor(F.col("part") / 1000), ["part", "seq"], "n_ids", "upto")

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 from slatemill.llm.token_files import get_code, put_code, token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["The cat's hat, isn't it?", None, "", "   \n\t ", "Ünïcode ÉCOLE ß straße ΣΑΣ İstanbul J̌ \x1c tab", "a b", "a b", "<|endoftext|> x",
+TEXTS = ["The cat's hat, isn't it?", None, "", "   \n\t ", "Ünïcode ÉCOLE ß straße ΣΑΣ İstanbul J̌ \x1c tab", "a b", "a b", "<|endoftext|> x", "<|ENDOFTEXT|> Up", "a<|StartOfText|>b<|startoftext|>",
          "!!! ... *** a,b.c 12,345 x@y.z", "日本語 テキスト ١٢٣", "word\x85next\xa0and more", "ONE! two& three", "don't DON'T 'sup", "long " * 30_000]
 
 
