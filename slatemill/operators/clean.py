@@ -193,3 +193,14 @@ def era_of(season: Column, eras: dict[str, list]) -> Column:
     for name, seasons in eras.items():
         out = F.when(season.isin(*seasons), name) if out is None else out.when(season.isin(*seasons), name)
     return out
+
+
+# ------------------------------------------------------------------ study frames
+def study_columns(stages: list[str], base: str) -> dict[str, Column]:
+    """Extra model columns of the studies: a dummy for each stage but `base`, gaps of tempo and efficiency between the teams, and
+    roster continuity with its interaction. Needs stage, tempo_*, off_*, def_*, *_cont, *_xfer (home and away) and x_pts."""
+    c = F.col
+    both = lambda n: (c(f"home_{n}") + c(f"away_{n}")) / 2  # noqa: E731  null where either is
+    cols = {f"st_{s}": (c("stage") == s).cast("double") for s in stages if s != base}
+    return cols | {"tempo_gap": F.abs(c("tempo_home") - c("tempo_away")), "eff_gap": F.abs(c("off_home") - c("def_away") - (c("off_away") - c("def_home"))),
+                   "cont_avg": both("cont"), "xfer_avg": both("xfer"), "lowcont": 1 - both("cont"), "x_pts_lowcont": c("x_pts") * (1 - both("cont"))}

@@ -117,6 +117,29 @@ def cluster_bootstrap(df: DataFrame, keys: list[str], cluster: str, top: Column,
     return out.select(*keys, "value", "clusters", "boot_mean", F.col("q")[0].alias("ci_lo"), F.col("q")[1].alias("ci_hi"))
 
 
+def paired_day_sums(a: DataFrame, b: DataFrame, day: str, profit: str) -> DataFrame:
+    """Profit and count of two arms on every day that either has: (day, profit_a, n_a, profit_b, n_b), zero where an arm rests."""
+    arm = lambda d, s: d.select(day, *[(F.col(profit) if s == x else F.lit(0.0)).cast("double").alias(f"profit_{x}") for x in "ab"],
+                                *[F.lit(int(s == x)).alias(f"n_{x}") for x in "ab"])
+    names = ["profit_a", "n_a", "profit_b", "n_b"]
+    return arm(a, "a").unionByName(arm(b, "b")).groupBy(day).agg(*[F.sum(c).alias(c) for c in names])
+
+
+def paired_day_difference(a: DataFrame, b: DataFrame, day: str, profit: str, n_boot: int = 1000, seed: int = 0) -> DataFrame:
+    """Return per bet of two arms and their difference with a percentile interval; whole days are resampled, both arms
+    together. One row."""
+    d = paired_day_sums(a, b, day, profit)
+    w = poisson_weight(seed, F.col("rep"), F.col(day).cast("string"))
+    roi = lambda x, k=None: F.sum(F.col(f"profit_{x}") * k if k is not None else F.col(f"profit_{x}")) / F.greatest(
+        F.sum(F.col(f"n_{x}") * k if k is not None else F.col(f"n_{x}")), F.lit(1))
+    reps = d.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("w", w)
+    reps = reps.groupBy("rep").agg((roi("b", F.col("w")) - roi("a", F.col("w"))).alias("diff"))
+    ci = reps.agg(F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg((F.col("diff") > 0).cast("double")).alias("share_b_better"))
+    point = d.agg(F.count("*").alias("days"), roi("a").alias("roi_a"), roi("b").alias("roi_b"))
+    return point.join(F.broadcast(ci)).select("days", "roi_a", "roi_b", (F.col("roi_b") - F.col("roi_a")).alias("diff"),      # one row each
+                                              F.col("q")[0].alias("ci_lo"), F.col("q")[1].alias("ci_hi"), "share_b_better")
+
+
 # ------------------------------------------------------------------ signal screen
 def signal_screen(df: DataFrame, signals: dict[str, Column], target: str, era: str, min_n: int = 30) -> DataFrame:
     """Slope t-statistic of the target on each signal per era, from regression sums of one pass."""

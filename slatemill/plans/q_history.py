@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slatemill.operators import clean, history, metrics, running
-from slatemill.plans.registry import query, reals
+from slatemill.plans.registry import ORACLE, query, reals
 from slatemill.plans.standins import CTES, bets, box, games, player_box, with_
 
 CTES["long"] = (("games",), """SELECT g.*, u.side, CASE WHEN u.side = 'home' THEN home ELSE away END AS team, CASE WHEN u.side = 'home' THEN home_pts ELSE away_pts END AS pf,
@@ -270,3 +270,26 @@ def leakage_audit(spark, sf):
     d = history.date_grain(long_history(spark, sf), ["team"], "date", [])
     d = d.withColumn("asof", F.max("date").over(history._past(["team"], "date")))
     return d.agg(F.count_if(F.col("asof") >= F.col("date")).alias("violations"), F.count("asof").alias("with_history"), F.count("*").alias("n"))
+
+
+# Stage dummies, gaps and continuity interactions beside the histories
+STAGES = ["nonconf", "conf_regular", "conf_tourney", "national"]
+STAGE = "CASE WHEN month(date) >= 10 THEN 'nonconf' WHEN month(date) <= 2 THEN 'conf_regular' WHEN month(date) <= 4 THEN 'conf_tourney' ELSE 'national' END"
+
+
+@query("study_frame", with_("games", "").rstrip() + f""", rc AS ({ORACLE['roster_continuity']}), s AS (SELECT game_key, {STAGE.replace('date', 'g.date')} AS stage, 64 + home % 9 AS th, 64 + away % 9 AS ta, 100 + home % 7 AS oh, 100 + away % 7 AS oa, 98 + home % 11 AS dh, 98 + away % 11 AS da,
+    (home % 5 + away % 5 - 4) * 0.8e0 AS x, floor(round(h.cont * 1e6) / 100) / 1e4 AS hc, floor(round(a.cont * 1e6) / 100) / 1e4 AS ac, floor(round(h.xfer * 1e6) / 100) / 1e4 AS hx, floor(round(a.xfer * 1e6) / 100) / 1e4 AS ax
+  FROM games g LEFT JOIN rc h ON h.team = g.home AND h.season = g.season AND h.date = strftime(g.date, '%Y-%m-%d') LEFT JOIN rc a ON a.team = g.away AND a.season = g.season AND a.date = strftime(g.date, '%Y-%m-%d'))
+  SELECT game_key, {reals(st_nonconf="CASE WHEN stage = 'nonconf' THEN 1.0 ELSE 0.0 END", st_conf_tourney="CASE WHEN stage = 'conf_tourney' THEN 1.0 ELSE 0.0 END", st_national="CASE WHEN stage = 'national' THEN 1.0 ELSE 0.0 END",
+    tempo_gap='CAST(abs(th - ta) AS DOUBLE)', eff_gap='CAST(abs(oh - da - (oa - dh)) AS DOUBLE)', cont_avg='(hc + ac) / 2', xfer_avg='(hx + ax) / 2', lowcont='1 - (hc + ac) / 2', x_pts_lowcont='x * (1 - (hc + ac) / 2)')} FROM s""")
+def study_frame(spark, sf):
+    g = games(spark, sf)
+    rc = history.roster_continuity(player_box(spark, sf).withColumn("player", F.expr(ROSTER))).select(
+        "season", "team", "date", *[(F.floor(F.round(F.round(c, 6) * 1e6) / 100) / 1e4).alias(c) for c in ("cont", "xfer")])
+    for side in ("home", "away"):
+        g = g.join(rc.select("season", "date", F.col("team").alias(side), F.col("cont").alias(f"{side}_cont"), F.col("xfer").alias(f"{side}_xfer")), ["season", "date", side], "left")
+        g = g.withColumns({f"tempo_{side}": 64 + F.col(side) % 9, f"off_{side}": 100 + F.col(side) % 7, f"def_{side}": 98 + F.col(side) % 11})
+    g = g.withColumns({"stage": F.expr(STAGE), "x_pts": (F.col("home") % 5 + F.col("away") % 5 - 4) * 0.8})
+    new = clean.study_columns(STAGES, "conf_regular")
+    d = g.withColumns(new)
+    return d.select("game_key", *[F.col(n).cast("double").alias(n) for n in new])

@@ -129,6 +129,20 @@ def bootstrap_roi(spark, sf):
     return metrics.cluster_bootstrap(bets(spark, sf), ["league"], "date", F.col("pnl"), F.lit(1.0), 1000)
 
 
+@query("paired_days", with_("bets", f"""SELECT strftime(date, '%Y-%m-%d') AS date, {reals(profit_a='coalesce(sum(pnl) FILTER (p >= 0.5), 0)', profit_b='coalesce(sum(pnl) FILTER (p >= 0.55), 0)')},
+  count(*) FILTER (p >= 0.5) AS n_a, count(*) FILTER (p >= 0.55) AS n_b FROM bets WHERE p >= 0.5 GROUP BY date"""))
+def paired_days(spark, sf):
+    """Two arms side by side on every day: bets at 0.5 and bets at 0.55."""
+    b = bets(spark, sf)
+    return metrics.paired_day_sums(b.where("p >= 0.5"), b.where("p >= 0.55"), "date", "pnl")
+
+
+@query("paired_day_difference")
+def paired_day_difference(spark, sf):
+    b = bets(spark, sf)
+    return metrics.paired_day_difference(b.where("p >= 0.5"), b.where("p >= 0.55"), "date", "pnl")
+
+
 @query("bootstrap_log_loss_gain")
 def bootstrap_log_loss_gain(spark, sf):
     """Paired log-loss gain of the forecast over the base rate, clustered by day."""
