@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from slatemill.functions.numbers import clip
 from slatemill.functions.probability import beta_quantile, logit
-from slatemill.operators.running import counts_below, grid_quantiles
+from slatemill.operators.running import counts_below, grid_quantiles, running_max, running_total
 
 # Buffers of the pseudo-bets and the one-sided 95% normal quantile.
 BUFFERS = [-6, -3, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 18]
@@ -219,14 +219,16 @@ def neighbourhood_bound(hist: DataFrame, asks: DataFrame, keys: list[str], p: st
     g = g.withColumn("start", F.when(F.col("hi") - F.col("lo") < min_n, F.greatest(F.col("hi") - min_n, F.lit(0))).otherwise(F.col("lo")))
     # wins below the widened start, looked up on the rank axis of distinct values (ties share their mean)
     d = hist.groupBy(*keys, F.col(p).alias("x")).agg(F.count("*").cast("double").alias("n"), F.sum(win).cast("double").alias("w"))
-    from slatemill.operators.running import running_total
-
     chunk = F.floor(F.least(F.greatest("x", F.lit(0.0)), F.lit(1.0)) * 512)
     r = running_total(running_total(d, keys, chunk, ["x"], "n", "cn"), keys, chunk, ["x"], "w", "cw")
-    thin = g.where(F.col("start") < F.col("lo"))
-    j = thin.join(r, keys) if keys else thin.join(F.broadcast(r))      # no keys: one axis
-    hit = j.where((F.col("cn") > F.col("start")) & (F.col("cn") - F.col("n") <= F.col("start")))
-    hit = hit.select(*keys, "p", (F.col("cw") - F.col("w") + (F.col("start") - (F.col("cn") - F.col("n"))) * F.col("w") / F.col("n")).alias("wst"))
+    # the value whose rows hold the start: laid on one axis of row positions, it is the last one before
+    first = F.col("cn") - F.col("n")
+    held = r.select(*keys, first.cast("double").alias("pos"), F.lit(0).alias("ask"), F.lit(None).cast("double").alias("p"),
+                    F.struct(first.cast("double").alias("c0"), (F.col("cw") - F.col("w")).alias("w0"), "n", "w").alias("v"))
+    asked = g.where(F.col("start") < F.col("lo")).select(*keys, F.col("start").cast("double").alias("pos"), F.lit(1).alias("ask"), "p",
+                                                       F.lit(None).cast(held.schema["v"].dataType).alias("v"))
+    axis = running_max(held.unionByName(asked), keys, F.floor(F.col("pos") / 4096), ["pos", "ask"], "v", "at").where("ask = 1")
+    hit = axis.select(*keys, "p", (F.col("at.w0") + (F.col("pos") - F.col("at.c0")) * F.col("at.w") / F.col("at.n")).alias("wst"))
     g = g.join(hit, keys + ["p"], "left").withColumn("wins", F.col("whi") - F.coalesce("wst", "wlo")).withColumn("n", F.col("hi") - F.col("start"))
     pairs = g.select("wins", "n").distinct().withColumn("bound", F.when(F.col("n") > 0, beta_quantile(q, 1 + F.col("wins"), 1 + F.col("n") - F.col("wins"))).otherwise(0.0))
     return g.join(pairs, ["wins", "n"]).select(*keys, "p", "n", "wins", "bound")
