@@ -89,3 +89,48 @@ def stale_seasons(spark, sf):
     g, cols = games(spark, sf), ["game_key", "date", "home", "away", "total"]
     old = fingerprint(g.withColumn("total", F.when((F.col("season") == 1998) & (F.col("game_key") % 97 == 0), F.col("total") + 1).otherwise(F.col("total"))), ["season"], cols)
     return ledger.stale_seasons(g, old, cols).select("season", "n")
+
+
+def _new_path(spark) -> str:
+    import uuid
+
+    from slatemill.session import shared_folder
+
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-tables/{uuid.uuid4().hex}"
+
+
+# Every game written as headered CSV with some blank lines, and read back
+@query("csv_slate", with_("games", f"SELECT game_key, strftime(date, '%Y-%m-%d') AS date, 'g' || home AS home, {reals(line='CASE WHEN game_key % 5 = 0 THEN 140.0 ELSE line_open END')}, 'main' AS league FROM games"))
+def csv_slate(spark, sf):
+    from pyspark.sql import types as T
+
+    from slatemill.sources import tables
+
+    path, k = _new_path(spark), F.col("game_key")
+    out = games(spark, sf).select(k.alias("Game_Key"), F.col("date").alias("Date"), F.concat(F.lit("g"), "home").alias("Home"), F.when(k % 5 != 0, F.col("line_open")).alias("Line"))
+    out.write.csv(path, header=True)
+    schema = T.StructType([T.StructField(n, t) for n, t in (("Game_Key", T.LongType()), ("Date", T.DateType()), ("Home", T.StringType()), ("Line", T.DoubleType()))])
+    return tables.scan_csv(spark, path, schema, {"line": 140.0, "league": "main"})
+
+
+# Season partitions written and scanned again, with a repeated and a missing column
+@query("season_scan", with_("games", "SELECT game_key, season, total, CAST(NULL AS DOUBLE) AS not_there FROM games WHERE season IN (1995, 1996)"))
+def season_scan(spark, sf):
+    from slatemill.sources import tables
+
+    path = _new_path(spark)
+    tables.write_table(games(spark, sf).select("game_key", "season", "total"), path, ["season"])
+    tables.write_table(games(spark, sf).where("season = 1996").select("game_key", "season", "total"), path, ["season"], mode="append")
+    return tables.scan(spark, [path], {"game_key": "bigint", "season": "bigint", "total": "bigint", "not_there": "double"}, ["game_key"]).where("season IN (1995, 1996)")
+
+
+# Two runs appended, the second of them twice
+@query("ledger_append", with_("bets", f"SELECT game_key, CASE WHEN season <= 1996 THEN 'first' ELSE 'second' END AS run, {reals(price='price')} FROM bets WHERE p >= 0.55"))
+def ledger_append(spark, sf):
+    from slatemill.plans.standins import bets
+
+    path, b = _new_path(spark), bets(spark, sf).where(F.col("p") >= 0.55).select("game_key", "season", "price")
+    ledger.append_ledger(spark, b.where("season <= 1996").drop("season"), path, ["game_key"], "first")
+    for _ in range(2):
+        ledger.append_ledger(spark, b.drop("season"), path, ["game_key"], "second")
+    return spark.read.parquet(path).select("game_key", "run", "price")
