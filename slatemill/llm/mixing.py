@@ -115,5 +115,6 @@ def repeat_by_mix(docs: DataFrame, **options) -> DataFrame:
     times = F.floor(F.sum("taken") / (F.count("*") * F.col("size")) + 0.5).cast("int")
     share = mix(docs, **options).where("size > 0").groupBy("doc_id", "source", "size").agg(times.alias("_times")).where("_times > 0")
     share = cut_lineage(share.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "_times"))
-    both = d.join(share, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
+    # texts are far larger than any count table that may be broadcast at scale; the plan is the same at every size
+    both = d.join(share.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
     return both.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
