@@ -188,7 +188,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     """One row per row of `docs` (doc_id, text; other columns are ignored): doc_id, held_out, score, predicted.
 
     Null and empty texts have all-zero statistics and score like any other. Without training labels every score
-    is 0.5. Rows that share a doc_id are scored each by its own text."""
+    is 0.5. Rows that share a doc_id are scored each by its own text; rows without one count as held out."""
     stats = statistics_table(docs)
     model = fit(stats, labels)
 
