@@ -1,10 +1,9 @@
 """Stupid-backoff language-model scores from the corpus itself, each document scored by all others.
 
 Blocks of about 4 MB of text explode their n-grams to 64-bit hashes with counts, already summed within the block.
-The count table is partitioned by hash bucket: a window sums each hash over all blocks. A hash that no other
-block has needs no answer, for the block knows its count; all others go back to their block with the corpus
-count. There they join the block's exploded n-grams, and scores are summed a document. No n-gram has more rows than there are
-blocks, so frequent words make no large key.
+The count table is partitioned by hash bucket; a bucket adds up each hash over all blocks and answers every block with the
+counts elsewhere, in the block's own order, so no hash travels back. There they join the block's exploded n-grams, and scores
+are summed a document. No n-gram has more rows than there are blocks, so frequent words make no large key.
 
 With c the count in all other documents, the score of a word after its history is c(history, word) / c(history)
 where the n-gram occurs elsewhere, and otherwise `backoff` times the score after the history less its first word; a
@@ -15,12 +14,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slatemill.llm.common import n_words
 
-BLOCK_BYTES, MOST_BUCKETS = 4 << 20, 65_536
+BLOCK_BYTES, MOST_BUCKETS = 4 << 20, 1 << 20
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -45,6 +44,16 @@ def gram_hashes(texts: list[bytes | None], order: int) -> tuple[np.ndarray, list
     return sizes, out, place
 
 
+def _small(counts: np.ndarray) -> bytes:
+    """Counts as bytes of the narrowest width that holds them all."""
+    most = int(counts.max(initial=0))
+    return counts.astype(next(f"<u{w}" for w in (1, 2, 4, 8) if most < 1 << 8 * w)).tobytes()
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"<u{len(raw) // n}").astype(np.int64)
+
+
 def _distinct(grams: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([g[place >= k] for k, g in enumerate(grams)]), return_counts=True)
 
@@ -69,18 +78,26 @@ def backoff_scores(docs: DataFrame, order: int = 2, backoff: float = 0.4, block_
         at = np.append(at, len(h))
         some = np.flatnonzero(np.diff(at))
         return pd.DataFrame({"block": np.full(len(some), key[0], dtype=np.int64), "bucket": some,
-                             "hash": pd.Series([h[at[i]:at[i + 1]].view(np.int64) for i in some], dtype=object),
-                             "n": pd.Series([n[at[i]:at[i + 1]].astype(np.int32) for i in some], dtype=object)})
+                             "hash": [h[at[i]:at[i + 1]].tobytes() for i in some],
+                             "n": [_small(n[at[i]:at[i + 1]]) for i in some]})
+
+    def add_up(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        sizes = rows["hash"].map(len).to_numpy() // 8
+        n = np.concatenate([_wide(raw, k) for raw, k in zip(rows["n"], sizes)])
+        _, at = np.unique(np.frombuffer(b"".join(rows["hash"]), dtype=np.uint64), return_inverse=True)
+        other = np.bincount(at, weights=n).astype(np.int64)[at] - n
+        ends = np.cumsum(sizes)
+        return pd.DataFrame({"block": rows["block"], "bucket": key[0], "size": sizes, "other": [_small(other[e - k:e]) for k, e in zip(sizes, ends)]})
 
-    packed = blocked.groupBy("block").applyInPandas(explode, "block long, bucket long, hash array<long>, n array<int>").repartition("bucket")
-    grams = packed.select("block", "bucket", F.inline(F.arrays_zip("hash", "n")))
-    summed = grams.withColumn("total", F.sum("n").over(Window.partitionBy("bucket", "hash")))
-    shared = summed.where("total > n").select("block", "hash", "total")
+    packed = blocked.groupBy("block").applyInPandas(explode, "block long, bucket long, hash binary, n binary")
+    counted = packed.groupBy("bucket").applyInPandas(add_up, "block long, bucket long, size long, other binary")
 
     def score(key: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         sizes, grams, place = gram_hashes(rows["text"].tolist(), order)
         h, total_of = _distinct(grams, place)
-        total_of[np.searchsorted(h, known["hash"].to_numpy(np.int64).view(np.uint64))] = known["total"].to_numpy(np.int64)
+        if len(h):
+            known = known.sort_values("bucket")
+            total_of = total_of + np.concatenate([_wide(raw, k) for raw, k in zip(known["other"], known["size"])])      # buckets are ranges of h
         doc = np.repeat(np.arange(len(sizes)), sizes)
         others = words - sizes[doc]
         elsewhere = []
@@ -102,5 +119,5 @@ def backoff_scores(docs: DataFrame, order: int = 2, backoff: float = 0.4, block_
         return pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "n_words": sizes, "log_score": logs,
                              "mean_log_score": logs / np.maximum(sizes, 1), "backed_off": short.astype(np.int64)})
 
-    return blocked.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(
+    return blocked.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(
         score, "doc_id long, n_words long, log_score double, mean_log_score double, backed_off long")
