@@ -22,7 +22,8 @@ from slatemill.llm.common import cut_lineage
 from slatemill.llm.vectors import fit_vectors, spread, stack
 
 DIRECTIONS, WINDOW, MISS = 64, 1.1, 0.05
-SHARD, BLOCK, SEED = 16_384, 1024, 11
+SHARD, BLOCK, GROUP, SEED = 16_384, 1024, 64, 11
+FIRST = 0.2         # first radius, as a share of the largest norm
 
 
 def collisions_needed(directions: int, window: float, miss: float) -> int:
@@ -46,41 +47,50 @@ class SortedProjections:
         self.axes = np.vstack(axes)[:DIRECTIONS] * sqrt(dim)          # a projected difference deviates by its length
         lift = np.sqrt(np.maximum(0, top * top - np.einsum("ij,ij->i", v, v)))
         p = np.hstack([v, lift[:, None]]) @ self.axes.T
-        self.order = np.argsort(p, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.sorted = np.take_along_axis(p.T, self.order, axis=1)
+        order = np.argsort(p, axis=0, kind="stable")
+        self.order = np.ascontiguousarray(order.T)
+        self.sorted = np.ascontiguousarray(np.take_along_axis(p, order, axis=0).T)
+        self.single = v.astype(np.float32)
         self.needed = collisions_needed(DIRECTIONS, WINDOW, MISS)
 
-    def search(self, q: np.ndarray, k: int) -> np.ndarray:
-        """Rows of the verified vectors with the k largest inner products with q, ties at the end included."""
-        norm = sqrt(q @ q)
-        at = self.axes[:, :-1] @ (q * (self.top / norm))
-        n, hits = len(self.v), np.zeros(len(self.v), dtype=np.int32)
-        lo = hi = np.array([np.searchsorted(row, x) for row, x in zip(self.sorted, at)])
-        inner = np.full(n, -np.inf)
-        radius, last = 0.05 * self.top, False
-        while True:
-            half = WINDOW * radius
-            left = np.array([np.searchsorted(row, x - half, "left") for row, x in zip(self.sorted, at)])
-            right = np.array([np.searchsorted(row, x + half, "right") for row, x in zip(self.sorted, at)])
-            left, right = np.minimum(left, lo), np.maximum(right, hi)
-            ring = [o[a:b] for o, a, b in zip(self.order, left, lo)] + [o[a:b] for o, a, b in zip(self.order, hi, right)]
-            hits += np.bincount(np.concatenate(ring), minlength=n).astype(np.int32)
-            lo, hi = left, right
-            new = np.flatnonzero((hits >= self.needed) & (inner == -np.inf))
-            inner[new] = self.v[new] @ q
-            found = np.count_nonzero(inner > -np.inf)
-            if last or found == n:
-                break
-            if found >= min(k, n):
-                kth = np.partition(inner, n - min(k, n))[n - min(k, n)]
-                far = sqrt(max(0.0, 2 * self.top * self.top - 2 * self.top * kth / norm))
-                if far <= radius:
-                    break
-                radius, last = far, True
-            else:
-                radius *= 2
-        kth = np.partition(inner, n - min(k, n))[n - min(k, n)]
-        return np.flatnonzero(inner >= kth)
+    def search(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each query the rows of the verified vectors with the k largest inner products, and of those so near to the k-th
+        that single precision cannot tell."""
+        n, k = len(self.v), min(k, len(self.v))
+        norm = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+        at = (queries * (self.top / norm)[:, None]) @ self.axes[:, :-1].T
+        lo = np.stack([np.searchsorted(row, x) for row, x in zip(self.sorted, at.T)], axis=1)
+        hi, radius = lo.copy(), np.full(len(queries), FIRST * self.top)
+        hits, inner = np.zeros((len(queries), n), dtype=np.int16), np.full((len(queries), n), -np.inf, dtype=np.float32)
+        live, last = np.arange(len(queries)), np.zeros(len(queries), dtype=bool)
+        q = queries.astype(np.float32)
+        while len(live):
+            half = WINDOW * radius[live]
+            left = np.stack([np.searchsorted(row, x - half, "left") for row, x in zip(self.sorted, at[live].T)], axis=1)
+            right = np.stack([np.searchsorted(row, x + half, "right") for row, x in zip(self.sorted, at[live].T)], axis=1)
+            left, right = np.minimum(left, lo[live]), np.maximum(right, hi[live])
+            more = []
+            for i, a, b in zip(live, left, right):
+                ring = [o[x:y] for o, x, y in zip(self.order, a, lo[i])] + [o[x:y] for o, x, y in zip(self.order, hi[i], b)]
+                hits[i] += np.bincount(np.concatenate(ring), minlength=n).astype(np.int16)
+                new = np.flatnonzero((hits[i] >= self.needed) & (inner[i] == -np.inf))
+                inner[i, new] = self.single[new] @ q[i]
+                found = np.count_nonzero(inner[i] > -np.inf)
+                if last[i] or found == n:
+                    continue
+                if found >= k:
+                    kth = float(np.partition(inner[i], n - k)[n - k])
+                    far = sqrt(max(0.0, 2 * self.top * self.top - 2 * self.top * kth / norm[i]))
+                    if far <= radius[i]:
+                        continue
+                    radius[i], last[i] = far, True
+                else:
+                    radius[i] *= 2
+                more.append(i)
+            lo[live], hi[live] = left, right
+            live = np.array(more, dtype=np.int64)
+        kth = np.partition(inner, n - k, axis=1)[:, n - k]
+        return [np.flatnonzero(x >= t - 1e-5 * self.top * r) for x, t, r in zip(inner, kth, norm)]
 
 
 def nearest(embeddings: DataFrame, queries: Column, k: int = 20) -> DataFrame:
@@ -102,13 +112,15 @@ def nearest(embeddings: DataFrame, queries: Column, k: int = 20) -> DataFrame:
         if len(own) and len(q):
             own = own.sort_values("vec_id")
             ids, shard = own["vec_id"].to_numpy(), SortedProjections(stack(own["v"]), top)
-            for i, x in zip(q["vec_id"], stack(q["v"])):
-                rows = shard.search(x, k + 1)                     # one more: the query itself may be among them
-                score = np.einsum("ij,j->i", shard.v[rows], x)
-                best = [j for j in np.lexsort((ids[rows], -score)) if ids[rows[j]] != i][:k]
-                out["query_id"] += [i] * len(best)
-                out["vec_id"] += ids[rows[best]].tolist()
-                out["score"] += score[best].tolist()
+            asked_ids, x = q["vec_id"].to_numpy(), stack(q["v"])
+            for at in range(0, len(q), GROUP):
+                found = shard.search(x[at:at + GROUP], k + 1)         # one more: the query itself may be among them
+                for i, one, rows in zip(asked_ids[at:at + GROUP], x[at:at + GROUP], found):
+                    score = np.einsum("ij,j->i", shard.v[rows], one)
+                    best = [j for j in np.lexsort((ids[rows], -score)) if ids[rows[j]] != i][:k]
+                    out["query_id"] += [i] * len(best)
+                    out["vec_id"] += ids[rows[best]].tolist()
+                    out["score"] += score[best].tolist()
         return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)

@@ -59,4 +59,4 @@ def test_threshold_is_the_quantile():
     share = ((np.abs(rnd.normal(size=(20_000, 64))) <= 1.1).sum(axis=1) >= n).mean()
     assert 0.94 < share < 0.99
     v = rnd.normal(size=(50, 8))
-    assert len(SortedProjections(v, np.linalg.norm(v, axis=1).max()).search(v[3], 50)) == 50
+    assert len(SortedProjections(v, np.linalg.norm(v, axis=1).max()).search(v[3:4], 50)[0]) == 50
