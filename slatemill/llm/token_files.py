@@ -215,7 +215,7 @@ def write_files(tokens: DataFrame, by_rank: np.ndarray, folder: str, shard_ids:
 
     fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
-    ordered = tokens.repartitionByRange(partitions, "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    ordered = tokens.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "ids")       # the sample holds doc_ids only
     return cut_lineage(ordered.mapInPandas(write, "part long, seq long, path string, n_ids long"))
 
 
