@@ -132,11 +132,19 @@ class SmallWorld:
         """(query, node) pairs of similarity `above` or more, found with a beam of `width`, and whether each query's
         beam was still full of such nodes when it ended."""
         q = q.astype(np.float32)
+        _, sims, (a, b) = self._beam(0, self._start(q), q, min(width, len(self.v)), above)
+        return a, b, sims[:, -1] >= above
+
+    def nearest(self, q: np.ndarray, width: int) -> np.ndarray:
+        """The `width` best nodes that a beam of that width finds for each query (-1: none)."""
+        q = q.astype(np.float32)
+        return self._beam(0, self._start(q), q, min(width, len(self.v)))[0]
+
+    def _start(self, q: np.ndarray) -> np.ndarray:
         start = np.zeros((len(q), 1), dtype=np.int64)
         for layer in range(len(self.links) - 1, 0, -1):
             start = self._beam(layer, start, q, EXPAND)[0][:, :1]
-        _, sims, (a, b) = self._beam(0, start, q, min(width, len(self.v)), above)
-        return a, b, sims[:, -1] >= above
+        return start
 
     def arrays(self) -> dict[str, np.ndarray]:
         return {"level": self.level, **{f"links{i}": x for i, x in enumerate(self.links)}}

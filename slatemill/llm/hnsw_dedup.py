@@ -2,8 +2,9 @@
 
 Equal vectors collapse to one with a count. Hashed shards build one graph each. Every block of queries searches its
 own shard and all shards before it, so each pair of shards meets once and a link counts for both ends. A block starts with a
-narrow beam; all its beams widen while an audit, some of its queries against the whole shard, misses a link. A beam that
-ends full of links widens to the whole shard, as does one of a quarter of the shard. Candidates are verified in double precision. A task returns counts a vector and a spanning forest of its links, never all pairs.
+narrow beam; all its beams widen while an audit, some of its queries against the whole shard, misses a link or a nearest
+neighbour. The neighbours are always there, whatever their cosine, so the audit has evidence where links are rare, also between
+shards. A beam that ends full of links widens to the whole shard, as do all beams that would need an EXACT-th of the shard. Candidates are verified in double precision. A task returns counts a vector and a spanning forest of its links, never all pairs.
 """
 from __future__ import annotations
 
@@ -21,7 +22,8 @@ from slatemill.llm.hnsw import SmallWorld
 from slatemill.llm.vectors import fit_vectors, spread, stack
 
 SHARD, BLOCK, GROUP = 32_768, 4096, 256
-WIDTH, AUDITED, SLACK = 24, 64, 1e-4
+WIDTH, AUDITED, SLACK = 24, 256, 1e-4
+NEAREST, RECALL, EXACT = 4, 0.995, 16       # true neighbours audited a query, the share of them to find, where beams cost more than the shard
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -62,16 +64,30 @@ def linked(graph: SmallWorld, v: np.ndarray, q: np.ndarray, above: float, width:
         return np.concatenate([a[ok], more[0]]), np.concatenate([b[ok], more[1]])
 
     def search(rows: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
-        return exact(rows) if 4 * w >= len(v) else once(rows, w)
+        return exact(rows) if EXACT * w >= len(v) else once(rows, w)
 
     sample = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(np.int64))
-    truth = exact(sample)
-    while len(search(sample, width)[0]) < len(truth[0]):
+    truth, near = exact(sample), _neighbours(q[sample] @ v.T)
+    audited = (near >= 0).sum()
+
+    def misses(w: int) -> bool:
+        found = (near[:, :, None] == graph.nearest(q[sample], w)[:, None, :]).any(axis=2) & (near >= 0)
+        return found.sum() < RECALL * audited or len(once(sample, w)[0]) < len(truth[0])
+
+    while EXACT * width < len(v) and (audited < AUDITED or misses(width)):
         width *= 2
     for at in range(0, len(q), GROUP):
         yield search(np.arange(at, min(len(q), at + GROUP)), width)
 
 
+def _neighbours(sims: np.ndarray) -> np.ndarray:
+    """The NEAREST best columns of each row, a query's own vector left out (-1: none)."""
+    sims = np.where(sims > 1 - 1e-9, -np.inf, sims)
+    k = min(NEAREST, sims.shape[1])
+    best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    return np.where(np.take_along_axis(sims, best, axis=1) > -np.inf, best, -1)
+
+
 def cosine_groups(embeddings: DataFrame, above: float = 0.9) -> DataFrame:
     """One row per row of `embeddings` (vec_id, embedding; other columns are ignored): vec_id, n_links, component_id, kept.
 

@@ -57,3 +57,32 @@ def test_graph_recall():
     ids, _ = g._beam(0, np.zeros((200, 1), dtype=np.int64), v[:200].astype(np.float32), 64)
     near = np.argsort(-(v[:200] @ v.T), axis=1)[:, :10]
     assert np.mean([len(set(a[:10]) & set(b)) / 10 for a, b in zip(ids, near)]) > 0.9
+
+
+def test_sparse_links_between_shards():
+    """One query in a hundred has a link, at a cosine just above 0.9, in a shard that it is not from."""
+    rnd, want, got = np.random.default_rng(11), 0, 0
+    for _ in range(1):
+        v = unit(rnd.normal(size=(8192, 64)))
+        q = unit(rnd.normal(size=(2048, 64)))
+        some = rnd.choice(len(q), 20, replace=False)
+        side = unit(rnd.normal(size=(20, 64)))
+        to = v[rnd.choice(len(v), 20, replace=False)]
+        side = unit(side - np.einsum("ij,ij->i", side, to)[:, None] * to)
+        q[some] = 0.905 * to + np.sqrt(1 - 0.905 ** 2) * side
+        want += (q @ v.T >= 0.9).sum()
+        got += sum(len(a) for a, _ in linked(SmallWorld(v), v, q, 0.9, hnsw_dedup.WIDTH))
+    assert want >= 20 and got == want
+
+
+def test_a_graph_that_leads_nowhere_is_noticed_without_links():
+    """No audited query has a link; only its nearest neighbours show that beams cannot reach the node of query 1."""
+    rnd = np.random.default_rng(5)
+    v, q = unit(rnd.normal(size=(1000, 32))), unit(rnd.normal(size=(2000, 32)))
+    q[1] = v[700]
+    g = SmallWorld(v)
+    for links in g.links:
+        links[100:] = -1
+        links[links >= 100] = -1
+    found = [(a, b) for x, y in linked(g, v, q, 0.9, hnsw_dedup.WIDTH) for a, b in zip(x.tolist(), y.tolist())]
+    assert (q @ v.T >= 0.9).sum() == 1 and found == [(1, 700)]
