@@ -130,7 +130,7 @@ def op10_length_buckets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op5_backoff_lm")
 def op5_backoff_lm(spark: SparkSession, sf: str) -> DataFrame:
-    return backoff_scores(table(spark, sf, "documents"))
+    return backoff_scores(table(spark, sf, "documents"), order=3)
 
 
 @query("op8_preference", PREFERENCE_SQL)

@@ -49,3 +49,11 @@ def test_no_rows(spark):
     docs = spark.createDataFrame([(1, None)], "doc_id long, text string")
     assert [tuple(r) for r in backoff_scores(docs).collect()] == [(1, 0, 0.0, 0.0, 0)]
     assert backoff_scores(docs.limit(0)).collect() == []
+
+
+def test_query_scores_by_trigrams(spark, tmp_path):
+    from slatemill.llm.queries import QUERIES
+    docs = spark.createDataFrame(list(enumerate(TEXTS[:20])), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.backed_off, round(r.log_score, 4)) for r in QUERIES["op5_backoff_lm"](spark, str(tmp_path)).collect()}
+    assert got == {r[0]: (r[4], round(r[2], 4)) for r in brute(list(enumerate(TEXTS[:20])), 3, 0.4)}
