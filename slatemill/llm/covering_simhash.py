@@ -152,9 +152,11 @@ def simhash_components(docs: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """Rows of `docs` less near copies: of each component the row of its smallest doc_id stays, one row where
-    several share that doc_id. A row without a doc_id cannot be named as the one to stay, so it always stays."""
-    groups = simhash_components(docs, radius)
-    stay = cut_lineage(groups.where("doc_id = component_id").select("doc_id").dropDuplicates())
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Rows of `docs` less near copies: of each component one row stays, that of the smallest doc_id, the first of
+    them where several share it. Rows are told apart by a number of their own, so different texts under one doc_id
+    each count. A row without a doc_id cannot be named as the one to stay, so it always stays."""
+    numbered = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = simhash_components(numbered.select(F.col("_row").alias("doc_id"), "text"), radius)
+    named = groups.select(F.col("doc_id").alias("_row"), "component_id").join(numbered.where("doc_id IS NOT NULL").select("_row", "doc_id"), "_row")
+    stay = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("first")).select("first._row")
+    return numbered.join(cut_lineage(stay), "_row", "left_semi").unionByName(numbered.where("doc_id IS NULL")).select(docs.columns)

@@ -88,3 +88,10 @@ def test_long_chain_of_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 500)] + [(1000, 1001), (7, 7)], "a long, b long")
     got = dict((r.node, r.root) for r in components(edges).collect())
     assert all(got[i] == 0 for i in range(501)) and got[1001] == 1000
+
+
+def test_different_texts_under_one_doc_id_each_count(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = spark.createDataFrame([(5, a), (5, b), (2, b)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in keep_first(docs).collect()) == [(2, b), (5, a)]
+    assert sorted(tuple(r) for r in keep_first(docs.where("doc_id = 5")).collect()) == [(5, a), (5, b)]
