@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from slatemill.llm.backoff_lm import backoff_scores
 from slatemill.llm.collision_ann import nearest
 from slatemill.llm.common import table
+from slatemill.llm.conversation_trie import prefix_trie
 from slatemill.llm.covering_simhash import simhash_components
 from slatemill.llm.hnsw_dedup import cosine_groups
 from slatemill.llm.length_buckets import BATCH_TOKENS, BUCKETS, MAX_LENGTH, pack
@@ -143,3 +144,25 @@ def op8_preference(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_page_diff")
 def op9_page_diff(spark: SparkSession, sf: str) -> DataFrame:
     return main_text(table(spark, sf, "pages"))
+
+
+# crc32 of the decimal text, bit by bit (reflected polynomial 0xEDB88320)
+_CRC_SQL = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
+
+TRIE_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+  o AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS turns FROM t GROUP BY 1),
+  h AS (SELECT *, {_CRC_SQL} % 4 AS h FROM o),
+  r AS (SELECT h.conv_id, list_concat(coalesce(b.turns, [])[:h.h], h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20),
+  p AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM r),
+  n AS (SELECT d AS depth, turns[:d] AS path, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(turns) = d), '') AS ends FROM p GROUP BY 1, 2),
+  k AS (SELECT n.path[:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+  c AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * {WORDS_SQL.replace("text", "n.path[depth].text")} END AS saved FROM n LEFT JOIN k ON k.path = n.path),
+  a AS (SELECT list_slice(x.path, 1, up) AS path, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM c) x GROUP BY 1)
+  SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, sha256(c.ends) AS ends_sha256
+  FROM c JOIN a ON a.path = c.path LEFT JOIN n u ON c.depth > 0 AND u.depth = c.depth - 1 AND u.path = c.path[:c.depth - 1]"""
+
+
+@query("op13_conversation_trie", TRIE_SQL)
+def op13_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie(table(spark, sf, "conversations"))
