@@ -11,7 +11,9 @@ from slatemill.llm.collision_ann import nearest
 from slatemill.llm.common import table
 from slatemill.llm.conversation_trie import prefix_trie
 from slatemill.llm.covering_simhash import simhash_components
+from slatemill.llm.hard_negatives import hard_negatives
 from slatemill.llm.hnsw_dedup import cosine_groups
+from slatemill.llm.language_id import language_id
 from slatemill.llm.length_buckets import BATCH_TOKENS, BUCKETS, MAX_LENGTH, pack
 from slatemill.llm.mixing import mix, shuffled_place
 from slatemill.llm.page_diff import main_text
@@ -146,6 +148,26 @@ def op9_page_diff(spark: SparkSession, sf: str) -> DataFrame:
     return main_text(table(spark, sf, "pages"))
 
 
+@query("op11_language_id")
+def op11_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return language_id(table(spark, sf, "documents"))
+
+
+NEGATIVES_SQL = """WITH e AS (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+  f AS (SELECT * FROM e WHERE len(v) = (SELECT len(v) FROM e GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1)),
+  s AS (SELECT a.row, a.vec_id AS anchor_id, b.row AS other, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM f a JOIN f b ON a.row <> b.row WHERE a.vec_id % 50 = 0),
+  p AS (SELECT row, anchor_id, other, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id, other) <= 5),
+  n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.row, p.other ORDER BY s.score DESC, s.vec_id, s.other) AS rank
+    FROM p JOIN s ON s.row = p.row AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+  SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+
+@query("op12_rns_negatives", NEGATIVES_SQL)
+def op12_rns_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return hard_negatives(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 # crc32 of the decimal text, bit by bit (reflected polynomial 0xEDB88320)
 _CRC_SQL = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
     lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
