@@ -3,13 +3,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slatemill.functions.numbers import effective_threshold, half_point_threshold
+from slatemill.functions.numbers import clip, effective_threshold, half_point_threshold
 from slatemill.functions.odds import double_profit
-from slatemill.functions.probability import add_copula_joint
+from slatemill.functions.probability import add_copula_joint, joint_normal
 from slatemill.operators.calibrate import add_latent_probability
+from slatemill.operators.running import counts_below
 from slatemill.session import cut_lineage
 
 # Default price of a main leg without a real quote, and the flat -110 price used by slates.
@@ -211,6 +214,45 @@ def pair_skyline(cand: DataFrame, first: str, second: str) -> DataFrame:
     return d.where(F.col("_second").isNull() | (F.col(second) > F.col("_second"))).drop("_top", "_lose", "_second")
 
 
+def qualifying_pairs(cand: DataFrame, p: str, rho: Column, target: float) -> DataFrame:
+    """(date, n_qualifying): pairs of a date whose joint chance reaches `target`, counted without forming any. The joint
+    chance rises in both legs, so every leg has a least partner chance that reaches the target (`least_partner`), and a
+    shared axis tells how many legs have it. cand: date and one dependence per date; equal chances count together."""
+    d = cand.groupBy("date", clip(F.col(p), 1e-6, 1 - 1e-6).alias("x")).agg(F.count("*").alias("m"), F.max(rho).alias("rho"))
+    d = cut_lineage(d.withColumn("need", least_partner("x", "rho", target)))
+    asks = d.where("need <= 1").select("date", F.col("need").alias("x"), F.col("x").cast("string").alias("id"), F.lit(False).alias("closed"))
+    below = counts_below(d.select("date", "x", F.col("m").cast("double").alias("m")), asks, ["date"], "x", "m", weight="m")
+    size = d.groupBy("date").agg(F.sum("m").alias("n"))
+    own = d.where("need <= 1").select("date", F.col("x").cast("string").alias("id"), "m", (F.col("x") >= F.col("need")).cast("long").alias("self"))
+    j = own.join(below, ["date", "id"]).join(size, "date")
+    return j.groupBy("date").agg(F.expr("sum(m * (n - below - self)) div 2").alias("n_qualifying"))
+
+
+def least_partner(p: str, rho: str, target: float) -> Column:
+    """Least second chance that with `p` reaches the joint target; above 1 where none does. By bisection on the copula; at
+    rho 0 the smallest double whose product with `p` does."""
+    @F.pandas_udf("double")
+    def run(x: pd.Series, r: pd.Series) -> pd.Series:
+        a, t = x.to_numpy(float), r.to_numpy(float)
+        lo, hi = np.full(len(a), 1e-6), np.full(len(a), 1 - 1e-6)
+        top = joint_normal(a, hi, t)
+        low = joint_normal(a, lo, t)
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            up = joint_normal(a, mid, t) >= target
+            hi, lo = np.where(up, mid, hi), np.where(up, lo, mid)
+        plain = t == 0
+        q = target / a
+        for _ in range(3):
+            q = np.where(plain & (a * q < target), np.nextafter(q, 2.0), q)
+            down = np.nextafter(q, 0.0)
+            q = np.where(plain & (a * down >= target), down, q)
+        out = np.where(plain, q, np.where(low >= target, 0.0, hi))
+        return pd.Series(np.where(~plain & (top < target), 2.0, out))
+
+    return run(F.col(p), F.col(rho).cast("double"))
+
+
 def decide_slates(preds: DataFrame, rhos: DataFrame, joint_target: float = 0.60, floor: float = 0.60, single_min: float = 0.5238,
                   min_edge: float = 0.0, odds: float = MAIN_PRICE) -> DataFrame:
     """Per date: a two-pick card, one qualifying pick or no bet.
@@ -228,7 +270,7 @@ def decide_slates(preds: DataFrame, rhos: DataFrame, joint_target: float = 0.60,
     x = add_copula_joint(x, "joint_cons", F.col("p_cons_a"), F.col("p_cons_b"), F.col("rho_lo"))
     ok = F.col("joint_cons") >= joint_target
     order = F.when(ok, F.struct(-F.col("joint_cal"), F.col("game_key_a"), F.col("game_key_b")))
-    pick = F.struct("game_key_a", "game_key_b", "line_a", "line_b", "total_a", "total_b", "joint_cal", "joint_cons")
+    pick = F.struct("game_key_a", "game_key_b", "line_a", "line_b", "total_a", "total_b", "joint_cal", "joint_cons", (F.col("p_cal_a") * F.col("p_cal_b")).alias("joint_indep"))
     card = x.groupBy("date").agg(F.min_by(F.when(ok, pick), order).alias("c"))
     # the near miss is taken among a date's most likely games, whether candidates or not
     nearest = F.row_number().over(Window.partitionBy("date").orderBy(F.col("p_cal").desc(), "game_key"))
@@ -240,15 +282,28 @@ def decide_slates(preds: DataFrame, rhos: DataFrame, joint_target: float = 0.60,
     two, one = F.col("c").isNotNull(), F.col("s").isNotNull()
     sa, sb = res("c.total_a", "c.line_a"), res("c.total_b", "c.line_b")
     n = F.col("n_candidates")
+    count = qualifying_pairs(d.where(good).join(F.broadcast(rhos), "season"), "p_cons", F.col("rho_lo"), joint_target)       # one row per season
+    r = r.join(count, "date", "left")
     return r.select(
-        "date", "season", "n_games", "n_candidates", (n * (n - 1) / 2).cast("long").alias("n_pairs"),
+        "date", "season", "n_games", "n_candidates", (n * (n - 1) / 2).cast("long").alias("n_pairs"), F.coalesce("n_qualifying", F.lit(0)).cast("long").alias("n_qualifying"),
         F.when(two, "TWO-PICK CARD").when(one, "ONE QUALIFYING PICK").otherwise("NO BET").alias("outcome"),
         F.when(two, F.col("c.game_key_a")).when(one, F.col("s.game_key")).alias("pick_a"), F.when(two, F.col("c.game_key_b")).alias("pick_b"),
-        F.col("c.joint_cal").alias("joint_cal"), F.col("c.joint_cons").alias("joint_cons"), "closest_joint_cons",
+        F.col("c.joint_cal").alias("joint_cal"), F.col("c.joint_cons").alias("joint_cons"), F.col("c.joint_indep").alias("joint_indep"), "closest_joint_cons",
         F.when(two, (sa == 1).cast("int") + (sb == 1).cast("int")).alias("card_wins"),
         F.when(two, double_profit(sa, F.lit(odds), sb, F.lit(odds))).alias("double_profit"))
 
 
+def slate_picks(preds: DataFrame, decisions: DataFrame, odds: float = MAIN_PRICE) -> DataFrame:
+    """One row per pick of the decided slates: date, season, game_key, role (the slate's outcome), leg, line, proj_total,
+    p_cal, p_cons, total, result (W, P for a push, L) and flat profit."""
+    picks = decisions.select("date", "outcome", F.explode(F.array(F.struct(F.lit(0).alias("leg"), F.col("pick_a").alias("game_key")), F.struct(F.lit(1).alias("leg"), F.col("pick_b").alias("game_key")))).alias("x"))
+    picks = picks.select("date", F.col("outcome").alias("role"), "x.*").where("game_key IS NOT NULL")
+    sign = F.signum(F.col("total") - F.col("line"))
+    j = picks.join(preds.select("game_key", "date", "season", "line", "proj_total", "p_cal", "p_cons", "total"), ["date", "game_key"])
+    return j.select("date", "season", "game_key", "role", "leg", "line", "proj_total", "p_cal", "p_cons", "total",
+                    F.when(sign > 0, "W").when(sign == 0, "P").otherwise("L").alias("result"), F.when(sign > 0, odds - 1).when(sign == 0, 0.0).otherwise(-1.0).alias("profit"))
+
+
 # ------------------------------------------------------------------ singles and lines
 def shop_sides(view: DataFrame) -> DataFrame:
     """Line shopping: the side whose best offer has the higher value (p_over, odds_over, ...)."""

@@ -1,6 +1,8 @@
 """Fair curves, value legs, best quotes and two-leg cards from a quote log."""
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,30 +120,100 @@ def best_pair(legs: DataFrame, group: list[str], key: str = "fixture_id", price:
     return p.groupBy(*group).agg(F.min_by(best, F.struct(-F.col("joint"), a, b)).alias("m")).select(*group, "m.*")
 
 
-def disjoint_pairs(legs: DataFrame, group: list[str], cut, key: str = "fixture_id", price: str = "price",
-                   value: str = "v", floor: float = MIN_CARD_ODDS) -> DataFrame:
-    """Greedy matching (best pair, then the best among the remaining games, ...) for all groups at
-    once: pairs that are each other's best partner are exactly the ones greedy would take, so each
-    round settles all of them. Stops when no pair is worth more than its stake."""
-    left = legs.select(*group, key, price, value)
-    taken: DataFrame | None = None
-    while True:
-        bp = best_partner(left, group, key, price, value, floor).where(F.col("joint") > 1)
-        back = bp.select(*group, F.col("leg").alias("partner"), F.col("partner").alias("leg"))
-        pairs = bp.join(back, group + ["leg", "partner"], "left_semi")
-        # mutual best, plus the group's best pair so that ties cannot stall a round
-        top = best_pair(left, group, key, price, value, floor).where(F.col("joint") > 1)
-        a, b = F.least("leg", "partner"), F.greatest("leg", "partner")
-        picked = pairs.select(*group, a.alias("leg_a"), b.alias("leg_b"), "joint").unionByName(top).distinct()
-        clash = picked.select(*group, "joint", "leg_a", "leg_b", F.explode(F.array("leg_a", "leg_b")).alias("g"))
-        keep = clash.groupBy(*group, "g").agg(F.max(F.struct("joint", "leg_a", "leg_b")).alias("m")).select(*group, "g", "m.*")
-        ok = keep.groupBy(*group, "leg_a", "leg_b", "joint").agg(F.count("*").alias("n")).where("n = 2").drop("n")
-        ok = cut(ok)
-        if ok.isEmpty():
-            return taken if taken is not None else ok
-        taken = ok if taken is None else taken.unionByName(ok)
-        used = ok.select(*group, F.explode(F.array("leg_a", "leg_b")).alias(key))
-        left = cut(left.join(used, group + [key], "left_anti"))
+class BestPartners:
+    """Legs in the order of falling price under a tournament tree of their values: the best partner of a leg is the
+    winner of a prefix, the legs dear enough for the pair to reach the odds floor. Legs leave as they are taken."""
+
+    def __init__(self, price: np.ndarray, value: np.ndarray, floor: float):
+        """Legs must come in the order of their keys: equal values go to the earlier leg."""
+        self.order = np.argsort(-price, kind="stable")
+        self.value, n = value, len(price)
+        self.size = 1 << max(0, n - 1).bit_length()
+        self.place = np.empty(n, dtype=np.int64)
+        self.place[self.order] = np.arange(n)
+        need = floor / price * (1 - 1e-12)
+        self.reach = np.searchsorted(-price[self.order], -need, side="right")       # legs with a price of at least `need`
+        leaves = np.full(self.size, -1, dtype=np.int64)
+        leaves[:n] = self.order
+        self.tree = [0] * self.size + leaves.tolist()
+        for i in range(self.size - 1, 0, -1):
+            self.tree[i] = self.winner(self.tree[2 * i], self.tree[2 * i + 1])
+
+    def winner(self, a: int, b: int) -> int:
+        if a < 0 or b < 0:
+            return max(a, b)
+        va, vb = self.value[a], self.value[b]
+        return a if va > vb or (va == vb and a < b) else b
+
+    def best(self, leg: int) -> int:
+        """The partner of the highest value, -1 if there is none."""
+        own, stop = int(self.place[leg]), int(self.reach[leg])
+        return self.winner(self._over(0, min(own, stop)), self._over(own + 1, stop))
+
+    def _over(self, a: int, b: int) -> int:
+        won, a, b = -1, a + self.size, b + self.size
+        while a < b:
+            if a & 1:
+                won, a = self.winner(won, self.tree[a]), a + 1
+            if b & 1:
+                b -= 1
+                won = self.winner(won, self.tree[b])
+            a, b = a >> 1, b >> 1
+        return won
+
+    def leave(self, leg: int) -> None:
+        i = int(self.place[leg]) + self.size
+        self.tree[i] = -1
+        while i > 1:
+            i >>= 1
+            self.tree[i] = self.winner(self.tree[2 * i], self.tree[2 * i + 1])
+
+
+def greedy_matching(price: np.ndarray, value: np.ndarray, floor: float) -> list[tuple[int, int]]:
+    """Pairs (a < b) that greedy picking would take: the pair of the highest joint value, then the highest among the
+    legs left, while it is above 1; ties go to the smaller legs. Follows best partners until two legs are each
+    other's best: such a pair is taken by any order of greedy picks, so every leg is asked a bounded number of times."""
+    legs, out = BestPartners(price, value, floor), []
+    live, chain = [True] * len(price), []
+    edge = lambda i, j: (-(value[i] * value[j]), min(i, j), max(i, j))
+    for start in range(len(price)):
+        chain = [start] if live[start] else []
+        while chain:
+            i = chain[-1]
+            j = legs.best(i)
+            if j < 0 or value[i] * value[j] <= 1:
+                legs.leave(i)           # none of its pairs is worth its stake, now or later
+                live[i] = False
+                chain.pop()
+            elif len(chain) > 1 and edge(i, j) >= edge(chain[-2], i):
+                j = chain[-2]
+                out.append((min(i, j), max(i, j)))
+                for x in (i, j):
+                    legs.leave(x)
+                    live[x] = False
+                del chain[-2:]
+            else:
+                chain.append(j)
+    return out
+
+
+def disjoint_pairs(legs: DataFrame, group: list[str], key: str = "fixture_id", price: str = "price", value: str = "v", floor: float = MIN_CARD_ODDS) -> DataFrame:
+    """Greedy matching (best pair, then the best among the remaining games, ...) of every group, in one job whatever the
+    number of pairs. Stops when no pair is worth more than its stake. A group's legs, one a game and three plain
+    columns each, are held by one task; legs that no partner could lift above 1 are left out before."""
+    d = legs.select(*group, key, F.col(price).cast("double").alias("_p"), F.col(value).cast("double").alias("_v")).where("_p > 0 AND _v > 0")
+    top = d.groupBy(*group).agg(F.max("_v").alias("_top"), F.max("_p").alias("_dear"))
+    d = d.join(top, group).where((F.col("_v") * F.col("_top") > 1) & (F.col("_p") * F.col("_dear") >= floor * (1 - 1e-9))).drop("_top", "_dear")
+    kinds = {f.name: f.dataType.simpleString() for f in legs.schema.fields}
+    schema = ", ".join([*[f"`{g}` {kinds[g]}" for g in group], f"leg_a {kinds[key]}, leg_b {kinds[key]}, joint double"])
+
+    def match(ids: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(key)
+        names, p, v = rows[key].tolist(), rows["_p"].to_numpy(), rows["_v"].to_numpy()
+        found = greedy_matching(p, v, floor)
+        return pd.DataFrame([(*ids, names[a], names[b], v[a] * v[b]) for a, b in found], columns=[*group, "leg_a", "leg_b", "joint"])
+
+    return d.groupBy(*group).applyInPandas(match, schema)
 
 
 def card_rows(pairs: DataFrame, legs: DataFrame, group: list[str], key: str = "fixture_id") -> DataFrame:

@@ -218,5 +218,9 @@ def earlier_season_dependence(df: DataFrame, season: str, slate: str, x: str, z:
 
 # ------------------------------------------------------------------ table fingerprint
 def fingerprint(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """Order-free content hash and row count per key."""
-    return df.groupBy(*keys).agg(F.bit_xor(F.xxhash64(*cols)).alias("hash"), F.count("*").alias("n"))
+    """Order-free content hash and row count per key: two sums of row hashes. A sum counts a repeated row as often
+    as it occurs, where an exclusive or would cancel pairs of them. Nulls differ from empty texts."""
+    text = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in cols]
+    d = df.withColumn("_m", F.md5(F.concat(*text)))
+    part = lambda start: F.sum(F.conv(F.substring("_m", start, 15), 16, 10).cast("decimal(28,0)")).cast("string")
+    return d.groupBy(*keys).agg(F.concat_ws("-", part(1), part(16)).alias("hash"), F.count("*").alias("n"))

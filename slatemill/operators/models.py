@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from slatemill.functions.numbers import clip
 from slatemill.functions.probability import add_norm_cdf
-from slatemill.operators.running import grid_quantiles
+from slatemill.operators.running import chunk_sums, in_ranges
 from slatemill.session import cut_lineage
 
 
@@ -26,16 +26,24 @@ def expand_to_later_seasons(df: DataFrame, season: str, all_seasons: DataFrame)
 
 # ------------------------------------------------------------------ imputation
 def medians_of_earlier_seasons(df: DataFrame, season: str, cols: list[str]) -> DataFrame:
-    """Exact median per column over all earlier seasons, keyed by the season it serves. Rows first
-    collapse to (season, value) counts; only counts are repeated for later seasons, and the
-    distribution is ranked in chunks, never in one task."""
+    """Exact median per column over all earlier seasons, keyed by the season it serves. Every distinct value carries its
+    counts before each season, so one scan and one aggregate serve all seasons and no row is repeated for later
+    ones; running sums of the counts along the values, in ranges, tell where every median lies."""
+    seasons = sorted(r[0] for r in df.select(season).distinct().collect())               # a short list
     arr = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in cols])
     long = df.select(season, F.explode(arr).alias("x")).select(season, "x.*").where("v IS NOT NULL")
-    counts = cut_lineage(long.groupBy(season, "col", "v").agg(F.count("*").alias("w")))     # read by every later step
-    e = expand_to_later_seasons(counts, season, later_seasons(df, season))
-    m = grid_quantiles(e, ["for_season", "col"], "v", 2, weight="w").where("i = 1")
-    return cut_lineage(m.groupBy(F.col("for_season").alias(season)).agg(
-        *[F.max(F.when(F.col("col") == c, F.col("q"))).alias(f"med_{c}") for c in cols]))             # one row per season
+    if len(seasons) < 2:
+        return long.select(F.col(season), *[F.lit(None).cast("double").alias(f"med_{c}") for c in cols]).limit(0)
+    names = {f"n{i}": s for i, s in enumerate(seasons[1:])}
+    counts = long.groupBy("col", "v").agg(*[F.count_if(F.col(season) < s).alias(n) for n, s in names.items()])
+    r = chunk_sums(in_ranges(counts, ["col"], "v"), ["col"], ["v"], list(names))
+    sizes = r.groupBy("col").agg(*[F.max(f"c_{n}").alias(f"s_{n}") for n in names])
+    r = r.join(F.broadcast(sizes), "col")                                                # one row per column
+    holds = lambda n, rank: (rank >= F.col(f"c_{n}") - F.col(n)) & (rank < F.col(f"c_{n}"))
+    pick = lambda n, rank: F.max(F.when(holds(n, rank), F.col("v")))
+    med = r.groupBy("col").agg(*[((pick(n, F.floor((F.col(f"s_{n}") - 1) / 2)) + pick(n, F.ceil((F.col(f"s_{n}") - 1) / 2))) / 2).alias(n) for n in names])
+    by_season = med.select("col", F.explode(F.array(*[F.struct(F.lit(s).alias(season), F.col(n).alias("m")) for n, s in names.items()])).alias("x")).select("col", "x.*").where("m IS NOT NULL")
+    return cut_lineage(by_season.groupBy(season).agg(*[F.max(F.when(F.col("col") == c, F.col("m"))).alias(f"med_{c}") for c in cols]))     # one row per season
 
 
 def impute_from_earlier_seasons(df: DataFrame, season: str, cols: list[str]) -> DataFrame:

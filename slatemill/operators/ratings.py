@@ -1,4 +1,4 @@
-"""Opponent-adjusted daily ratings and sequential team states.
+"""Opponent-adjusted daily ratings; sequential team states are in `states`.
 
 Both start from one small table: per (league, date, home, away, neutral) the number of games and
 the sums of points. However many rows a league holds, that table is bounded by teams and days, and
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slatemill.functions.dates import day_number
+from slatemill.operators.states import expected_points, schema_text, spread, team_states  # noqa: F401
 
 
 def pair_days(games: DataFrame) -> DataFrame:
@@ -23,13 +24,6 @@ def pair_days(games: DataFrame) -> DataFrame:
         F.count("poss").cast("double").alias("nb"), F.sum("poss").alias("ps"), per100("home_pts").alias("he"), per100("away_pts").alias("ae"))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Fixed partition count for groups that are small in bytes but heavy in work: adaptive
-    coalescing looks at bytes only and would put them all into one task."""
-    n = df.sparkSession.sparkContext.defaultParallelism * 4
-    return df.repartition(n, *keys)
-
-
 def _system(sides: list[tuple], y: list[np.ndarray], n: np.ndarray, size: int, teams: int, ridge: float) -> np.ndarray:
     """Solve sum w (x'b - y)^2 + ridge |b_teams|^2 from grouped rows. `sides` lists, for each view of
     a row, its (column index, value) pairs; `y` the weighted target sums; `n` the weighted counts."""
@@ -47,14 +41,6 @@ def _system(sides: list[tuple], y: list[np.ndarray], n: np.ndarray, size: int, t
 RATING_COLUMNS = ("league", "date", "home", "away", "neutral", "asof", "n_home", "n_away", "pts_home", "pts_away", "poss", "oe_home", "oe_away", "eff_total")
 
 
-def _schema(games: DataFrame, columns: tuple[str, ...], like: dict[str, str]) -> str:
-    """Schema text: key columns have the type they have in `games` (numbers or texts), dates are dates, the rest doubles."""
-    kind = {f.name: f.dataType.simpleString() for f in games.schema.fields}
-    of = {c: kind[like.get(c, c)] for c in columns if like.get(c, c) in ("league", "season", "home")}
-    fixed = {"date": "date", "asof": "date", "neutral": "boolean"}
-    return ", ".join(f"{c} {of.get(c, fixed.get(c, 'double'))}" for c in columns)
-
-
 def daily_ratings(games: DataFrame, half_life: float = 45.0, previous: float = 0.15, ridge: float = 3.0, lookback: int = 400,
                   venue_tempo: bool = False, min_games: int = 30, block_days: int = 60) -> DataFrame:
     """Expected points, possessions and efficiency of every pairing from games strictly before its
@@ -117,84 +103,4 @@ def daily_ratings(games: DataFrame, half_life: float = 45.0, previous: float = 0
         r["asof"] = r["asof"].astype(object).where(r["asof"].notna(), None)
         return r
 
-    return spread(p, "league", "block").groupBy("league", "block").applyInPandas(solve, _schema(games, RATING_COLUMNS, {"away": "home"}))
-
-
-STATE_COLUMNS = ("league", "date", "team", "season", "asof", "off", "dfn", "games", "line_tend", "ou_trend", "pts_for", "pts_against", "lg_total", "lg_line", "home_adv")
-
-
-def team_states(games: DataFrame, k: float = 0.08, halflife: float = 10.0, prior: float = 5.0, regress: float = 0.4,
-                league_games: float = 150.0) -> DataFrame:
-    """State of both teams before each of their dates: coupled offence/defence ratings, market and
-    scoring tendencies with a prior weight, league level and home advantage. A true ordered fold, run
-    per league over league-days, each a handful of pair sums: every date is emitted before any of its
-    results is folded in, and a date's games are folded together.
-    games: league, season, date, home, away, home_pts, away_pts, line."""
-    p = games.groupBy("league", "season", "date", "home", "away").agg(
-        F.count("*").cast("double").alias("n"), F.sum("home_pts").cast("double").alias("hp"), F.sum("away_pts").cast("double").alias("ap"),
-        F.sum("line").alias("ln"))
-    decay, lg_decay, adv_decay = 0.5 ** (1 / halflife), 0.5 ** (1 / league_games), 0.5 ** (1 / 500)
-
-    def ew(value: float, weight: float, total: float, n: float, d: float) -> tuple[float, float]:
-        w = weight * d ** n
-        return (value * w + total) / (w + n), w + n
-
-    def fold(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
-        state: dict = {}
-        lg, ll, adv = (200.0, 1.0), (200.0, 1.0), (0.0, 50.0)
-        last, out = None, []
-        names = ("lt", "ou", "pf", "pa")
-
-        def team(t, season):
-            s = state.setdefault(t, {"off": 0.0, "dfn": 0.0, "n": 0.0, "season": None, **{x: (0.0, 0.0) for x in names}})
-            if s["season"] != season:
-                s["off"] *= 1 - regress
-                s["dfn"] *= 1 - regress
-                for x in names:
-                    v, w = s[x]
-                    s[x] = (v * (1 - regress) if x in ("lt", "ou") else v, min(w, prior))
-                s["n"], s["season"] = 0.0, season
-            return s
-
-        for date, g in d.sort_values(["date", "home", "away"]).groupby("date", sort=True):
-            todo = []
-            for r in g.itertuples(index=False):
-                todo += [(r.home, r.season), (r.away, r.season)]
-            for t, season in dict.fromkeys(todo):
-                s = team(t, season)
-                out.append((key[0], date, t, season, last, s["off"], s["dfn"], s["n"], s["lt"][0], s["ou"][0],
-                            s["pf"][0] if s["pf"][1] > 0 else None, s["pa"][0] if s["pa"][1] > 0 else None, lg[0], ll[0], adv[0]))
-            snap = {t: (state[t]["off"], state[t]["dfn"]) for t, _ in todo}
-            base, edge, line0 = lg[0] / 2, adv[0] / 2, ll[0]
-            for r in g.itertuples(index=False):
-                eh = r.hp - r.n * (base + edge + snap[r.home][0] + snap[r.away][1])
-                ea = r.ap - r.n * (base - edge + snap[r.away][0] + snap[r.home][1])
-                h, a = state[r.home], state[r.away]
-                h["off"] += k * eh
-                a["dfn"] += k * eh
-                a["off"] += k * ea
-                h["dfn"] += k * ea
-                adv = ew(*adv, eh - ea + r.n * adv[0], r.n, adv_decay)
-                for s, pf, pa in ((h, r.hp, r.ap), (a, r.ap, r.hp)):
-                    s["lt"] = ew(*s["lt"], r.ln - r.n * line0, r.n, decay)
-                    s["ou"] = ew(*s["ou"], r.hp + r.ap - r.ln, r.n, decay)
-                    s["pf"], s["pa"] = ew(*s["pf"], pf, r.n, decay), ew(*s["pa"], pa, r.n, decay)
-                    s["n"] += r.n
-                lg, ll = ew(*lg, r.hp + r.ap, r.n, lg_decay), ew(*ll, r.ln, r.n, lg_decay)
-            last = date
-        return pd.DataFrame(out, columns=list(STATE_COLUMNS))
-
-    return spread(p, "league").groupBy("league").applyInPandas(fold, _schema(games, STATE_COLUMNS, {"team": "home"}))
-
-
-def expected_points(games: DataFrame, states: DataFrame) -> DataFrame:
-    """Attach both states and the rating-based expectation to every game."""
-    g = games
-    for s in ("home", "away"):
-        cols = [F.col(c).alias(f"{s}_{c}") for c in ("off", "dfn", "games", "line_tend", "ou_trend", "pts_for", "pts_against")]
-        shared = ["asof", "lg_total", "lg_line", "home_adv"] if s == "home" else []
-        g = g.join(states.select("league", "date", F.col("team").alias(s), *cols, *shared), ["league", "date", s])
-    half, adv = F.col("lg_total") / 2, F.col("home_adv") / 2
-    naive = (F.col("home_pts_for") + F.col("away_pts_for") + F.col("home_pts_against") + F.col("away_pts_against")) / 2
-    return g.withColumns({"exp_home": half + adv + F.col("home_off") + F.col("away_dfn"), "exp_away": half - adv + F.col("away_off") + F.col("home_dfn"),
-                          "naive_total": naive, "lg_gap": F.col("lg_total") - F.col("lg_line")})
+    return spread(p, "league", "block").groupBy("league", "block").applyInPandas(solve, schema_text(games, RATING_COLUMNS, {"away": "home"}))

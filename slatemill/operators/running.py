@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slatemill.session import cut_lineage
+
 
 def _inside(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -65,17 +67,32 @@ def longest_run(df: DataFrame, keys: list[str], chunk: Column, order: list[str],
     return runs.groupBy(*keys).agg(F.max("_len").alias(name))
 
 
-def value_ranks(df: DataFrame, keys: list[str], col: str, bins: int = 512, weight: str | None = None) -> DataFrame:
+def in_ranges(df: DataFrame, keys: list[str], col: str) -> DataFrame:
+    """Adds `_chunk`, the number of a range of (keys, col) with about as many rows as any other, whatever the spread of
+    the values: Spark samples the edges, so outliers and heavy tails make no chunk large. Written once, since the
+    edges must be the same wherever the chunks are read; small inputs come out as one chunk."""
+    return cut_lineage(df.repartitionByRange(*keys, col).withColumn("_chunk", F.spark_partition_id()))
+
+
+def chunk_sums(ranged: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """Inclusive running sums of `values`, as c_<value>, over a table made by `in_ranges`; one row a chunk is combined."""
+    w = _inside(keys, order)
+    parts = ranged.groupBy(*keys, "_chunk").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    base = parts.select(*keys, "_chunk", *[F.coalesce(F.sum(f"_t_{v}").over(_earlier(keys)), F.lit(0)).alias(f"_b_{v}") for v in values])
+    local = ranged.withColumns({f"c_{v}": F.sum(v).over(w) for v in values})
+    return local.join(base, keys + ["_chunk"]).withColumns({f"c_{v}": F.col(f"c_{v}") + F.col(f"_b_{v}") for v in values}).drop("_chunk", *[f"_b_{v}" for v in values])
+
+
+def value_ranks(df: DataFrame, keys: list[str], col: str, weight: str | None = None) -> DataFrame:
     """One row per distinct value: how many rows hold it (`n`) and how many are <= it (`cum`),
     with the group size `size`. Duplicates collapse map-side before anything is ordered. `weight`
     is a row count already reduced by the caller."""
     n = F.count("*") if weight is None else F.sum(weight)
     counts = df.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("v")).agg(n.alias("n"))
-    span = counts.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.sum("n").alias("size"))
-    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    c = counts.join(span, keys) if keys else counts.join(F.broadcast(span))   # no keys: one row
-    out = running_total(c, keys, F.floor(width * bins), ["v"], "n", "cum")
-    return out.select(*keys, "v", "n", F.col("cum").cast("long").alias("cum"), F.col("size"))
+    size = counts.groupBy(*keys).agg(F.sum("n").alias("size"))
+    out = chunk_sums(in_ranges(counts, keys, "v"), keys, ["v"], ["n"])
+    out = out.join(size, keys) if keys else out.join(F.broadcast(size))       # no keys: one row
+    return out.select(*keys, "v", "n", F.col("c_n").cast("long").alias("cum"), F.col("size"))
 
 
 def grid_quantiles(df: DataFrame, keys: list[str], col: str, steps: int, weight: str | None = None) -> DataFrame:
@@ -103,19 +120,15 @@ def quantile_edges(df: DataFrame, keys: list[str], col: str, steps: int) -> Data
     return g.groupBy(*keys).agg(F.array_sort(F.collect_set("q")).alias("edges"))
 
 
-def counts_below(hist: DataFrame, asks: DataFrame, keys: list[str], x: str, value: str, bins: int = 512) -> DataFrame:
+def counts_below(hist: DataFrame, asks: DataFrame, keys: list[str], x: str, value: str, weight: str | None = None) -> DataFrame:
     """For every ask (keys, id, x, closed): how many history rows lie below x (at or below it when
     `closed`) and the sum of their `value`: rows (keys, id, below, below_value). History and asks
-    share one axis in [0, 1], cut into `bins` chunks, and a chunked running sum answers all asks."""
-    h = hist.groupBy(*keys, F.col(x).alias("x")).agg(F.count("*").cast("double").alias("n"), F.sum(value).cast("double").alias("w"))
+    share one axis, cut into ranges of equal numbers of rows, and a chunked running sum answers all asks. `weight`
+    counts rows that the caller has already added up."""
+    n = F.count("*") if weight is None else F.sum(weight)
+    h = hist.groupBy(*keys, F.col(x).alias("x")).agg(n.cast("double").alias("n"), F.sum(value).cast("double").alias("w"))
     points = h.select(*keys, "x", F.lit(1).alias("pos"), "n", "w", F.lit(None).cast("string").alias("id"))
     q = asks.select(*keys, F.col(x).alias("x"), F.when(F.col("closed"), 2).otherwise(0).alias("pos"),
                     F.lit(0.0).alias("n"), F.lit(0.0).alias("w"), F.col("id").cast("string").alias("id"))
-    axis = points.unionByName(q).withColumn("_chunk", F.floor(F.least(F.greatest("x", F.lit(0.0)), F.lit(1.0)) * bins))
-    sums = axis.groupBy(*keys, "_chunk").agg(F.sum("n").alias("tn"), F.sum("w").alias("tw"))
-    base = sums.select(*keys, "_chunk", F.coalesce(F.sum("tn").over(_earlier(keys)), F.lit(0.0)).alias("bn"),
-                       F.coalesce(F.sum("tw").over(_earlier(keys)), F.lit(0.0)).alias("bw"))
-    w = _inside(keys, ["x", "pos"])
-    local = axis.withColumn("ln", F.sum("n").over(w)).withColumn("lw", F.sum("w").over(w)).where(F.col("id").isNotNull())
-    return local.join(base, keys + ["_chunk"]).select(
-        *keys, "id", (F.col("bn") + F.col("ln")).cast("long").alias("below"), (F.col("bw") + F.col("lw")).alias("below_value"))
+    axis = chunk_sums(in_ranges(points.unionByName(q), keys, "x"), keys, ["x", "pos"], ["n", "w"])
+    return axis.where(F.col("id").isNotNull()).select(*keys, "id", F.col("c_n").cast("long").alias("below"), F.col("c_w").alias("below_value"))

@@ -360,7 +360,7 @@ def strategy_grid(spark, sf):
     group = [*key, "date"]
     b = cut_lineage(market.best_leg_per_game(x, group + ["fixture_id"]).withColumn("v", 1 + F.col("ev_now")))
     one = market.best_pair(b, group).withColumn("per_date", F.lit("1"))
-    every = market.disjoint_pairs(b, group, cut_lineage).withColumn("per_date", F.lit("all_disjoint"))
+    every = market.disjoint_pairs(b, group).withColumn("per_date", F.lit("all_disjoint"))
     c = market.card_rows(one.unionByName(every.select(one.columns)), b.withColumn("per_date", F.explode(F.array(F.lit("1"), F.lit("all_disjoint")))), group + ["per_date"])
     days = F.array_sort(F.collect_set("date"))                                            # one value per calendar day
     split = l.agg(F.element_at(days, (F.size(days) / 2).cast("int") + 1).alias("split"))

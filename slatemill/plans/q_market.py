@@ -215,4 +215,4 @@ def best_cards(spark, sf):
 def disjoint_cards(spark, sf):
     """D7 all_disjoint: greedy cards of every date, all dates at once."""
     l = cut_lineage(_best_legs(spark, sf).withColumn("v", F.col("v") + 0.15))
-    return market.card_rows(market.disjoint_pairs(l, ["date"], cut_lineage), l, ["date"])
+    return market.card_rows(market.disjoint_pairs(l, ["date"]), l, ["date"])

@@ -194,3 +194,17 @@ def test_ids_without_names(spark):
     fc = spark.createDataFrame([(g, 70, 20.0) for g in range(6)] + [(g, 80, 10.0) for g in range(6)] + [(0, 90, 11.0)], "game bigint, player bigint, mu double")
     m = {r["pid"]: (r["player"], r["cost"]) for r in resolve.match_ids(lines, fc).collect()}
     assert m[7][0] == 70 and m[8] == (80, 1.0)
+
+
+def test_medians_of_every_prefix(spark):
+    r = np.random.default_rng(8)
+    d = pd.DataFrame({"season": r.integers(0, 6, 500), "a": r.integers(0, 9, 500).astype(float), "b": r.lognormal(0, 4, 500), "c": np.nan})
+    d.loc[r.random(500) < 0.3, "b"] = np.nan
+    d.loc[d.season < 3, "a"] = np.nan
+    rows = [(int(s), *[None if np.isnan(x) else x for x in v]) for s, *v in d.values.tolist()]
+    got = {x["season"]: x for x in models.medians_of_earlier_seasons(spark.createDataFrame(rows, "season int, a double, b double, c double"), "season", ["a", "b", "c"]).collect()}
+    assert set(got) == {1, 2, 3, 4, 5}
+    for s, x in got.items():
+        for c in ("a", "b", "c"):
+            m = d[d.season < s][c].median()
+            assert (x[f"med_{c}"] is None and np.isnan(m)) or x[f"med_{c}"] == pytest.approx(m)

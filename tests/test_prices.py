@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from slatemill.functions import odds
 from slatemill.functions.probability import add_copula_joint, add_norm_cdf, add_norm_ppf
 from slatemill.operators import asof, cards, clean, history, market, metrics, staking
-from slatemill.session import cut_lineage
 
 T0 = dt.datetime(2024, 1, 10, 18, 0)
 Q = "fixture_id bigint, start timestamp, book string, line double, side string, t timestamp, seq bigint, price double, active boolean"
@@ -79,7 +78,7 @@ def test_best_pair_equals_all_pairs(spark, seed):
 
 def test_disjoint_cards_equal_greedy(spark):
     l = legs_frame(5)
-    got = {(r["date"], r["leg_a"], r["leg_b"]) for r in market.disjoint_pairs(spark.createDataFrame(l), ["date"], cut_lineage).collect()}
+    got = {(r["date"], r["leg_a"], r["leg_b"]) for r in market.disjoint_pairs(spark.createDataFrame(l), ["date"]).collect()}
     want = set()
     for d, x in l.groupby("date"):
         used = set()
@@ -163,3 +162,59 @@ def test_grade_cards_follow_settlement(spark):
     f = spark.createDataFrame([("a", 151.0), ("b", 141.0)], "game string, total double")
     g = {r["card"]: (r["status"], r["profit"]) for r in staking.grade_cards(legs, f, ["game"]).collect()}
     assert g[1][0] == "won" and g[1][1] == pytest.approx(1.56) and g[2] == ("pending", None) and g[3] == ("pending", None)
+
+
+def test_matching_with_ties_and_equal_prices(spark):
+    r = np.random.default_rng(9)
+    rows = [(f"d{d}", i, float(r.choice([1.4, 1.5, 1.7, 2.0, 3.0])), float(r.choice([0.9, 1.0, 1.1, 1.25]))) for d in range(4) for i in range(60)]
+    l = pd.DataFrame(rows, columns=["date", "fixture_id", "price", "v"])
+    got = {(x["date"], x["leg_a"], x["leg_b"]) for x in market.disjoint_pairs(spark.createDataFrame(l), ["date"]).collect()}
+    want = set()
+    for d, x in l.groupby("date"):
+        pairs = sorted((-a.v * b.v, a.fixture_id, b.fixture_id) for a, b in itertools.combinations(x.itertuples(), 2) if a.price * b.price >= 2.5)
+        used = set()
+        for j, a, b in pairs:
+            if j < -1 and not {a, b} & used:
+                want.add((d, a, b))
+                used |= {a, b}
+    assert got == want and len(want) > 20
+
+
+def test_every_partner_is_asked_a_bounded_number_of_times():
+    r = np.random.default_rng(1)
+    n, asked = 3000, [0]
+    best = market.BestPartners.best
+
+    def counted(self, leg):
+        asked[0] += 1
+        return best(self, leg)
+
+    market.BestPartners.best = counted
+    try:
+        pairs = market.greedy_matching(1.3 + r.random(n), 1 + r.random(n), 2.5)
+    finally:
+        market.BestPartners.best = best
+    assert asked[0] < 4 * n and len({x for p in pairs for x in p}) == 2 * len(pairs)
+
+
+@pytest.mark.parametrize("rho", [0.0, 0.12, -0.2])
+def test_qualifying_pairs_equal_a_double_loop(spark, rho):
+    from slatemill.functions.probability import joint_normal
+    from slatemill.operators.cards import qualifying_pairs
+
+    r = np.random.default_rng(3)
+    rows = [(d, float(np.round(x, 3)), rho) for d in range(3) for x in r.uniform(0.3, 1.0, 60)] + [(3, 0.7, rho)] * 5 + [(4, 0.99, rho), (5, 1.0, rho), (5, 0.6, rho)]
+    got = {x["date"]: x["n_qualifying"] for x in qualifying_pairs(spark.createDataFrame(rows, "date int, p double, rho_lo double"), "p", F.col("rho_lo"), 0.42).collect()}
+    for d in range(6):
+        p = np.clip([x[1] for x in rows if x[0] == d], 1e-6, 1 - 1e-6)
+        pairs = [joint_normal(np.array([a]), np.array([b]), np.array([rho]))[0] >= 0.42 for a, b in itertools.combinations(p, 2)]
+        assert got.get(d, 0) == sum(pairs)
+
+
+def test_fingerprint_sees_repeated_rows(spark):
+    from slatemill.operators.metrics import fingerprint
+
+    f = lambda rows: {x["k"]: (x["hash"], x["n"]) for x in fingerprint(spark.createDataFrame(rows, "k int, a string, b int"), ["k"], ["a", "b"]).collect()}[1]
+    assert f([(1, "x", 1), (1, "x", 1)]) != f([(1, "y", 2), (1, "y", 2)])
+    assert f([(1, "x", 1), (1, "y", 2)]) == f([(1, "y", 2), (1, "x", 1)])
+    assert f([(1, None, 1)]) != f([(1, "", 1)]) and f([(1, "1", 11)]) != f([(1, "11", 1)])

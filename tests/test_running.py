@@ -85,3 +85,18 @@ def test_doubling_levels(spark, rows):
             assert got[r.i] == lvl
             if r.pnl != 0:
                 lvl = 0 if r.pnl > 0 or lvl == 2 else lvl + 1
+
+
+def test_ranges_hold_about_equal_numbers_of_rows(spark):
+    """Equal widths would put nearly all of a heavy-tailed column into one chunk."""
+    r = np.random.default_rng(11)
+    v = np.concatenate([r.lognormal(0, 3, 40_000), [1e12, -1e12]])
+    d = spark.createDataFrame(pd.DataFrame({"k": "g", "v": v}))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        chunks = [x["count"] for x in running.in_ranges(d, ["k"], "v").groupBy("_chunk").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(chunks) > 1 and max(chunks) <= 2 * sum(chunks) / len(chunks)
+    q = {x["i"]: x["q"] for x in running.grid_quantiles(d, ["k"], "v", 20).collect()}
+    assert np.allclose([q[i] for i in range(21)], np.quantile(v, np.linspace(0, 1, 21)))
