@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slatemill.functions.dates import day_number
-from slatemill.operators.states import expected_points, schema_text, spread, team_states  # noqa: F401
+from slatemill.operators.states import BOX_RATES, expected_points, schema_text, spread, team_states, with_box_rates  # noqa: F401
 
 
 def pair_days(games: DataFrame) -> DataFrame:

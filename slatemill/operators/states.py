@@ -163,11 +163,16 @@ def _day_rows(d: pd.DataFrame) -> tuple[list, list[tuple]]:
     d = d.sort_values(["date", "home", "away", "season"])
     teams = sorted(set(d.home) | set(d.away))
     at = {t: i for i, t in enumerate(teams)}
+    home, away = d.home.map(at).to_numpy(), d.away.map(at).to_numpy()
+    columns = [d[c].to_numpy(float) for c in ("n", "hp", "ap", "lg_total", "edge_weight")]
+    new = [d[c].to_numpy(bool) for c in ("home_new", "away_new")]
+    dates = d.date.to_numpy()
+    cuts = [0, *(np.flatnonzero(dates[1:] != dates[:-1]) + 1), len(d)]
     out = []
-    for date, g in d.groupby("date", sort=True):
-        h, a = g.home.map(at).to_numpy(), g.away.map(at).to_numpy()
-        fresh = np.unique(np.concatenate([h[g.home_new.to_numpy(bool)], a[g.away_new.to_numpy(bool)]]))
-        out.append((date, h, a, g.n.to_numpy(), g.hp.to_numpy(), g.ap.to_numpy(), g.lg_total.to_numpy() / 2, g.edge_weight.to_numpy(), fresh))
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        h, a = home[i:j], away[i:j]
+        n, hp, ap, level, weight = (c[i:j] for c in columns)
+        out.append((dates[i], h, a, n, hp, ap, level / 2, weight, np.unique(np.concatenate([h[new[0][i:j]], a[new[1][i:j]]]))))
     return teams, out
 
 
@@ -201,7 +206,7 @@ def coupled_ratings(rows: DataFrame, k: float, regress: float, block_rows: int)
         t = len(teams)
         m = np.eye(2 * t + 1, 2 * t + 2)
         for day in dates:
-            m[np.concatenate([day[-1], t + day[-1]]).astype(int)] *= 1 - regress
+            m[np.concatenate([day[-1], t + day[-1]])] *= 1 - regress
             _advance(m, day, t, k)
         return pd.DataFrame({"league": [key[0]], "block": [key[1]], "teams": [teams], "map": [m.tobytes()]})
 
@@ -220,14 +225,15 @@ def coupled_ratings(rows: DataFrame, k: float, regress: float, block_rows: int)
     def replay(key: tuple, d: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         teams, dates = _day_rows(d)
         t, out = len(teams), []
-        # columns: the state itself, times one
+        # one column, the state itself
         m = np.array(start["start"].iloc[0], dtype=float)[:, None]
         for day in dates:
-            m[np.concatenate([day[-1], t + day[-1]]).astype(int)] *= 1 - regress
+            m[np.concatenate([day[-1], t + day[-1]])] *= 1 - regress
             here = np.unique(np.concatenate([day[1], day[2]]))
-            out.append(pd.DataFrame({"league": key[0], "date": day[0], "team": [teams[i] for i in here], "off": m[here, 0], "dfn": m[t + here, 0], "home_adv": m[2 * t, 0]}))
+            out.append((np.repeat(day[0], len(here)), here, m[here, 0], m[t + here, 0], np.full(len(here), m[2 * t, 0])))
             _advance(m, day, t, k)
-        return pd.concat(out, ignore_index=True)
+        date, place, off, dfn, edge = (np.concatenate(x) for x in zip(*out))
+        return pd.DataFrame({"league": key[0], "date": date, "team": [teams[i] for i in place], "off": off, "dfn": dfn, "home_adv": edge})
 
     team = kind["home"]
     maps = spread(rows, "league", "block").groupBy("league", "block").applyInPandas(compose, f"league {kind['league']}, block long, teams array<{team}>, map binary")

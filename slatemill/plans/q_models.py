@@ -186,14 +186,92 @@ def daily_ratings(spark, sf):
     return g.select("game_key", "league", "date", "home", "away", "neutral").join(r, ["league", "date", "home", "away", "neutral"])
 
 
-# M11
-@query("team_states")
+# The states as SQL: growing sums for the decayed averages, one recursion over a team's seasons and one over a league's dates
+def _rates_sql(t: str) -> str:
+    r = {"pace": "{t}.poss", "ortg": "100.0e0 * {t}.pts / {t}.poss", "drtg": "100.0e0 * {t}.pts_opp / {t}.poss", "efg": "({t}.fgm + 0.5e0 * {t}.fg3m) / greatest({t}.fga, 1)",
+         "efg_allowed": "({t}.fgm_opp + 0.5e0 * {t}.fg3m_opp) / greatest({t}.fga_opp, 1)", "tpar": "1.0e0 * {t}.fg3a / greatest({t}.fga, 1)", "tpar_allowed": "1.0e0 * {t}.fg3a_opp / greatest({t}.fga_opp, 1)",
+         "ftr": "1.0e0 * {t}.fta / greatest({t}.fga, 1)", "ftr_allowed": "1.0e0 * {t}.fta_opp / greatest({t}.fga_opp, 1)", "orb": "1.0e0 * {t}.oreb / greatest({t}.oreb + {t}.dreb_opp, 1)",
+         "orb_allowed": "1.0e0 * {t}.oreb_opp / greatest({t}.oreb_opp + {t}.dreb, 1)", "tov": "1.0e0 * {t}.tov / {t}.poss", "tov_forced": "1.0e0 * {t}.tov_opp / {t}.poss"}
+    return "[" + ", ".join(r[k].format(t=t) for k in ratings.BOX_RATES) + "]"
+
+
+_FADE, _EDGE, _OWN = "pow(0.5e0, 1 / 150.0e0)", "pow(0.5e0, 1 / 500.0e0)", "pow(0.5e0, 1 / 10.0e0)"
+_N_BOX = len(ratings.BOX_RATES)
+
+
+def _each(make, names=("lt", "ou", "pf", "pa")) -> str:
+    return ", ".join(make(x) for x in names)
+
+
+STATES_SQL = with_("games box", "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+  hr AS (SELECT game_key, {_rates_sql('box')} AS r FROM box WHERE side = 'home'), ar AS (SELECT game_key, {_rates_sql('box')} AS r FROM box WHERE side = 'away'),
+  p AS (SELECT league, season, date, home, away, CAST(count(*) AS DOUBLE) AS n, sum(home_pts) AS hp, sum(away_pts) AS ap, sum(line_close) AS ln, CAST(count(*) FILTER (hr.r IS NOT NULL AND ar.r IS NOT NULL) AS DOUBLE) AS nb,
+    {', '.join(f"coalesce(sum({t}.r[{i + 1}]) FILTER (hr.r IS NOT NULL AND ar.r IS NOT NULL), 0.0e0) AS {t}{i}" for t in ('hr', 'ar') for i in range(_N_BOX))}
+    FROM games LEFT JOIN hr USING (game_key) LEFT JOIN ar USING (game_key) GROUP BY ALL),
+  q AS (SELECT *, sum(n) OVER (PARTITION BY league ORDER BY date, home, away, season) AS u FROM p),
+  lv AS (SELECT *, (200 + coalesce(sum((hp + ap) * pow({_FADE}, -u)) OVER b, 0)) / (1 + coalesce(sum(n * pow({_FADE}, -u)) OVER b, 0)) AS lt, (200 + coalesce(sum(ln * pow({_FADE}, -u)) OVER b, 0)) / (1 + coalesce(sum(n * pow({_FADE}, -u)) OVER b, 0)) AS ll,
+      pow({_EDGE}, u) * (50 + sum(n * pow({_EDGE}, -u)) OVER (PARTITION BY league ORDER BY date, home, away, season)) AS ew, row_number() OVER (PARTITION BY league, date ORDER BY home, away, season) AS rn
+    FROM q WINDOW b AS (PARTITION BY league ORDER BY date, home, away, season ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  ld AS (SELECT league, date, lt AS lg_total, ll AS lg_line, lag(date) OVER (PARTITION BY league ORDER BY date) AS asof, row_number() OVER (PARTITION BY league ORDER BY date) AS k FROM lv WHERE rn = 1),
+  sides AS (SELECT league, season, date, home, away, s.i AS side, CASE WHEN s.i = 0 THEN home ELSE away END AS team, n, nb, ln - n * lg_line AS lt, hp + ap - ln AS ou, CASE WHEN s.i = 0 THEN hp ELSE ap END AS pf, CASE WHEN s.i = 0 THEN ap ELSE hp END AS pa,
+      {', '.join(f"CASE WHEN s.i = 0 THEN hr{i} ELSE ar{i} END AS r{i}" for i in range(_N_BOX))} FROM p JOIN ld USING (league, date), (VALUES (0), (1)) s(i)),
+  td AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY league, team ORDER BY date) AS run FROM (SELECT *, coalesce(lag(season) OVER (PARTITION BY league, team ORDER BY date) <> season, false) AS new FROM (SELECT DISTINCT league, team, date, season FROM sides))),
+  sr AS (SELECT sides.*, run, sum(n) OVER r AS u, sum(nb) OVER r AS ub FROM sides JOIN td USING (league, team, date) WINDOW r AS (PARTITION BY league, team, run ORDER BY date, home, away, side)),
+  sb AS (SELECT *, pow({_OWN}, u - n) AS d0, {_each(lambda x: f"pow({_OWN}, u - n) * coalesce(sum({x} * pow({_OWN}, -u)) OVER b, 0) AS b_{x}")}, pow({_OWN}, u - n) * coalesce(sum(n * pow({_OWN}, -u)) OVER b, 0) AS b_w, row_number() OVER (PARTITION BY league, team, date ORDER BY home, away, side) AS rn
+    FROM sr WINDOW b AS (PARTITION BY league, team, run ORDER BY date, home, away, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  ends AS (SELECT league, team, run, pow({_OWN}, max(u)) AS d, {_each(lambda x: f"pow({_OWN}, max(u)) * sum({x} * pow({_OWN}, -u)) AS {x}")}, pow({_OWN}, max(u)) * sum(n * pow({_OWN}, -u)) AS w FROM sr GROUP BY 1, 2, 3),
+  fold AS (SELECT league, team, run, 0.0e0 AS w0, {_each(lambda x: f"0.0e0 AS {x}0")}, w, {_each(lambda x: x)} FROM ends WHERE run = 0
+    UNION ALL SELECT e.league, e.team, e.run, least(f.w, 5.0e0), {_each(lambda x: f"f.{x} * {0.6 if x in ('lt', 'ou') else 1.0}e0 * least(f.w, 5.0e0) / f.w")}, least(f.w, 5.0e0) * e.d + e.w,
+      {_each(lambda x: f"f.{x} * {0.6 if x in ('lt', 'ou') else 1.0}e0 * least(f.w, 5.0e0) / f.w * e.d + e.{x}")} FROM fold f JOIN ends e ON e.league = f.league AND e.team = f.team AND e.run = f.run + 1),
+  st AS (SELECT sb.league, sb.team, sb.date, sb.run, sb.u - sb.n AS games, {_each(lambda x: f"(f.{x}0 * d0 + b_{x}) / nullif(f.w0 * d0 + b_w, 0) AS {x}")} FROM sb JOIN fold f ON f.league = sb.league AND f.team = sb.team AND f.run = sb.run WHERE sb.rn = 1),
+  tm AS (SELECT league, team, row_number() OVER (PARTITION BY league ORDER BY team) AS i, count(*) OVER (PARTITION BY league) AS m FROM (SELECT DISTINCT league, team FROM sides)),
+  dg AS (SELECT lv.league, lv.date, list({{'h': h.i, 'a': a.i, 'n': lv.n, 'hp': lv.hp, 'ap': lv.ap, 'w': lv.ew}}) AS g FROM lv JOIN tm h ON h.league = lv.league AND h.team = lv.home JOIN tm a ON a.league = lv.league AND a.team = lv.away GROUP BY 1, 2),
+  fr AS (SELECT td.league, td.date, list(tm.i) AS fresh FROM td JOIN tm USING (league, team) WHERE new GROUP BY 1, 2),
+  days AS (SELECT ld.*, g, coalesce(fresh, []) AS fresh, (SELECT max(m) FROM tm WHERE tm.league = ld.league) AS m FROM ld JOIN dg USING (league, date) LEFT JOIN fr USING (league, date)),
+  core AS (SELECT league, k, [0.0e0 FOR i IN range(m)] AS o, [0.0e0 FOR i IN range(m)] AS f, 0.0e0 AS adv FROM days WHERE k = 1
+    UNION ALL SELECT z.league, z.k + 1, [CASE WHEN list_contains(nx.fresh, i) THEN z.o[i] * 0.6e0 ELSE z.o[i] END FOR i IN range(1, nx.m + 1)], [CASE WHEN list_contains(nx.fresh, i) THEN z.f[i] * 0.6e0 ELSE z.f[i] END FOR i IN range(1, nx.m + 1)], z.adv
+      FROM (SELECT league, k, adv + list_sum([(x.eh - x.ea) / x.w FOR x IN e]) AS adv, [o[i] + 0.08e0 * (coalesce(list_sum([x.eh FOR x IN e IF x.h = i]), 0) + coalesce(list_sum([x.ea FOR x IN e IF x.a = i]), 0)) FOR i IN range(1, m + 1)] AS o,
+              [f[i] + 0.08e0 * (coalesce(list_sum([x.eh FOR x IN e IF x.a = i]), 0) + coalesce(list_sum([x.ea FOR x IN e IF x.h = i]), 0)) FOR i IN range(1, m + 1)] AS f
+            FROM (SELECT c.*, d.m, [{{'h': x.h, 'a': x.a, 'w': x.w, 'eh': x.hp - x.n * (lg_total / 2 + adv / 2 + o[x.h] + f[x.a]), 'ea': x.ap - x.n * (lg_total / 2 - adv / 2 + o[x.a] + f[x.h])}} FOR x IN d.g] AS e FROM core c JOIN days d ON d.league = c.league AND d.k = c.k)) z
+      JOIN days nx ON nx.league = z.league AND nx.k = z.k + 1)"""
+
+
+@query("team_states", STATES_SQL + f""" SELECT g.game_key, strftime(g.date, '%Y-%m-%d') AS date, strftime(ld.asof, '%Y-%m-%d') AS asof, {reals(exp_home='lg_total / 2 + adv / 2 + o[th.i] + f[ta.i]', exp_away='lg_total / 2 - adv / 2 + o[ta.i] + f[th.i]',
+    naive_total='(sh.pf + sa.pf + sh.pa + sa.pa) / 2', lg_gap='lg_total - lg_line', home_games='sh.games', home_line_tend='coalesce(sh.lt, 0)', home_ou_trend='coalesce(sh.ou, 0)')}
+  FROM games g JOIN ld USING (league, date) JOIN core c ON c.league = ld.league AND c.k = ld.k JOIN tm th ON th.league = g.league AND th.team = g.home JOIN tm ta ON ta.league = g.league AND ta.team = g.away
+    JOIN st sh ON sh.league = g.league AND sh.team = g.home AND sh.date = g.date JOIN st sa ON sa.league = g.league AND sa.team = g.away AND sa.date = g.date""")
 def team_states(spark, sf):
     g = rated_games(spark, sf)
     s = ratings.expected_points(g, ratings.team_states(g))
     return s.select("game_key", "date", "asof", "exp_home", "exp_away", "naive_total", "lg_gap", "home_games", "home_line_tend", "home_ou_trend")
 
 
+# M11, box rates: the team's and the league's 13 averages, carried over seasons, and the total they imply
+_BOX_SQL = STATES_SQL + f""",
+  lb0 AS (SELECT *, sum(nb) OVER (PARTITION BY league ORDER BY date, home, away, season, side) AS v FROM sides),
+  lb1 AS (SELECT league, date, coalesce(sum(nb * pow({_FADE}, -v)) OVER b, 0) AS w, {', '.join(f'coalesce(sum(r{i} * pow({_FADE}, -v)) OVER b, 0) AS s{i}' for i in range(_N_BOX))}, row_number() OVER (PARTITION BY league, date ORDER BY home, away, season, side) AS rn
+    FROM lb0 WINDOW b AS (PARTITION BY league ORDER BY date, home, away, season, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  lb AS (SELECT league, date, {', '.join(f's{i} / nullif(w, 0) AS l{i}' for i in range(_N_BOX))} FROM lb1 WHERE rn = 1),
+  xb AS (SELECT sr.*, {', '.join(f'l{i}, coalesce(l{i}, r{i} / nullif(nb, 0)) AS f{i}' for i in range(_N_BOX))}, pow({_OWN}, ub - nb) AS d0, pow({_OWN}, ub - nb) * coalesce(sum(nb * pow({_OWN}, -ub)) OVER b, 0) AS b_w,
+      {', '.join(f'pow({_OWN}, ub - nb) * coalesce(sum(r{i} * pow({_OWN}, -ub)) OVER b, 0) AS b{i}' for i in range(_N_BOX))}, row_number() OVER (PARTITION BY league, team, date ORDER BY home, away, side) AS rn
+    FROM sr JOIN lb USING (league, date) WINDOW b AS (PARTITION BY league, team, run ORDER BY date, home, away, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  be AS (SELECT league, team, run, max(ub) AS nb, pow({_OWN}, max(ub)) AS d, pow({_OWN}, max(ub)) * sum(nb * pow({_OWN}, -ub)) AS w, {', '.join(f'pow({_OWN}, max(ub)) * sum(r{i} * pow({_OWN}, -ub)) AS s{i}, arg_min(l{i}, (date, home, away, side)) AS l{i}, arg_min(f{i}, (date, home, away, side)) FILTER (nb > 0) AS f{i}' for i in range(_N_BOX))} FROM xb GROUP BY 1, 2, 3),
+  bf AS (SELECT league, team, run, false AS had, CASE WHEN nb > 0 THEN 2.5e0 ELSE 0.0e0 END AS w0, {', '.join(f'CASE WHEN nb > 0 THEN 2.5e0 * f{i} ELSE 0.0e0 END AS z{i}' for i in range(_N_BOX))}, CASE WHEN nb > 0 THEN 2.5e0 ELSE 0.0e0 END * d + w AS w, {', '.join(f'CASE WHEN nb > 0 THEN 2.5e0 * f{i} ELSE 0.0e0 END * d + s{i} AS s{i}' for i in range(_N_BOX))} FROM be WHERE run = 0
+    UNION ALL SELECT league, team, run, had, w0, {', '.join(f'z{i}' for i in range(_N_BOX))}, w0 * d + ew, {', '.join(f'z{i} * d + e{i}' for i in range(_N_BOX))} FROM (
+      SELECT e.league, e.team, e.run, e.d, e.w AS ew, f.w > 0 AS had, CASE WHEN f.w > 0 THEN least(f.w, 5.0e0) WHEN e.nb > 0 THEN 2.5e0 ELSE 0.0e0 END AS w0,
+        {', '.join(f'e.s{i} AS e{i}, CASE WHEN f.w > 0 THEN least(f.w, 5.0e0) * coalesce(0.6e0 * f.s{i} / f.w + 0.4e0 * e.l{i}, f.s{i} / f.w) WHEN e.nb > 0 THEN 2.5e0 * e.f{i} ELSE 0.0e0 END AS z{i}' for i in range(_N_BOX))}
+      FROM bf f JOIN be e ON e.league = f.league AND e.team = f.team AND e.run = f.run + 1)),
+  bs AS (SELECT x.league, x.team, x.date, x.ub - x.nb AS games, {', '.join(f'CASE WHEN had OR x.ub - x.nb > 0 THEN (z{i} * d0 + b{i}) / nullif(w0 * d0 + b_w, 0) END AS a{i}' for i in range(_N_BOX))} FROM xb x JOIN bf USING (league, team, run) WHERE rn = 1)"""
+
+
+@query("box_states", _BOX_SQL + f""" SELECT g.game_key, h.games AS home_box_games, {reals(**{f'home_{r}': f'h.a{i}' for i, r in enumerate(ratings.BOX_RATES)}, **{f'away_{r}': f'a.a{i}' for i, r in enumerate(ratings.BOX_RATES)}, lg_pace='l0', lg_ortg='l1',
+    box_exp_pace='h.a0 * a.a0 / l0', box_exp_total='h.a0 * a.a0 / l0 * (h.a1 * a.a2 + a.a1 * h.a2) / l1 / 100')} FROM games g JOIN bs h ON h.league = g.league AND h.team = g.home AND h.date = g.date JOIN bs a ON a.league = g.league AND a.team = g.away AND a.date = g.date JOIN lb ON lb.league = g.league AND lb.date = g.date""")
+def box_states(spark, sf):
+    g = ratings.with_box_rates(rated_games(spark, sf), box(spark, sf))
+    s = ratings.expected_points(g, ratings.team_states(g))
+    return s.select("game_key", "home_box_games", *[f"{t}_{r}" for t in ("home", "away") for r in ratings.BOX_RATES], F.col("lb_pace").alias("lg_pace"), F.col("lb_ortg").alias("lg_ortg"), "box_exp_pace", "box_exp_total")
+
+
 # Close-informed variants and season decay
 @query("walk_forward_move_target")
 def walk_forward_move_target(spark, sf):
