@@ -185,6 +185,31 @@ def slate_decisions(spark, sf):
     return cards.decide_slates(p, rho, joint_target=0.42).select("date", "n_games", "n_candidates", "n_pairs", "outcome", "pick_a", "pick_b", "joint_cal", "closest_joint_cons")
 
 
+# Qualifying pairs counted without forming them, against SQL over all pairs; the picks of every slate
+_SLATE_SQL = with_("bets", "").rstrip() + """, d AS (SELECT game_key, season, date, 0.5e0 + (game_key * 37 % 211) / 797.0e0 + (game_key % 9973) / 1e7 AS p_cal, 0.46e0 + (game_key * 37 % 211) / 797.0e0 + (game_key % 13) / 500.0e0 AS p_cons, line, outcome FROM bets WHERE game_key % 10 <> 0),
+  c AS (SELECT * FROM d WHERE p_cal >= 0.6 AND p_cal * 1.909 > 1),
+  x AS (SELECT a.date, a.game_key AS ga, b.game_key AS gb, a.p_cal * b.p_cal AS jc FROM c a JOIN c b ON a.date = b.date AND a.game_key < b.game_key WHERE a.p_cons * b.p_cons >= 0.42),
+  r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY jc DESC, ga, gb) AS rn, count(*) OVER (PARTITION BY date) AS q FROM x)"""
+
+
+@query("slate_pair_counts", _SLATE_SQL + f""" SELECT strftime(p.date, '%Y-%m-%d') AS date, nc * (nc - 1) // 2 AS n_pairs, coalesce(r.q, 0) AS n_qualifying, {reals(joint_indep='r.jc')}
+  FROM (SELECT date, count(*) FILTER (p_cal >= 0.6 AND p_cal * 1.909 > 1) AS nc FROM d GROUP BY 1) p LEFT JOIN (SELECT * FROM r WHERE rn = 1) r ON r.date = p.date""")
+def slate_pair_counts(spark, sf):
+    p = slate_preds(spark, sf)
+    rho = p.select("season").distinct().withColumns({"rho": F.lit(0.0), "rho_lo": F.lit(0.0)})
+    return cards.decide_slates(p, rho, joint_target=0.42).select("date", "n_pairs", "n_qualifying", "joint_indep")
+
+
+@query("slate_picks", _SLATE_SQL + f""", s AS (SELECT date, arg_max(game_key, p_cal - game_key * 1e-12) AS sk FROM c WHERE p_cons >= 0.5238 AND p_cons * 1.909 > 1 AND date NOT IN (SELECT date FROM x) GROUP BY 1),
+  k AS (SELECT date, 'TWO-PICK CARD' AS role, 0 AS leg, ga AS game_key FROM r WHERE rn = 1 UNION ALL SELECT date, 'TWO-PICK CARD', 1, gb FROM r WHERE rn = 1 UNION ALL SELECT date, 'ONE QUALIFYING PICK', 0, sk FROM s)
+  SELECT strftime(k.date, '%Y-%m-%d') AS date, season, k.game_key, role, CAST(leg AS BIGINT) AS leg, CASE WHEN outcome > line THEN 'W' WHEN outcome = line THEN 'P' ELSE 'L' END AS result,
+    {reals(line='line', proj_total='line + 2', p_cal='p_cal', p_cons='p_cons', profit='CASE WHEN outcome > line THEN 0.909e0 WHEN outcome = line THEN 0 ELSE -1 END')}, outcome AS total FROM k JOIN d ON d.game_key = k.game_key""")
+def slate_picks(spark, sf):
+    p = slate_preds(spark, sf)
+    rho = p.select("season").distinct().withColumns({"rho": F.lit(0.0), "rho_lo": F.lit(0.0)})
+    return cards.slate_picks(p, cards.decide_slates(p, rho, joint_target=0.42))
+
+
 @query("slate_engine")
 def slate_engine(spark, sf):
     """Full stage-one engine: dependence from earlier seasons' slates feeds each season's decisions."""

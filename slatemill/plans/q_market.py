@@ -211,7 +211,16 @@ def best_cards(spark, sf):
     return market.card_rows(market.best_pair(l, ["date"]), l, ["date"])
 
 
-@query("disjoint_cards")
+# greedy picks one after another: a recursion that keeps the games already used
+DISJOINT = """, bv AS (SELECT *, 1.15e0 + ev_now AS v FROM bestl), pv AS (SELECT a.date, a.fixture_id AS leg_a, b.fixture_id AS leg_b, a.v * b.v AS joint, a.price * b.price AS odds, (1 + a.clv) * (1 + b.clv) - 1 AS clv, a.win AND b.win AS win
+    FROM bv a JOIN bv b ON a.date = b.date AND a.fixture_id < b.fixture_id WHERE a.price * b.price >= 2.5 - 1e-9 AND a.v * b.v > 1),
+  gd AS (SELECT date, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS leg_a, CAST(NULL AS BIGINT) AS leg_b FROM (SELECT DISTINCT date FROM pv)
+    UNION ALL SELECT date, used || [la, lb], la, lb FROM (SELECT g.date, g.used, p.leg_a AS la, p.leg_b AS lb, row_number() OVER (PARTITION BY g.date ORDER BY joint DESC, p.leg_a, p.leg_b) AS rn
+      FROM gd g JOIN pv p ON p.date = g.date WHERE NOT list_contains(g.used, p.leg_a) AND NOT list_contains(g.used, p.leg_b)) WHERE rn = 1)"""
+
+
+@query("disjoint_cards", with_board(6, "finals", LEGS + DISJOINT + f""" SELECT strftime(gd.date, '%Y-%m-%d') AS date, gd.leg_a, gd.leg_b, win, {reals(odds='odds', ev='joint - 1', clv='clv', pnl='CASE WHEN win THEN odds - 1 ELSE -1.0 END')}
+  FROM gd JOIN pv ON pv.date = gd.date AND pv.leg_a = gd.leg_a AND pv.leg_b = gd.leg_b""").replace("WITH ", "WITH RECURSIVE ", 1))
 def disjoint_cards(spark, sf):
     """D7 all_disjoint: greedy cards of every date, all dates at once."""
     l = cut_lineage(_best_legs(spark, sf).withColumn("v", F.col("v") + 0.15))
