@@ -48,14 +48,27 @@ def cut_lineage(df: DataFrame, compression: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-tables/{uuid.uuid4().hex}"
     (df.write.option("compression", compression) if compression else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `cut_lineage` wrote, once nothing will read them again; other frames are left alone."""
+    for t in tables:
+        path = getattr(t, "_table_path", None)
+        if path is not None:
+            _delete(t.sparkSession, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_tables(spark: SparkSession) -> None:
     """Delete this application's intermediate tables. Frames built from them can no longer be read."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-tables")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-tables")
 
 
 def ship_package(spark: SparkSession) -> None:
