@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slatemill.llm.common import cut_lineage
+from slatemill.session import release
 
 
 def lowest(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -48,12 +49,15 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut_lineage(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
                          .select("node", F.least("node", "root").alias("root")))
+    held = labels
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = cut_lineage(labels.join(near, "node").select("node", "root", F.least("root", "near").alias("next")))
         up = step.select(F.col("node").alias("next"), F.col("next").alias("up"))
         new = cut_lineage(step.join(up, "next").select("node", F.col("root").alias("old"), F.col("up").alias("root")))
         done = new.where("old <> root").isEmpty()
-        labels = new.select("node", "root")
+        release(step, held)
+        labels, held = new.select("node", "root"), new
         if done:
+            release(both)
             return labels

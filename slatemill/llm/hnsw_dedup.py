@@ -1,10 +1,12 @@
 """Embedding near-duplicates: hierarchical small-world graphs per shard, audited beams, verified cosine, components.
 
-Equal vectors collapse to one with a count. Hashed shards build one graph each. Every block of queries searches its
-own shard and all shards before it, so each pair of shards meets once and a link counts for both ends. A block starts with a
-narrow beam; all its beams widen while an audit, some of its queries against the whole shard, misses a link or a nearest
-neighbour. The neighbours are always there, whatever their cosine, so the audit has evidence where links are rare, also between
-shards. A beam that ends full of links widens to the whole shard, as do all beams that would need an EXACT-th of the shard. Candidates are verified in double precision. A task returns counts a vector and a spanning forest of its links, never all pairs.
+Equal vectors collapse to one with a count. Hashed shards build one graph each. The vectors of a shard search their own
+graph and those of all shards before it, so each pair of shards meets once and a link counts for both ends. Beams start
+narrow and widen until two audits pass: probes, made at a cosine just above the threshold from some of the
+shard's nodes, must find their nodes, which is evidence where links are rare; and some of the queries must find all
+their true links. A beam that ends full of links widens to the whole shard, as all do if the audits never pass.
+Candidates are verified in double precision. A task returns counts a vector and a spanning forest of its links,
+never all pairs.
 """
 from __future__ import annotations
 
@@ -21,9 +23,9 @@ from slatemill.llm.components import components, lowest
 from slatemill.llm.hnsw import SmallWorld
 from slatemill.llm.vectors import fit_vectors, spread, stack
 
-SHARD, BLOCK, GROUP = 32_768, 4096, 256
+SHARD, BLOCK, GROUP = 16_384, 4096, 256     # vectors of a shard, queries audited at a time, queries searched at a time
 WIDTH, AUDITED, SLACK = 24, 256, 1e-4
-NEAREST, RECALL, EXACT = 4, 0.995, 16       # true neighbours audited a query, the share of them to find, where beams cost more than the shard
+PROBES, BAND, RECALL = 512, 0.02, 0.995     # probes of a shard, how far above the threshold they lie, the share that must find their nodes
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -49,6 +51,27 @@ def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [key[0]], "graph": [raw]})
 
 
+def probed_width(graph: SmallWorld, v: np.ndarray, above: float, width: int) -> int:
+    """The least width, doubling from `width`, at which probes find the nodes they were made from; the size of the
+    shard if that takes half of it."""
+    if v.shape[1] < 2 or 2 * width >= len(v):
+        return len(v)
+    node = np.unique(np.linspace(0, len(v) - 1, min(PROBES, len(v))).astype(np.int64))
+    rnd = np.random.default_rng(5)
+    side = rnd.normal(size=(len(node), v.shape[1]))
+    side = unit(side - np.einsum("ij,ij->i", side, v[node])[:, None] * v[node])
+    near = rnd.uniform(above, min(above + BAND, 1.0), len(node))[:, None]
+    q = near * v[node] + np.sqrt(1 - near ** 2) * side
+    while 2 * width < len(v):
+        a, b, full = graph.within(q, above - SLACK, width)
+        found = full.copy()                 # a full beam is searched again in the whole shard
+        found[a[b == node[a]]] = True
+        if found.mean() >= RECALL:
+            return width
+        width *= 2
+    return len(v)
+
+
 def linked(graph: SmallWorld, v: np.ndarray, q: np.ndarray, above: float, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Verified (query, node) pairs for groups of queries, `above` being the least cosine."""
     def exact(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,29 +86,16 @@ def linked(graph: SmallWorld, v: np.ndarray, q: np.ndarray, above: float, width:
         ok = np.einsum("ij,ij->i", q[a], v[b]) >= above
         return np.concatenate([a[ok], more[0]]), np.concatenate([b[ok], more[1]])
 
-    def search(rows: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
-        return exact(rows) if EXACT * w >= len(v) else once(rows, w)
-
-    sample = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(np.int64))
-    truth, near = exact(sample), _neighbours(q[sample] @ v.T)
-    audited = (near >= 0).sum()
-
-    def misses(w: int) -> bool:
-        found = (near[:, :, None] == graph.nearest(q[sample], w)[:, None, :]).any(axis=2) & (near >= 0)
-        return found.sum() < RECALL * audited or len(once(sample, w)[0]) < len(truth[0])
-
-    while EXACT * width < len(v) and (audited < AUDITED or misses(width)):
-        width *= 2
-    for at in range(0, len(q), GROUP):
-        yield search(np.arange(at, min(len(q), at + GROUP)), width)
-
-
-def _neighbours(sims: np.ndarray) -> np.ndarray:
-    """The NEAREST best columns of each row, a query's own vector left out (-1: none)."""
-    sims = np.where(sims > 1 - 1e-9, -np.inf, sims)
-    k = min(NEAREST, sims.shape[1])
-    best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    return np.where(np.take_along_axis(sims, best, axis=1) > -np.inf, best, -1)
+    width = probed_width(graph, v, above, width)
+    for start in range(0, len(q), BLOCK):
+        block, w = np.arange(start, min(len(q), start + BLOCK)), width
+        sample = block[np.unique(np.linspace(0, len(block) - 1, min(AUDITED, len(block))).astype(np.int64))]
+        truth = len(exact(sample)[0])
+        while 2 * w < len(v) and len(once(sample, w)[0]) < truth:
+            w *= 2
+        for at in range(0, len(block), GROUP):
+            rows = block[at:at + GROUP]
+            yield exact(rows) if 2 * w >= len(v) else once(rows, w)
 
 
 def cosine_groups(embeddings: DataFrame, above: float = 0.9) -> DataFrame:
@@ -99,7 +109,6 @@ def cosine_groups(embeddings: DataFrame, above: float = 0.9) -> DataFrame:
                           .withColumn("cid", F.monotonically_increasing_id()))
     sharded, shards = spread(classes.select("cid", "copies", "v"), "cid", SHARD, "shard")
     graphs = cut_lineage(sharded.groupBy("shard").applyInPandas(build, "shard int, graph binary"))
-    blocks = max(1, -(-SHARD // BLOCK)) if shards > 1 else max(1, -(-classes.count() // BLOCK))
 
     def pair(key: tuple, graph: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         """Rows (a, b, n): n links of a, or an edge between a and b."""
@@ -126,11 +135,9 @@ def cosine_groups(embeddings: DataFrame, above: float = 0.9) -> DataFrame:
             out += edges
         return pd.concat(out, ignore_index=True)
 
-    ask = sharded.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "cid"), F.lit(blocks)).cast("int"))
-    ask = ask.select("cid", "copies", "v", F.col("shard").alias("home"), "block", F.explode(F.sequence(F.lit(0), F.col("shard"))).alias("shard"))
+    ask = sharded.select("cid", "copies", "v", F.col("shard").alias("home"), F.explode(F.sequence(F.lit(0), F.col("shard"))).alias("shard"))
     at = graphs.select("shard", "graph", F.explode(F.sequence(F.col("shard"), F.lit(shards - 1))).alias("home"))
-    at = at.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    keys = ["shard", "home", "block"]
+    keys = ["shard", "home"]
     found = cut_lineage(at.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInPandas(pair, "a long, b long, n long"))
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))

@@ -111,10 +111,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), budget: float = 1.5
 def repeat_by_mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, each as many times as the mix takes its words, to the nearest whole number. Rows that agree in
     doc_id, source and size share what the mix takes from them."""
-    d = docs.withColumn("_size", n_words(F.col("text").cast("string")))
+    text = F.col("text").cast("string")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), n_words(text).alias("_size"))
     times = F.floor(F.sum("taken") / (F.count("*") * F.col("size")) + 0.5).cast("int")
     share = mix(docs, **options).where("size > 0").groupBy("doc_id", "source", "size").agg(times.alias("_times")).where("_times > 0")
     share = cut_lineage(share.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "_times"))
     # texts are far larger than any count table that may be broadcast at scale; the plan is the same at every size
-    both = d.join(share.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
-    return both.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    both = d.join(share.hint("merge"), F.col("_id").eqNullSafe(F.col("_d")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
+    return both.select("doc", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_i")).select("doc.*")
