@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from slatemill.functions.numbers import clip
 from slatemill.functions.probability import beta_quantile, logit
 from slatemill.operators.running import counts_below, grid_quantiles, running_max, running_total
+from slatemill.session import cut_lineage
 
 # Buffers of the pseudo-bets and the one-sided 95% normal quantile.
 BUFFERS = [-6, -3, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 18]
@@ -129,45 +130,49 @@ def add_latent_probability(df: DataFrame, out: str, s_model: Column, s_buf: Colu
 
 
 # ------------------------------------------------------------------ Platt and isotonic maps
-def fit_platt(hist: DataFrame, p: str, y: str) -> tuple[float, float]:
-    """Logistic map of the logit with unit inverse penalty: (slope, intercept)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+def _newton(compact: DataFrame, targets: list, steps: int = 60) -> dict:
+    """Two-parameter logistic fits with unit penalty on the slope, all `targets` in one aggregate a step until each stands
+    still. compact: fits (the targets a row serves), x, n, s (rows and hits at x)."""
+    beta = {t: (1.0, 0.0) for t in targets}
+    moving = set(targets)
+    for _ in range(steps):
+        if not moving:
+            return beta
+        d = compact.withColumn("fit", F.explode(F.filter("fits", lambda f: f.isin(*sorted(moving)))))
+        m = F.create_map(*[v for t in sorted(moving) for v in (F.lit(t), F.array(*map(F.lit, beta[t])))])[F.col("fit")]
+        e = d.withColumn("q", 1 / (1 + F.exp(-(m[0] * F.col("x") + m[1]))))
+        x, w, r = F.col("x"), F.col("n") * F.col("q") * (1 - F.col("q")), F.col("s") - F.col("n") * F.col("q")
+        rows = e.groupBy("fit").agg(*[F.sum(c).alias(k) for k, c in (("hxx", w * x * x), ("hx", w * x), ("h", w), ("gx", r * x), ("g", r))]).collect()     # one row a fit
+        moving &= {k["fit"] for k in rows}          # a fit without rows stays at the start
+        for k in rows:
+            a, b = beta[k["fit"]]
+            step = np.linalg.solve(np.array([[k["hxx"] + 1.0, k["hx"]], [k["hx"], k["h"] + 1e-12]]), np.array([k["gx"] - a, k["g"]]))
+            beta[k["fit"]] = (float(a + step[0]), float(b + step[1]))
+            if np.abs(step).max() < 1e-10:
+                moving.discard(k["fit"])
+    raise RuntimeError(f"the logistic fits of {sorted(moving)} still moved after {steps} steps")
 
-    d = hist.select(array_to_vector(F.array(logit(F.col(p)))).alias("features"), F.col(y).cast("double").alias("label"))
-    n = d.count()
-    m = LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, tol=1e-10, maxIter=200).fit(d)
-    return float(m.coefficients[0]), float(m.intercept)
+
+def fit_platt(hist: DataFrame, p: str, y: str) -> tuple[float, float]:
+    """Logistic map of the logit with unit inverse penalty: (slope, intercept). One pass counts rows and hits per
+    distinct forecast; the steps read only these."""
+    d = hist.groupBy(logit(F.col(p)).alias("x")).agg(F.count("*").cast("double").alias("n"), F.sum(F.col(y).cast("double")).alias("s"))
+    return _newton(cut_lineage(d.withColumn("fits", F.array(F.lit(0)))), [0])[0]
 
 
 def platt(p: Column, slope: float, intercept: float) -> Column:
     return 1 / (1 + F.exp(-(slope * logit(p) + intercept)))
 
 
-def platt_by_season(preds: DataFrame, p: str, y: str, seed_seasons: int = 2, steps: int = 30) -> DataFrame:
+def platt_by_season(preds: DataFrame, p: str, y: str, seed_seasons: int = 2, steps: int = 60) -> DataFrame:
     """Platt map of every season on earlier seasons' predictions: rows (season, slope, icept). A
-    two-parameter logistic with unit penalty on the slope; all seasons share each Newton pass."""
+    two-parameter logistic with unit penalty on the slope. One pass counts rows and hits per season and distinct
+    forecast; all seasons that still move share each Newton step over these."""
     seasons = sorted(r[0] for r in preds.select("season").distinct().collect())           # short list of years
     targets = seasons[seed_seasons:]
     later = F.filter(F.array(*[F.lit(t) for t in targets]), lambda t: t > F.col("season"))
-    d = preds.where("eligible").select("season", logit(F.col(p)).alias("x"), F.col(y).cast("double").alias("y")).withColumn("fit", F.explode(later))
-    beta = {s: (1.0, 0.0) for s in targets}
-    for _ in range(steps):
-        m = F.create_map(*[v for s in targets for v in (F.lit(s), F.array(F.lit(beta[s][0]), F.lit(beta[s][1])))])[F.col("fit")]
-        q = 1 / (1 + F.exp(-(m[0] * F.col("x") + m[1])))
-        e = d.withColumn("q", q)
-        w, r, x = F.col("q") * (1 - F.col("q")), F.col("y") - F.col("q"), F.col("x")
-        rows = e.groupBy("fit").agg(*[F.sum(c).alias(n) for n, c in (("hxx", w * x * x), ("hx", w * x), ("h", w), ("gx", r * x), ("g", r))]).collect()   # one row per season
-        biggest = 0.0
-        for k in rows:
-            a, b = beta[k["fit"]]
-            step = np.linalg.solve(np.array([[k["hxx"] + 1.0, k["hx"]], [k["hx"], k["h"] + 1e-12]]), np.array([k["gx"] - a, k["g"]]))
-            beta[k["fit"]] = (float(a + step[0]), float(b + step[1]))
-            biggest = max(biggest, float(np.abs(step).max()))
-        if biggest < 1e-9:
-            break
-    else:
-        raise RuntimeError(f"the Platt fit still moved by {biggest} after {steps} steps")
+    d = preds.where("eligible").groupBy("season", logit(F.col(p)).alias("x")).agg(F.count("*").cast("double").alias("n"), F.sum(F.col(y).cast("double")).alias("s"))
+    beta = _newton(cut_lineage(d.withColumn("fits", later)), targets, steps)
     return preds.sparkSession.createDataFrame([(s, a, b) for s, (a, b) in beta.items()], f"season {_type(preds, 'season')}, slope double, icept double")
 
 

@@ -139,20 +139,6 @@ def derived_features(d: DataFrame) -> DataFrame:
         "log_games": F.log1p(F.least("home_games", "away_games"))})
 
 
-# The cumulative feature ladder.
-LADDER = [
-    ("F0_market_only", []), ("F1_naive_ppg", ["x_naive"]), ("F2_ratings", ["x_rating"]), ("F3_pace_eff", ["x_box", "x_pace_rel"]),
-    ("F4_matchup", ["m_efg", "m_3par", "m_ftr", "m_orb", "m_tov"]), ("F5_rest_home", ["rest_sum", "b2b_any"]),
-    ("F6_market", ["abs_spread", "line_tend_sum", "lg_total_minus_line", "line_rel"]),
-    ("F7_context", ["early_season", "postseason", "log_games"]), ("F8_trends", ["ou_trend_sum"])]
-
-
-def feature_set(name: str) -> list[str]:
-    """All features up to and including the named rung."""
-    names = [n for n, _ in LADDER]
-    return [c for _, cols in LADDER[: names.index(name) + 1] for c in cols]
-
-
 def season_stage(s: dict[str, Column]) -> Column:
     """Ordered stage of the season: national tournament, other postseason, conference tournament,
     conference regular, neutral non-conference, home non-conference."""

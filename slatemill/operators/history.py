@@ -34,10 +34,10 @@ def date_grain(df: DataFrame, keys: list[str], date: str, cols: list[str], squar
 
 
 def ew_before(df: DataFrame, keys: list[str], date: str, cols: list[str], halflife: float,
-              prefix: str = "h_") -> DataFrame:
+              prefix: str = "h_", asof: str | None = None) -> DataFrame:
     """Exponentially weighted mean of earlier dates. A date without a value still ages the others.
     The weight 2^(k/halflife) counts dates from the key's first, which stays finite for about
-    1,000 half-lives."""
+    1,000 half-lives. `asof` names a column with the latest date that any of the means has seen."""
     d = date_grain(df, keys, date, cols)
     k = F.row_number().over(Window.partitionBy(*keys).orderBy(date))
     d = d.withColumn("_w", F.pow(F.lit(2.0), k / F.lit(float(halflife))))
@@ -45,7 +45,11 @@ def ew_before(df: DataFrame, keys: list[str], date: str, cols: list[str], halfli
     return d.select(*keys, date, *[
         (F.sum(F.col("_w") * F.col(f"s_{c}")).over(w)
          / F.sum(F.when(F.col(f"c_{c}") > 0, F.col("_w") * F.col(f"c_{c}"))).over(w)).alias(f"{prefix}{c}")
-        for c in cols])
+        for c in cols], *_seen(date, w, asof))
+
+
+def _seen(date: str, w, asof: str | None) -> list[Column]:
+    return [] if asof is None else [F.max(date).over(w).alias(asof)]
 
 
 def ew_shrunk_before(df: DataFrame, keys: list[str], date: str, col: str, halflife: float, shrink: float,
@@ -81,14 +85,14 @@ def rolling_before(df: DataFrame, keys: list[str], date: str, cols: list[str], d
     return d.select(*keys, date, *out)
 
 
-def rest_and_count(df: DataFrame, keys: list[str], date: str, cap: int, season: list[str]) -> DataFrame:
-    """Days since the key's previous date (capped, first = cap) and rows so far this season."""
+def rest_and_count(df: DataFrame, keys: list[str], date: str, cap: int, season: list[str], asof: str | None = None) -> DataFrame:
+    """Days since the key's previous date (capped, first = cap) and rows so far this season; `asof` names that previous date."""
     d = date_grain(df, list(dict.fromkeys(keys + season)), date, [])
     gap = F.datediff(date, F.lag(date).over(Window.partitionBy(*keys).orderBy(date)))
     n = F.sum("n").over(_past(list(dict.fromkeys(keys + season)), date))
     return d.select(*dict.fromkeys(keys + season), date,
                     F.least(F.coalesce(gap, F.lit(cap)), F.lit(cap)).cast("long").alias("rest"),
-                    F.coalesce(n, F.lit(0)).alias("games"))
+                    F.coalesce(n, F.lit(0)).alias("games"), *_seen(date, _past(keys, date), asof))
 
 
 def days_before(df: DataFrame, keys: list[str], date: str, days: int, name: str) -> DataFrame:

@@ -247,24 +247,7 @@ def walk_forward(df: DataFrame, mean_feats: list[str], var_feats: list[str], alp
     return p.join(F.broadcast(m), "season")
 
 
-# ------------------------------------------------------------------ boosted mean and points forecast
-def boosted_walk_forward(df: DataFrame, feats: list[str], target: str, trees: int = 20, depth: int = 3, min_train: int = 2,
-                         seed: int = 0) -> DataFrame:
-    """Gradient-boosted mean per season on earlier seasons only, beside nothing else from later ones.
-    The loop is over the few seasons; each fit is Spark's own distributed learner."""
-    from functools import reduce
-
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    filled = impute_from_earlier_seasons(df, "season", feats).na.fill(0.0, feats)
-    d = VectorAssembler(inputCols=feats, outputCol="features").transform(filled)
-    gbt = GBTRegressor(labelCol=target, maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed, predictionCol="mu_gbt")
-    seasons = sorted(r[0] for r in df.select("season").distinct().collect())              # short list of years
-    parts = [gbt.fit(d.where((F.col("season") < s) & F.col("eligible"))).transform(d.where(F.col("season") == s)).drop("features") for s in seasons[min_train:]]
-    return reduce(DataFrame.unionByName, parts)
-
-
+# ------------------------------------------------------------------ points forecast
 def spread_by_level(df: DataFrame, keys: list[str], mu: str, resid: str, bins: int = 20) -> DataFrame:
     """sd = a + b sqrt(mu), fitted on the residual spread of equal-frequency bins of the forecast."""
     from slatemill.operators.metrics import quantile_bins

@@ -45,26 +45,46 @@ def majority_id(df: DataFrame, name: str, ident: str) -> DataFrame:
     return c.groupBy(name).agg(F.min_by(ident, F.struct((-F.col("n")).alias("n"), F.col(ident))).alias(ident), F.max("n").alias("votes"))
 
 
-def _pieces(t: Column) -> Column:
-    """Adjacent letter pairs, plus single letters for short words. Two words whose ratio reaches
-    0.75 always share one, so joining on pieces loses no match."""
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
-    singles = F.when(F.length(t) <= 6, F.split(t, "")).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(pairs, singles))
+def _tokens(words: DataFrame, word: str) -> DataFrame:
+    """(word, token): adjacent letters of the word with a mark before and after it, numbered where they repeat."""
+    w = F.col(word)
+    marked = F.concat(F.lit("\u0002"), w, F.lit("\u0003"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(marked, i, F.lit(2)))
+    d = words.where(F.length(w) > 0).select(word, pairs.alias("g"))
+    numbered = F.transform("g", lambda x, i: F.concat(x, F.size(F.filter(F.slice("g", F.lit(1), i), lambda y: y == x)).cast("string")))
+    return d.select(word, F.explode(numbered).alias("token"))
+
+
+def _prefixes(tokens: DataFrame, often: DataFrame, word: str, cutoff: float) -> DataFrame:
+    """(word, token, l, m): the rarest tokens of a word of length l that a word of length m must share one of. Two words of
+    the ratio differ in at most (1 - cutoff)(l + m) letters, each of which undoes two tokens, so they share at least
+    max(l, m) + 1 - 2 floor((1 - cutoff)(l + m)) of them, and all but one less may be left out, the commonest."""
+    rare = tokens.join(often, "token").groupBy(word).agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t")).select(word, F.col("t.token").alias("t"))
+    l, m, least = F.length(word), F.col("m"), cutoff / (2 - cutoff)
+    lengths = F.sequence(F.ceil(l * least - 1e-9), F.floor(l / least + 1e-9))
+    shared = F.greatest(l, m) + 1 - 2 * F.floor((l + m) * (1 - cutoff) + 1e-9)
+    d = rare.select(word, "t", F.explode(lengths).alias("m")).select(word, F.col("m").cast("int").alias("m"), l.alias("l"), F.slice("t", F.lit(1), (l + 2 - shared).cast("int")).alias("t"))
+    return d.select(word, "l", "m", F.explode("t").alias("token"))
+
+
+def word_candidates(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
+    """Distinct pairs (wa, wb) that may reach the ratio: they share one of their rarest tokens and have lengths that fit.
+    Tokens that nearly every word has stand last and are hardly ever posted."""
+    ta, tb = _tokens(a.select("wa").distinct(), "wa"), _tokens(b.select("wb").distinct(), "wb")
+    often = ta.select("token").unionAll(tb.select("token")).groupBy("token").agg(F.count("*").alias("n"))
+    pa = _prefixes(ta, often, "wa", cutoff)
+    pb = _prefixes(tb, often, "wb", cutoff).withColumnsRenamed({"l": "m", "m": "l"})
+    return pa.join(pb, ["token", "l", "m"]).select("wa", "wb").distinct()
 
 
 def similar_words(a: DataFrame, b: DataFrame, cutoff: float, exact_matcher: bool) -> DataFrame:
-    """Pairs (wa, wb) of distinct words with ratio >= cutoff. Only the two vocabularies are compared,
-    blocked by shared pieces and by length. Below 0.75 two words need not share a piece, so that is an error."""
+    """Pairs (wa, wb) of distinct words with ratio >= cutoff; empty words match nothing. Only the two vocabularies are
+    compared, and of these only pairs that share a rare token. Below 0.75 two words need not share one, so that is
+    an error."""
     if cutoff < 0.75:
         raise ValueError("cutoff must be 0.75 or more")
-    pa = a.select("wa", F.explode(_pieces(F.col("wa"))).alias("piece"))
-    pb = b.select("wb", F.explode(_pieces(F.col("wb"))).alias("piece"))
-    la, lb = F.length("wa"), F.length("wb")
-    near = F.least(la, lb) >= F.greatest(la, lb) * (cutoff / (2 - cutoff)) - 1e-9
-    pairs = pa.join(pb, "piece").where(near).select("wa", "wb").distinct()
     r = matcher_ratio(F.col("wa"), F.col("wb")) if exact_matcher else edit_ratio(F.col("wa"), F.col("wb"))
-    return pairs.withColumn("ratio", r).where(F.col("ratio") >= cutoff)
+    return word_candidates(a, b, cutoff).withColumn("ratio", r).where(F.col("ratio") >= cutoff)
 
 
 def _name_links(names: DataFrame, sim: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from slatemill.operators import calibrate, models, ratings
+from slatemill.operators import boosting, calibrate, models, ratings
 from slatemill.plans.registry import query, reals
 from slatemill.plans.standins import CTES, box, forecasts, games, with_
 from slatemill.session import cut_lineage
@@ -133,8 +133,14 @@ def pseudo_bets(spark, sf):
     return calibrate.pseudo_bets(t).groupBy("season", "side").agg(F.count("*").alias("n"), F.avg("win").alias("win_rate"), F.avg("s_buf").alias("s_buf"))
 
 
-# M6
-@query("platt_isotonic")
+# M6: Newton as a recursion over its two numbers; the isotonic map as the largest, over starts, of the least mean of any later end
+@query("platt_isotonic", with_("forecasts", "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + f""", f AS (SELECT p, ln(p / (1 - p)) AS x, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS s FROM forecasts GROUP BY p),
+  nt AS (SELECT 0 AS i, 1.0e0 AS a, 0.0e0 AS b UNION ALL SELECT i + 1, a + (h * gx - hx * g) / (hxx * h - hx * hx), b + (hxx * g - hx * gx) / (hxx * h - hx * hx)
+    FROM (SELECT i, a, b, sum(w * x * x) + 1 AS hxx, sum(w * x) AS hx, sum(w) + 1e-12 AS h, sum(r * x) - a AS gx, sum(r) AS g FROM (SELECT i, a, b, x, n * q * (1 - q) AS w, s - n * q AS r FROM (SELECT nt.*, f.*, 1 / (1 + exp(-(a * x + b))) AS q FROM nt, f WHERE i < 25)) GROUP BY i, a, b)),
+  u AS (SELECT p, row_number() OVER o AS k, sum(n) OVER o AS cn, sum(s) OVER o AS cs, n, s FROM f WINDOW o AS (ORDER BY p)),
+  lows AS (SELECT y.k, min((y.cs - x.cs + x.s) / (y.cn - x.cn + x.n)) OVER (PARTITION BY x.k ORDER BY y.k DESC) AS low FROM u x JOIN u y ON y.k >= x.k),
+  iso AS (SELECT u.p, greatest(0.01, least(0.99, max(low))) AS v FROM lows JOIN u USING (k) GROUP BY u.p)
+  SELECT doc_id, {reals(p_platt='1 / (1 + exp(-(a * ln(p / (1 - p)) + b)))', p_iso='v')} FROM forecasts JOIN iso USING (p), (SELECT a, b FROM nt WHERE i = 25)""")
 def platt_isotonic(spark, sf):
     f = forecasts(spark, sf)
     slope, icept = calibrate.fit_platt(f, "p", "y")
@@ -297,7 +303,7 @@ def stage_one_walk_forward(spark, sf):
 # M3: boosted mean averaged with the ridge
 @query("boosted_mean")
 def boosted_mean(spark, sf):
-    g = models.boosted_walk_forward(training(spark, sf), MEAN_FEATS, "resid").select("game_key", "season", "mu_gbt")
+    g = boosting.boosted_walk_forward(training(spark, sf), MEAN_FEATS, "resid", boosting.TOTALS).select("game_key", "season", "mu_gbt")
     r = predictions(spark, sf).select("game_key", "mu")
     return g.join(r, "game_key").withColumn("mu_ensemble", (F.col("mu") + F.col("mu_gbt")) / 2)
 
@@ -313,7 +319,7 @@ def points_forecast(spark, sf):
     r = history.rolling_before(b, ["player"], "date", ["points"], 5, prefix="l5_")
     d = b.join(h, ["player", "date"]).join(r, ["player", "date"]).where(F.col("h_points").isNotNull()).withColumn("eligible", F.lit(True))
     feats = ["h_points", "h_minutes", "l5_points"]
-    p = models.boosted_walk_forward(d, feats, "points").withColumn("line", F.floor(F.col("minutes") / 2) + 0.5)
+    p = boosting.boosted_walk_forward(d, feats, "points", boosting.POINTS).withColumn("line", F.floor(F.col("minutes") / 2) + 0.5)
     p = cut_lineage(p.select("game", "player", "season", "points", "line", F.greatest("mu_gbt", F.lit(0.5)).alias("mu")))
     return models.level_forecasts(p, "points", "mu", "line").select("game", "player", "season", "mu", "sd", "p_over")
 

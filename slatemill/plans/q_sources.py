@@ -114,14 +114,14 @@ def csv_slate(spark, sf):
 
 
 # Season partitions written and scanned again, with a repeated and a missing column
-@query("season_scan", with_("games", "SELECT game_key, season, total, CAST(NULL AS DOUBLE) AS not_there FROM games WHERE season IN (1995, 1996)"))
+@query("season_scan", with_("games", "SELECT game_key, season, total, CAST(NULL AS DOUBLE) AS not_there FROM games"))
 def season_scan(spark, sf):
     from slatemill.sources import tables
 
     path = _new_path(spark)
     tables.write_table(games(spark, sf).select("game_key", "season", "total"), path, ["season"])
-    tables.write_table(games(spark, sf).where("season = 1996").select("game_key", "season", "total"), path, ["season"], mode="append")
-    return tables.scan(spark, [path], {"game_key": "bigint", "season": "bigint", "total": "bigint", "not_there": "double"}, ["game_key"]).where("season IN (1995, 1996)")
+    tables.write_table(games(spark, sf).where("game_key % 2 = 0").select("game_key", "season", "total"), path, ["season"], mode="append")
+    return tables.scan(spark, [path], {"game_key": "bigint", "season": "bigint", "total": "bigint", "not_there": "double"}, ["game_key"])
 
 
 # Two runs appended, the second of them twice

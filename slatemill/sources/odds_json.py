@@ -1,6 +1,8 @@
 """Bookmaker feeds: nested JSON to flat quote tables."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,3 +133,19 @@ def latest_snapshot(quotes: DataFrame) -> DataFrame:
     """Rows of the newest poll."""
     newest = quotes.agg(F.max("t").alias("t"))                                        # one row
     return quotes.join(F.broadcast(newest), "t")
+
+
+def newest_files(spark: SparkSession, path: str) -> list[str]:
+    """The files of the newest poll, told from their names; nothing is opened. More than one where a poll wrote several."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    stamps = [(m[1], f.getPath().toString()) for f in found if (m := re.search(r"(\d{8}T\d{6})", f.getPath().getName()))]
+    newest = max((s for s, _ in stamps), default=None)
+    return sorted(p for s, p in stamps if s == newest)
+
+
+def read_latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the newest poll of a folder, read from its files alone; no file, no rows."""
+    files = newest_files(spark, path)
+    raw = spark.read.schema(EVENTS).option("multiLine", True).json(files) if files else spark.createDataFrame([], EVENTS)
+    return parse_snapshots(raw, F.col("_metadata.file_name") if files else F.lit(""))

@@ -208,3 +208,20 @@ def test_medians_of_every_prefix(spark):
         for c in ("a", "b", "c"):
             m = d[d.season < s][c].median()
             assert (x[f"med_{c}"] is None and np.isnan(m)) or x[f"med_{c}"] == pytest.approx(m)
+
+
+@pytest.mark.parametrize("cutoff", [0.75, 0.8])
+def test_similar_words_lose_no_match_and_post_no_common_piece(spark, cutoff):
+    r = np.random.default_rng(12)
+    vocab = lambda n: sorted({"".join(r.choice(list("abcdeq"), r.integers(1, 11))) for _ in range(n)})
+    a = vocab(150) + ["hapoel" + x for x in vocab(30)]
+    b = sorted(set(vocab(150) + ["hapoel" + x for x in vocab(30)] + [w[:-1] + "z" for w in a[::5]]))
+    frame = lambda w, name: spark.createDataFrame([(x,) for x in [*w, ""]], f"{name} string")
+    got = {(x["wa"], x["wb"]) for x in resolve.similar_words(frame(a, "wa"), frame(b, "wb"), cutoff, True).collect()}
+    assert got == {(x, y) for x in set(a) for y in set(b) if difflib.SequenceMatcher(None, x, y).ratio() >= cutoff}
+    edits = {(x["wa"], x["wb"]) for x in resolve.similar_words(frame(a, "wa"), frame(b, "wb"), cutoff, False).collect()}
+    assert edits <= got | edits and len(edits) > 50
+    # one very common piece: all words begin alike, and still few pairs are compared
+    letters = lambda n: sorted({"".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(n)})
+    c, d = (frame(["aeae" + x for x in letters(300)], n) for n in ("wa", "wb"))
+    assert resolve.word_candidates(c, d, 0.8).count() < 300 * 300 / 20

@@ -115,3 +115,56 @@ def test_refresh_rewrites_only_stale_seasons(spark, tmp_path):
     ledger.refresh_features(g2, build, p, stale, lead_in=1)
     out = spark.read.parquet(p)
     assert out.count() == 12 and out.where("season = 2 and game_key = 1").first()["f"] == 100
+
+
+def test_newest_poll_reads_its_own_file_alone(spark, tmp_path):
+    for day in range(1, 6):
+        snapshot(tmp_path, f"2024010{day}T100000", 1.5 + day / 10)
+    (tmp_path / "notes.json").write_text("not a poll")
+    latest = odds_json.read_latest_snapshot(spark, str(tmp_path))
+    assert len(latest.inputFiles()) == 1 and "20240105T100000" in latest.inputFiles()[0]
+    assert [r["price"] for r in latest.collect()] == [2.0]
+    (tmp_path / "none").mkdir()
+    assert odds_json.read_latest_snapshot(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_jdbc_tables_are_read_in_spans(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/games"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    for season, n in (("2020", 100), ("2021", 37), ("2022", 0)):
+        d = spark.range(n).selectExpr("id * 3 AS GAME_KEY", "id % 7 AS TOTAL")
+        d.unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS GAME_KEY, CAST(99 AS BIGINT) AS TOTAL").limit(int(n > 50))).write.jdbc(url + ";create=true", f"G{season}", properties=driver)
+    names = {s: f"G{s}" for s in ("2020", "2021", "2022")}
+    got = tables.scan_jdbc(spark, url, names, key="GAME_KEY", parts=4, **driver)
+    whole = tables.scan_jdbc(spark, url, names, **driver)
+    rows = lambda d: sorted((r["season"], r["GAME_KEY"] if r["GAME_KEY"] is not None else -1, r["TOTAL"]) for r in d.collect())
+    assert rows(got) == rows(whole) and len(rows(got)) == 138
+    assert got.rdd.getNumPartitions() == 9 and whole.rdd.getNumPartitions() == 3
+
+
+def test_boards_as_stream_state(spark, tmp_path):
+    """The streamed board equals the batch board a minute before the start; when all starts have passed, no state is left."""
+    from slatemill.operators import asof
+    from slatemill.plans.standins import quotes
+    from slatemill.streaming.snapshots import stream_boards
+
+    q = quotes(spark, "/root/testdata/sf0.001").select("fixture_id", "start", "book", "line", "side", "t", "seq", "price", "active").where("fixture_id % 4 = 0")
+    third = [r.t for r in q.selectExpr("percentile_approx(t, array(0.33, 0.66)) AS x").selectExpr("explode(x) AS t").collect()]
+    for i, (lo, hi) in enumerate(zip([None, *third], [*third, None])):
+        part = q.where((F.lit(lo is None) | (F.col("t") > F.lit(lo))) & (F.lit(hi is None) | (F.col("t") <= F.lit(hi))))
+        part.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    last = spark.sql("SELECT -1L AS fixture_id, timestamp'2031-01-01' AS start, 'end' AS book, 0.0D AS line, 'over' AS side, timestamp'2030-01-01' AS t, 0L AS seq, 2.0D AS price, true AS active")
+    last.coalesce(1).write.parquet(str(tmp_path / "in/9"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        s = stream_boards(spark.readStream.schema(q.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*")))
+        run = s.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).format("memory").queryName("boards").trigger(availableNow=True).start()
+        run.awaitTermination(240)
+        left = [p.stateOperators[0].numRowsTotal for p in run.recentProgress if p.stateOperators]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    when = q.select("fixture_id", (F.col("start") - F.expr("INTERVAL 1 MINUTE")).alias("when")).distinct()
+    want = sorted((r.fixture_id, r.book, r.line, r.side, r.t, r.price) for r in asof.board_at(q, when).collect())
+    got = sorted((r.fixture_id, r.book, r.line, r.side, r.t, r.price) for r in spark.table("boards").collect())
+    assert got == want and len(want) > 10
+    assert left[-1] <= 1        # the end marker's own cell
