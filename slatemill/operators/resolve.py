@@ -69,11 +69,11 @@ def _prefixes(tokens: DataFrame, often: DataFrame, word: str, cutoff: float) ->
 
 def word_candidates(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
     """Distinct pairs (wa, wb) that may reach the ratio: they share one of their rarest tokens and have lengths that fit.
-    Tokens that nearly every word has stand last and are hardly ever posted."""
+    Tokens that nearly every word has stand last and are posted only by words in which they are a large part."""
     ta, tb = _tokens(a.select("wa").distinct(), "wa"), _tokens(b.select("wb").distinct(), "wb")
     often = ta.select("token").unionAll(tb.select("token")).groupBy("token").agg(F.count("*").alias("n"))
     pa = _prefixes(ta, often, "wa", cutoff)
-    pb = _prefixes(tb, often, "wb", cutoff).withColumnsRenamed({"l": "m", "m": "l"})
+    pb = _prefixes(tb, often, "wb", cutoff).select("wb", F.col("l").alias("m"), F.col("m").alias("l"), "token")
     return pa.join(pb, ["token", "l", "m"]).select("wa", "wb").distinct()
 
 
