@@ -119,8 +119,9 @@ def grade_cards(legs: DataFrame, finals: DataFrame, keys: list[str]) -> DataFram
 
 
 def failure_categories(losers: DataFrame, blowout: int = 20, sds: float = 1.5) -> DataFrame:
-    """Blowout, model error or variance, decided mechanically."""
-    err = F.col("outcome") - F.col("projected")
+    """Blowout, model error or variance, decided mechanically. The error is outcome - line - mu, subtracted in this order: an
+    error of exactly the limit must not change its category by how a sum of line and mu was rounded."""
+    err = F.col("outcome") - F.col("line") - F.col("mu")
     cat = (F.when(F.abs(F.col("home_pts") - F.col("away_pts")) >= blowout, "blowout")
            .when(F.abs(err) > sds * F.col("sd"), "model_error").otherwise("variance"))
     return losers.withColumns({"error": err, "category": cat})
