@@ -41,6 +41,55 @@ def _system(sides: list[tuple], y: list[np.ndarray], n: np.ndarray, size: int, t
 RATING_COLUMNS = ("league", "date", "home", "away", "neutral", "asof", "n_home", "n_away", "pts_home", "pts_away", "poss", "oe_home", "oe_away", "eff_total")
 
 
+def _rate_block(d: pd.DataFrame, league, block: int, half_life: float, previous: float, ridge: float, lookback: int,
+                venue_tempo: bool, min_games: int, block_days: int) -> pd.DataFrame:
+    """Ratings of a block's dates from its pair-days and those before. All rows of a pairing (home, away, venue) enter the normal
+    equations alike, so a date's weighted rows are summed by pairing first and the systems are built from pairings."""
+    d = d.sort_values(["day", "home", "away", "neutral"]).reset_index(drop=True)
+    day, date, season, n = d.day.to_numpy(), d.date.to_numpy(), d.season.to_numpy(), d.n.to_numpy()
+    start, stop = np.searchsorted(day, [block * block_days, (block + 1) * block_days])
+    teams = {t: i for i, t in enumerate(sorted(set(d.home) | set(d.away)))}
+    k = len(teams)
+    hi, ai, venue = d.home.map(teams).to_numpy(), d.away.map(teams).to_numpy(), 1.0 - d.neutral.to_numpy(float)
+    pairings, at = np.unique((hi * k + ai) * 2 + (venue > 0), return_inverse=True)
+    h, a, v = pairings // 2 // k, pairings // 2 % k, (pairings % 2).astype(float)
+    o = np.ones(len(pairings))
+    hp, ap, nb, ps, he, ae = (d[c].fillna(0.0).to_numpy() for c in ("hp", "ap", "nb", "ps", "he", "ae"))
+    found = {c: np.full(stop - start, np.nan) for c in RATING_COLUMNS[6:]}
+    seen = np.full(stop - start, None, dtype=object)
+    for dn in np.unique(day[start:stop]):
+        here = slice(*np.searchsorted(day, [dn, dn + 1]))
+        past = slice(np.searchsorted(day, dn - lookback), here.start)        # rows are in order of days
+        if n[past].sum() < min_games:
+            continue
+        to = slice(here.start - start, here.stop - start)
+        cur = season[past] == season[here.start]
+        w = np.where(cur, 0.5 ** ((dn - day[past]) / half_life), previous)
+        of = lambda x: np.bincount(at[past], weights=w * x[past], minlength=len(pairings))
+        mu, hb, ab = 2 * k, 2 * k + 1, 2 * k + 2
+        b = _system([[(h, o), (k + a, o), (np.full(len(h), mu), o), (np.full(len(h), hb), v)],
+                     [(a, o), (k + h, o), (np.full(len(h), mu), o), (np.full(len(h), ab), v)]],
+                    [of(hp), of(ap)], of(n), 2 * k + 3, 2 * k, ridge)
+        played = np.bincount(hi[past], weights=n[past] * cur, minlength=k) + np.bincount(ai[past], weights=n[past] * cur, minlength=k)
+        th, ta, tv = hi[here], ai[here], venue[here]
+        seen[to] = date[past][-1]
+        found["n_home"][to], found["n_away"][to] = played[th], played[ta]
+        found["pts_home"][to] = b[mu] + b[th] + b[k + ta] + b[hb] * tv
+        found["pts_away"][to] = b[mu] + b[ta] + b[k + th] + b[ab] * tv
+        if nb[past].sum() >= min_games:
+            wb = of(nb)
+            m, hv = 2 * k, 2 * k + 1
+            e = _system([[(h, o), (k + a, o), (np.full(len(h), m), o), (np.full(len(h), hv), v)],
+                         [(a, o), (k + h, o), (np.full(len(h), m), o), (np.full(len(h), hv), -v)]],
+                        [of(he), of(ae)], wb, 2 * k + 2, 2 * k, ridge)
+            t = _system([[(h, o), (a, o), (np.full(len(h), k), o), (np.full(len(h), k + 1), v)]], [of(ps)], wb, k + 2, k, ridge)
+            poss = t[k] + t[th] + t[ta] + (t[k + 1] * tv if venue_tempo else 0.0)
+            oh, oa = e[m] + e[th] + e[k + ta] + e[hv] * tv, e[m] + e[ta] + e[k + th] - e[hv] * tv
+            found["poss"][to], found["oe_home"][to], found["oe_away"][to], found["eff_total"][to] = poss, oh, oa, poss * (oh + oa) / 100.0
+    own = d[list(RATING_COLUMNS[1:5])].iloc[start:stop].reset_index(drop=True)
+    return own.assign(league=league, asof=seen, **found)[list(RATING_COLUMNS)]
+
+
 def daily_ratings(games: DataFrame, half_life: float = 45.0, previous: float = 0.15, ridge: float = 3.0, lookback: int = 400,
                   venue_tempo: bool = False, min_games: int = 30, block_days: int = 60) -> DataFrame:
     """Expected points, possessions and efficiency of every pairing from games strictly before its
@@ -55,52 +104,6 @@ def daily_ratings(games: DataFrame, half_life: float = 45.0, previous: float = 0
     p = p.withColumn("block", F.explode(F.sequence(first, last)))
 
     def solve(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
-        league, block = key
-        d = d.sort_values(["day", "home", "away", "neutral"]).reset_index(drop=True)
-        today = d[d.day // block_days == block]
-        if today.empty:
-            return pd.DataFrame(columns=list(RATING_COLUMNS))
-        teams = {t: i for i, t in enumerate(sorted(set(d.home) | set(d.away)))}
-        k = len(teams)
-        hi, ai = d.home.map(teams).to_numpy(), d.away.map(teams).to_numpy()
-        venue = np.where(d.neutral.to_numpy(bool), 0.0, 1.0)
-        day, season, n = d.day.to_numpy(), d.season.to_numpy(), d.n.to_numpy()
-        nb, ps, he, ae = (d[c].fillna(0.0).to_numpy() for c in ("nb", "ps", "he", "ae"))
-        one = np.ones(len(d))
-        out = []
-        for dn, g in today.groupby("day"):
-            past = (day < dn) & (day >= dn - lookback)
-            rows = g[["date", "home", "away", "neutral"]].assign(league=league)
-            if n[past].sum() < min_games:
-                out.append(rows)
-                continue
-            cur = season == g.season.iloc[0]
-            w = np.where(cur, 0.5 ** ((dn - day) / half_life), previous)[past]
-            h, a, v, o = hi[past], ai[past], venue[past], one[past]
-            mu, hb, ab = 2 * k, 2 * k + 1, 2 * k + 2
-            b = _system([[(h, o), (k + a, o), (np.full(len(h), mu), o), (np.full(len(h), hb), v)],
-                               [(a, o), (k + h, o), (np.full(len(h), mu), o), (np.full(len(h), ab), v)]],
-                        [w * d.hp.to_numpy()[past], w * d.ap.to_numpy()[past]], w * n[past], 2 * k + 3, 2 * k, ridge)
-            played = np.zeros(k)
-            np.add.at(played, hi[past & cur], n[past & cur])
-            np.add.at(played, ai[past & cur], n[past & cur])
-            th, ta = g.home.map(teams).to_numpy(), g.away.map(teams).to_numpy()
-            tv = np.where(g.neutral.to_numpy(bool), 0.0, 1.0)
-            rows = rows.assign(asof=d.date[past].max(), n_home=played[th], n_away=played[ta],
-                               pts_home=b[mu] + b[th] + b[k + ta] + b[hb] * tv, pts_away=b[mu] + b[ta] + b[k + th] + b[ab] * tv)
-            if nb[past].sum() >= min_games:
-                wb = w * nb[past]
-                m, hv = 2 * k, 2 * k + 1
-                e = _system([[(h, o), (k + a, o), (np.full(len(h), m), o), (np.full(len(h), hv), v)],
-                                   [(a, o), (k + h, o), (np.full(len(h), m), o), (np.full(len(h), hv), -v)]],
-                            [w * he[past], w * ae[past]], wb, 2 * k + 2, 2 * k, ridge)
-                t = _system([[(h, o), (a, o), (np.full(len(h), k), o), (np.full(len(h), k + 1), v)]], [w * ps[past]], wb, k + 2, k, ridge)
-                poss = t[k] + t[th] + t[ta] + (t[k + 1] * tv if venue_tempo else 0.0)
-                oh, oa = e[m] + e[th] + e[k + ta] + e[hv] * tv, e[m] + e[ta] + e[k + th] - e[hv] * tv
-                rows = rows.assign(poss=poss, oe_home=oh, oe_away=oa, eff_total=poss * (oh + oa) / 100.0)
-            out.append(rows)
-        r = pd.concat(out, ignore_index=True).reindex(columns=list(RATING_COLUMNS))
-        r["asof"] = r["asof"].astype(object).where(r["asof"].notna(), None)
-        return r
+        return _rate_block(d, key[0], key[1], half_life, previous, ridge, lookback, venue_tempo, min_games, block_days)
 
     return spread(p, "league", "block").groupBy("league", "block").applyInPandas(solve, schema_text(games, RATING_COLUMNS, {"away": "home"}))
