@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatemill.operators import clean, history, ratings
+from slatemill.session import cut_lineage
 
 #: Feature names of the ladder, each rung added to those before it; the rungs of scores alone leave out the box columns.
 LADDER = [
@@ -75,7 +76,7 @@ def spine(games: DataFrame, hist: DataFrame, style: DataFrame, past: list[str],
         g = g.join(per_team.select(F.col("team").alias(side), "season", "date", *cols), [side, "season", "date"], "left")
     parts = ["league_asof", *[f"{side}_{c}" for side in ("home", "away") for c in seen]]
     if rated is not None:
-        rt = ratings.daily_ratings(rated)
+        rt = cut_lineage(ratings.daily_ratings(rated))         # solved once, whatever reads the frame twice
         keys = ["league", "date", "home", "away", "neutral"]
         g = g.join(rt.select(*keys, F.col("asof").alias("rating_asof"), *[F.col(c).alias(f"rt_{c}") for c in ("n_home", "n_away", "pts_home", "pts_away", "poss", "eff_total")]), keys, "left")
         parts.append("rating_asof")

@@ -104,6 +104,6 @@ def walk_forward_spine(spark, sf):
     from slatemill.session import cut_lineage
 
     d = spine.market_spine(spine_table(spark, sf, rated=True)).where("market = 'open'")
+    d = cut_lineage(d.withColumn("eligible", F.col("clean") & F.col("x_pts").isNotNull()).select("game_key", "season", "resid", "eligible", "asof", "date", *dict.fromkeys(spine.MEAN + spine.SPREAD)))
     history.assert_no_leakage(d.select("asof", "date"))
-    d = cut_lineage(d.withColumn("eligible", F.col("clean") & F.col("x_pts").isNotNull()).select("game_key", "season", "resid", "eligible", *dict.fromkeys(spine.MEAN + spine.SPREAD)))
     return models.walk_forward(d, spine.MEAN, spine.SPREAD).select("game_key", "season", "mu", "sd", "mu_mkt", "sd_mkt")
