@@ -1,10 +1,13 @@
-"""Main text of web pages by structure and by differencing each page with its nearest URL.
+"""Main text of web pages by differencing each page with its nearest URL, checked against the page's marks.
 
 A page's text comes as lines, one a block element. Elements that can only be furniture (menus, forms, scripts,
-adverts and so on, by tag, role or class word) give no lines. Where a page marks its article, the lines inside it are its
-text. Where it does not, the page is compared with the page of the nearest URL path on its host: both line lists
-are aligned by longest common subsequence, and the lines they share are deleted. Pages of a host
-with equal lines are copies: they take one place, that of the first by path, and lose the same lines.
+adverts and so on, by tag, role or class word) give no lines. Every page is compared with the page of the nearest URL path
+on its host, one that marks
+its article with the nearest that does so too, since they come from one template: both line lists are aligned by longest common subsequence, and the lines they share are deleted. A page that
+marks its article is checked afterwards: lines outside its article and main elements go, and so does such an element that
+differencing deletes whole while another has lines of its own; the elements that stay get their shared lines back, since
+articles may hold equal lines. Pages of a host with equal lines and marks are copies: they take one place, that of the
+first by path, and lose the same lines.
 
 The nearest path is next to it in path order. Ranks within a host come from ordered chunks, so a host with a third
 of all pages is spread; only line hashes travel between pages, and whole lines stay in one table.
@@ -46,13 +49,14 @@ COMMENTS = frozenset("comment comments disqus replies".split())
 
 
 class Lines(HTMLParser):
-    """The lines of one page: (text, whether it stands inside an article or main element)."""
+    """The lines of one page: (text, number of the innermost article or main element around it, 0 outside)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, bool]] = []
+        self.lines: list[tuple[str, int]] = []
         self._text: list[str] = []
-        self._main, self._cut = 0, 0
+        self._main: list[int] = []          # numbers of the open article and main elements
+        self._mains, self._cut = 0, 0
         self._path: list[str] = []          # open elements; those from place `_cut` (from 1; 0: none) are cut
         self._at: dict[str, list[int]] = {}         # places of the open elements of a tag
         self._ends: list[int] = []                  # places of open elements that matter to an implied end
@@ -60,7 +64,7 @@ class Lines(HTMLParser):
     def _end_line(self) -> None:
         line = " ".join("".join(self._text).split())
         if line:
-            self.lines.append((line, self._main > 0))
+            self.lines.append((line, self._main[-1] if self._main else 0))
         self._text = []
 
     def _furniture(self, tag: str, attrs: list) -> bool:
@@ -113,7 +117,8 @@ class Lines(HTMLParser):
         if tag not in VOID and self._furniture(tag, attrs):
             self._cut = len(self._path)
         elif tag in MAIN:
-            self._main += 1
+            self._mains += 1
+            self._main.append(self._mains)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -133,21 +138,27 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self._end_line()
         if tag in MAIN and self._main:
-            self._main -= 1
+            self._main.pop()
 
     def handle_data(self, data: str) -> None:
         if not self._cut:
             self._text.append(data)
 
 
-def page_lines(html: str | None) -> tuple[list[str], bool]:
-    """Lines of a page, and whether they come from inside its marked article and stand as they are."""
+def placed_lines(html: str | None) -> list[tuple[str, int]]:
+    """Lines of a page, each with the number of its article or main element, 0 outside."""
     parser = Lines()
     parser.feed(html or "")
     parser.close()
     parser._end_line()
-    inside = [t for t, main in parser.lines if main]
-    return (inside, True) if inside else ([t for t, _ in parser.lines], False)
+    return parser.lines
+
+
+def page_lines(html: str | None) -> tuple[list[str], bool]:
+    """Lines of a page by its marks alone, and whether it marks its article: those inside it, else all."""
+    lines = placed_lines(html)
+    inside = [t for t, main in lines if main]
+    return (inside, True) if inside else ([t for t, _ in lines], False)
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:
@@ -184,34 +195,42 @@ def shared_lines(a: list[int], b: list[int]) -> list[int]:
     return [*range(head), *middle[::-1], *range(len(a) - tail, len(a))]
 
 
+def deletions(mains: list[int], shared: list[int]) -> list[int]:
+    """Line numbers to delete, from those shared with the nearest page and each line's article or main element."""
+    marked = set(mains) - {0}
+    if not marked:
+        return shared
+    gone = set(shared)
+    stay = {m for i, m in enumerate(mains) if m and i not in gone} or marked
+    return [i for i, m in enumerate(mains) if m not in stay]
+
+
 def _lines_table(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [page_lines(h) for h in b["html"]]
+            found = [placed_lines(h) for h in b["html"]]
             sites = [host_and_path(u) for u in b["url"]]
             yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "host": [h for h, _ in sites], "path": [p for _, p in sites],
-                                "whole": [w for _, w in found], "lines": pd.Series([x for x, _ in found], dtype=object),
-                                "hashes": pd.Series([[] if w else [xxhash.xxh64_intdigest(t) - (1 << 63) for t in x] for x, w in found], dtype=object)})
+                                "lines": pd.Series([[t for t, _ in x] for x in found], dtype=object), "mains": pd.Series([[m for _, m in x] for x in found], dtype=object),
+                                "hashes": pd.Series([[xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in x] for x in found], dtype=object)})
 
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    schema = "page_id long, url string, host string, path string, whole boolean, lines array<string>, hashes array<long>"
+    schema = "page_id long, url string, host string, path string, lines array<string>, mains array<int>, hashes array<long>"
     return cut_lineage(p.mapInPandas(run, schema).withColumn("row", F.monotonically_increasing_id()), compression="zstd")
 
 
 def _deleted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Line numbers that a page shares with the nearer of its neighbours by path that is no copy of it."""
+    """Line numbers that a page loses by the nearer of its neighbours by path that is no copy of it, and by its marks."""
     for b in batches:
         rows, cuts = [], []
-        for row, path, own, *mates in zip(b["row"], b["path"], b["hashes"], b["path_before"], b["before"], b["path_after"], b["after"]):
+        for row, path, own, mains, *mates in zip(b["row"], b["path"], b["hashes"], b["mains"], b["path_before"], b["before"], b["path_after"], b["after"]):
             near = [(p, list(h)) for p, h in (mates[:2], mates[2:]) if h is not None]
             near.sort(key=lambda m: -len(commonprefix([path, m[0]])))
-            for _, other in near:
-                same = shared_lines(list(own), other)
-                if len(same) < len(own):
-                    if same:
-                        rows.append(row)
-                        cuts.append(same)
-                    break
+            found = (shared_lines(list(own), other) for _, other in near)
+            cut = deletions(list(mains), next((same for same in found if len(same) < len(own)), []))
+            if cut:
+                rows.append(row)
+                cuts.append(cut)
         yield pd.DataFrame({"row": pd.Series(rows, dtype="int64"), "cut": pd.Series(cuts, dtype=object)})
 
 
@@ -221,14 +240,15 @@ def main_text(pages: DataFrame, chunks: int = 4096) -> DataFrame:
     Null and empty html has no text. Pages without a host are neighbours of one another. Rows that share a page_id
     or url are pages of their own. No pages: no rows."""
     table = _lines_table(pages)
-    every = table.where("NOT whole AND size(hashes) > 0").select("row", "host", "path", "hashes", F.xxhash64("hashes").alias("class"))
-    loose = cut_lineage(every.groupBy("host", "class").agg(F.min(F.struct("path", "row", "hashes")).alias("m")).select("host", "class", "m.row", "m.path", "m.hashes"))
-    parts = max(1, min(chunks, loose.count() // 64))
-    placed = cut_lineage(loose.repartitionByRange(parts, "host", "path", "row").withColumn("chunk", F.spark_partition_id()))
-    ranked = cut_lineage(ranked_in_chunks(placed, ["host"], F.col("chunk"), [F.col("path"), F.col("row")], F.lit(1), "rank"))
-    mate = lambda step, name: ranked.select(F.col("host"), (F.col("rank") + step).alias("rank"), F.col("path").alias(f"path_{name}"), F.col("hashes").alias(name))
-    sides = ranked.join(mate(1, "before"), ["host", "rank"], "left").join(mate(-1, "after"), ["host", "rank"], "left")
-    sides = sides.select("row", "path", "hashes", "path_before", "before", "path_after", "after")
+    every = table.where("size(hashes) > 0").select("row", "host", "path", "hashes", "mains", F.xxhash64("hashes", "mains").alias("class"))
+    loose = cut_lineage(every.groupBy("host", "class").agg(F.min(F.struct("path", "row", "hashes", "mains")).alias("m"))
+                        .select("host", (F.array_max("m.mains") > 0).alias("marked"), "class", "m.row", "m.path", "m.hashes", "m.mains"))
+    parts = max(1, min(chunks, loose.count() // 512))
+    placed = cut_lineage(loose.repartitionByRange(parts, "host", "marked", "path", "row").withColumn("chunk", F.spark_partition_id()))
+    ranked = cut_lineage(ranked_in_chunks(placed, ["host", "marked"], F.col("chunk"), [F.col("path"), F.col("row")], F.lit(1), "rank"))
+    mate = lambda step, name: ranked.select("host", "marked", (F.col("rank") + step).alias("rank"), F.col("path").alias(f"path_{name}"), F.col("hashes").alias(name))
+    sides = ranked.join(mate(1, "before"), ["host", "marked", "rank"], "left").join(mate(-1, "after"), ["host", "marked", "rank"], "left")
+    sides = sides.select("row", "path", "hashes", "mains", "path_before", "before", "path_after", "after")
     found = cut_lineage(sides.mapInPandas(_deleted, "row long, cut array<int>"))
     first = loose.select("host", "class", "row").join(found, "row").select("host", "class", "cut")
     cuts = cut_lineage(every.select("row", "host", "class").join(first, ["host", "class"]).select("row", "cut"))

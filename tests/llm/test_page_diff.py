@@ -87,3 +87,13 @@ def test_broken_pages_take_linear_time():
         start = time.process_time()
         lines, _ = page_lines(f"<{tag}>x " * 20_000 + "</b>" * 20_000)
         assert "x" in " ".join(lines) and time.process_time() - start < 3
+
+
+def test_marked_pages_are_differenced(spark):
+    """An article that the nearest page repeats whole is a teaser; one with lines of its own keeps the shared ones too."""
+    teaser = "<article><h2>Read next</h2><p>Another story</article>"
+    page = lambda *lines: "<p>Site</p><article>" + "".join(f"<p>{x}" for x in lines) + f"</article>{teaser}<p>Imprint</p>"
+    rows = [(1, "http://h.example/a1", page("First", "common line")), (2, "http://h.example/a2", page("Second", "common line")), (3, "http://h.example/a2?x", page("Second", "common line")),
+            (4, "http://k.example/", page("Lone")), (5, "http://h.example/b", "<p>Site</p><p>free</p><p>Imprint</p>")]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()}
+    assert got == {1: "First\ncommon line", 2: "Second\ncommon line", 3: "Second\ncommon line", 4: "Lone\nRead next\nAnother story", 5: "Site\nfree\nImprint"}
