@@ -37,9 +37,9 @@ def reliability(df: DataFrame, keys: list[str], p: str, y: str, bucket: Column)
                     (F.col("k") / F.col("n") - F.col("pred")).alias("cal_err"))
 
 
-def quantile_bins(df: DataFrame, keys: list[str], col: str, steps: int) -> DataFrame:
-    """Equal-frequency bin index of `col`; the edges are at most steps + 1 numbers per key."""
-    e = quantile_edges(df, keys, col, steps)
+def quantile_bins(df: DataFrame, keys: list[str], col: str, steps: int, weight: str | None = None) -> DataFrame:
+    """Equal-frequency bin index of `col`; the edges are at most steps + 1 numbers per key. `weight` counts rows already added up."""
+    e = quantile_edges(df, keys, col, steps, weight)
     j = df.join(e, keys) if keys else df.join(F.broadcast(e))                # no keys: one short array
     return j.withColumn("bin", bin_index(F.col(col), F.col("edges"))).drop("edges")
 

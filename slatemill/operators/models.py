@@ -248,38 +248,44 @@ def walk_forward(df: DataFrame, mean_feats: list[str], var_feats: list[str], alp
 
 
 # ------------------------------------------------------------------ points forecast
-def spread_by_level(df: DataFrame, keys: list[str], mu: str, resid: str, bins: int = 20) -> DataFrame:
-    """sd = a + b sqrt(mu), fitted on the residual spread of equal-frequency bins of the forecast."""
+def spread_by_level(df: DataFrame, keys: list[str], mu: str, resid: str, weight: str, bins: int = 20) -> DataFrame:
+    """sd = a + b sqrt(mu), fitted on the residual spread of equal-frequency bins of the forecast; `weight` counts equal rows."""
     from slatemill.operators.metrics import quantile_bins
 
-    b = quantile_bins(df, keys, mu, bins).groupBy(*keys, "bin").agg(F.stddev_samp(resid).alias("s"), F.sqrt(F.avg(mu)).alias("x"))
+    w, r = F.when(F.col(resid).isNotNull(), F.col(weight)), F.col(resid)
+    b = quantile_bins(df, keys, mu, bins, weight).groupBy(*keys, "bin").agg(
+        F.sum(w).alias("n"), F.sum(w * r).alias("s1"), F.sum(w * r * r).alias("s2"), F.sqrt(F.sum(F.col(weight) * F.col(mu)) / F.sum(weight)).alias("x"))
+    b = b.withColumn("s", F.sqrt(F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"), F.lit(0.0)) / F.nullif(F.col("n") - 1, F.lit(0))))
     return b.groupBy(*keys).agg(F.regr_intercept("s", "x").alias("a"), F.regr_slope("s", "x").alias("b"))
 
 
 def level_forecasts(p: DataFrame, outcome: str, mu: str, line: str) -> DataFrame:
     """Spread and chance of more than a line for out-of-sample forecasts. A season's spread (by level) and residual shape come
     from the forecasts of earlier seasons alone, each of which was made before its own season; a season with none drops out.
-    p: season, outcome, mu, line. Adds sd and p_over."""
+    Rows of equal season, forecast and residual are counted before they are repeated for later seasons, and a chance is
+    worked out once per season, forecast and line. p: season, outcome, mu, line. Adds sd and p_over."""
     seasons = p.select(F.col("season").alias("for_season")).distinct()                       # one row per season
-    past = p.withColumn("_res", F.col(outcome) - F.col(mu)).join(F.broadcast(seasons), F.col("season") < F.col("for_season"))
-    past = cut_lineage(past.select("for_season", mu, "_res"))
-    level = F.broadcast(cut_lineage(spread_by_level(past, ["for_season"], mu, "_res")))      # one row per season
+    counted = cut_lineage(p.groupBy("season", mu, (F.col(outcome) - F.col(mu)).alias("_res")).agg(F.count("*").alias("_n")))
+    past = counted.join(F.broadcast(seasons), F.col("season") < F.col("for_season")).drop("season")
+    level = F.broadcast(cut_lineage(spread_by_level(past, ["for_season"], mu, "_res", "_n")))      # one row per season
     sd = F.col("a") + F.col("b") * F.sqrt(mu)
-    z = past.join(level, "for_season").select("for_season", (F.col("_res") / sd).alias("_z"))
-    asked = p.join(level, F.col("season") == F.col("for_season")).withColumn("sd", sd).withColumn("_z", (F.col(line) - F.col(mu)) / F.col("sd")).drop("a", "b")
-    asked = cut_lineage(asked)
-    return asked.join(empirical_exceedance(z, asked, ["for_season"], "_z").withColumnRenamed("p", "p_over"), ["for_season", "_z"]).drop("for_season", "_z")
+    z = past.join(level, "for_season").select("for_season", (F.col("_res") / sd).alias("_z"), "_n")
+    asked = p.select(F.col("season").alias("for_season"), mu, line).distinct().join(level, "for_season").withColumn("sd", sd)
+    asked = cut_lineage(asked.withColumn("_z", (F.col(line) - F.col(mu)) / F.col("sd")).drop("a", "b"))
+    over = asked.join(empirical_exceedance(z, asked, ["for_season"], "_z", weight="_n").withColumnRenamed("p", "p_over"), ["for_season", "_z"])
+    return p.join(over.select(F.col("for_season").alias("season"), mu, line, "sd", "p_over"), ["season", mu, line])
 
 
-def empirical_exceedance(hist: DataFrame, asks: DataFrame, keys: list[str], z: str, reach: float = 64.0) -> DataFrame:
+def empirical_exceedance(hist: DataFrame, asks: DataFrame, keys: list[str], z: str, reach: float = 64.0, weight: str | None = None) -> DataFrame:
     """P(Z > z) from a sample per key: rows (keys, z, p). Residuals are mapped to [0, 1] for the
-    chunked count (values beyond +-reach share the end chunks, which stays exact)."""
+    chunked count (values beyond +-reach share the end chunks, which stays exact). `weight` counts rows of the
+    sample that the caller has already added up."""
     from slatemill.operators.running import counts_below
 
     unit = lambda d: d.withColumn("_u", (F.col(z) + reach) / (2 * reach))
     a = unit(asks.select(*keys, z).distinct()).withColumns({"closed": F.lit(True), "id": F.col(z).cast("string")})
-    c = counts_below(unit(hist).withColumn("_one", F.lit(1.0)), a, keys, "_u", "_one")
-    n = hist.groupBy(*keys).agg(F.count("*").alias("n"))
+    c = counts_below(unit(hist).withColumn("_one", F.lit(1.0)), a, keys, "_u", "_one", weight)
+    n = hist.groupBy(*keys).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
     j = c.join(n, keys) if keys else c.join(F.broadcast(n))                               # no keys: one row
     return j.select(*keys, F.col("id").cast("double").alias(z), (1 - F.col("below") / F.col("n")).alias("p"))
 

@@ -114,9 +114,9 @@ def grid_quantiles(df: DataFrame, keys: list[str], col: str, steps: int, weight:
         *keys, F.col("i").cast("long").alias("i"), (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("q"))
 
 
-def quantile_edges(df: DataFrame, keys: list[str], col: str, steps: int) -> DataFrame:
+def quantile_edges(df: DataFrame, keys: list[str], col: str, steps: int, weight: str | None = None) -> DataFrame:
     """Distinct bin edges per group as a sorted array (duplicate edges dropped)."""
-    g = grid_quantiles(df, keys, col, steps)
+    g = grid_quantiles(df, keys, col, steps, weight)
     return g.groupBy(*keys).agg(F.array_sort(F.collect_set("q")).alias("edges"))
 
 

@@ -314,11 +314,10 @@ def points_forecast(spark, sf):
     from slatemill.operators import history
     from slatemill.plans.standins import player_box
 
-    b = player_box(spark, sf)
-    h = history.ew_before(b, ["player"], "date", ["points", "minutes"], 8.0)
-    r = history.rolling_before(b, ["player"], "date", ["points"], 5, prefix="l5_")
-    d = b.join(h, ["player", "date"]).join(r, ["player", "date"]).where(F.col("h_points").isNotNull()).withColumn("eligible", F.lit(True))
-    feats = ["h_points", "h_minutes", "l5_points"]
+    b = player_box(spark, sf).select("game", "player", "season", "date", "points", "minutes")
+    d = history.form_before(b, ["player"], "date", ["points", "minutes"], 8.0, ["points"], 5).where(F.col("h_points").isNotNull())
+    d = cut_lineage(d.drop("date")).withColumn("eligible", F.lit(True))                     # read several times below
+    feats = ["h_points", "h_minutes", "l_points"]
     p = boosting.boosted_walk_forward(d, feats, "points", boosting.POINTS).withColumn("line", F.floor(F.col("minutes") / 2) + 0.5)
     p = cut_lineage(p.select("game", "player", "season", "points", "line", F.greatest("mu_gbt", F.lit(0.5)).alias("mu")))
     return models.level_forecasts(p, "points", "mu", "line").select("game", "player", "season", "mu", "sd", "p_over")
