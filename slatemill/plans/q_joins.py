@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from slatemill.operators import resolve
 from slatemill.plans.registry import query, reals
 from slatemill.plans.standins import CTES, games, player_box, table, with_
+from slatemill.session import cut_lineage
 
 # a second source of the same games: other ids, dates a day off for some, home and away exchanged for others
 CTES["feed"] = (("games",), """SELECT game_key * 10 + 1 AS ext_id, CAST(date + INTERVAL 1 DAY * CASE WHEN game_key % 5 = 0 THEN 1 WHEN game_key % 7 = 0 THEN -1 ELSE 0 END AS DATE) AS date,
@@ -132,7 +133,7 @@ def resolve_names(spark, sf):
   f AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY cost, player) AS rk, lead(cost) OVER (PARTITION BY pid ORDER BY cost, player) AS nx, row_number() OVER (PARTITION BY player ORDER BY cost, pid) AS rb FROM c)
   SELECT pid, player, {reals(cost='cost', margin='nx - cost')} FROM f WHERE rk = 1 AND rb = 1""")
 def match_ids(spark, sf):
-    b = player_box(spark, sf)
+    b = cut_lineage(player_box(spark, sf).select("game", "player", "points"))
     lines = b.select((F.col("player") * 7 + 3).alias("pid"), "game", (F.col("points") + 0.5 * (F.col("game") % 3 - 1)).alias("line"))
     return resolve.match_ids(lines, b.select("game", "player", F.col("points").alias("mu")))
 
