@@ -71,22 +71,47 @@ def _design(feats: list[str], target: str) -> list[Column]:
     return [F.lit(1.0), F.col(target).cast("double"), *x, *miss]
 
 
+#: More products than this are summed as matrix products of Arrow batches: aggregates of that many columns are not compiled.
+MOST_COLUMNS = 100
+
+
 def cross_products(df: DataFrame, by: list[str], feats: list[str], target: str, weight: Column | None = None) -> DataFrame:
-    """See below; with `weight` the unweighted sums are kept beside the weighted ones as `plain`."""
-    if weight is None:
-        return _products(df, by, feats, target, F.lit(1.0)).withColumn("plain", F.col("xx"))
+    """Sums of all pairwise products of the design per group: everything a ridge fit needs, in one
+    map-side-combining pass. Missing flags are part of the design, so the sums stay valid whatever
+    value is imputed later. With `weight` the unweighted sums are kept beside the weighted ones as `plain`."""
     v = _design(feats, target)
     pairs = [v[i] * v[j] for i in range(len(v)) for j in range(i, len(v))]
+    if len(pairs) > MOST_COLUMNS:
+        return _products_of_batches(df, by, v, weight)
+    if weight is None:
+        return df.groupBy(*by).agg(F.array(*[F.sum(x) for x in pairs]).alias("xx")).withColumn("plain", F.col("xx"))
     return df.withColumn("_w", weight).groupBy(*by).agg(F.array(*[F.sum(F.col("_w") * x) for x in pairs]).alias("xx"), F.array(*[F.sum(x) for x in pairs]).alias("plain"))
 
 
-def _products(df: DataFrame, by: list[str], feats: list[str], target: str, w: Column) -> DataFrame:
-    """Sums of all pairwise products of the design per group: everything a ridge fit needs, in one
-    map-side-combining pass. Missing flags are part of the design, so the sums stay valid whatever
-    value is imputed later."""
-    v = _design(feats, target)
-    sums = [F.sum(w * v[i] * v[j]) for i in range(len(v)) for j in range(i, len(v))]
-    return df.groupBy(*by).agg(F.array(*sums).alias("xx"))
+def _products_of_batches(df: DataFrame, by: list[str], v: list[Column], weight: Column | None) -> DataFrame:
+    """A task adds up one matrix per group, the matrices of all tasks are added by entry. A missing target adds nothing."""
+    names = [f"_v{i}" for i in range(len(v))]
+    v = [v[0], F.coalesce(v[1], F.lit(0.0)), *v[2:]]
+    d = df.select(*by, (F.lit(1.0) if weight is None else weight).cast("double").alias("_w"), *[c.alias(n) for c, n in zip(v, names)])
+    upper, weighted = np.triu_indices(len(v)), weight is not None
+
+    def add(batches):
+        sums: dict[tuple, list] = {}
+        for b in batches:
+            for key, g in b.groupby(by, sort=False, dropna=False):
+                x, w = g[names].to_numpy(float), g["_w"].to_numpy(float)
+                plain = x.T @ x
+                both = [(x * w[:, None]).T @ x if weighted else plain, plain]
+                old = sums.get(key)
+                sums[key] = both if old is None else [p + q for p, q in zip(old, both)]
+        for key, (xx, plain) in sums.items():
+            yield pd.DataFrame({**{c: [k] for c, k in zip(by, key)}, "xx": [xx[upper]], "plain": [plain[upper]]})
+
+    kinds = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c in by)
+    parts = d.mapInPandas(add, f"{kinds}, xx array<double>, plain array<double>")
+    entry = parts.select(*by, F.posexplode(F.arrays_zip("xx", "plain")).alias("i", "p")).groupBy(*by, "i").agg(F.sum("p.xx").alias("v"), F.sum("p.plain").alias("u"))
+    packed = entry.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "v", "u"))).alias("p"))
+    return packed.select(*by, F.transform("p", lambda x: x["v"]).alias("xx"), F.transform("p", lambda x: x["u"]).alias("plain"))
 
 
 def _imputed(xx: np.ndarray, med: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
@@ -173,6 +198,21 @@ def fit_mean_models(train: DataFrame, feats: list[str], target: str = "resid", a
     return ridge_coefficients(stats, "season", meds, feats, alpha)
 
 
+def fit_nested_models(train: DataFrame, sets: dict[str, list[str]], target: str = "resid", alpha: float = 50.0) -> dict[str, DataFrame]:
+    """`fit_mean_models` of several sets of features that the largest set holds: its sums and medians serve all of them."""
+    feats = max(sets.values(), key=len)
+    stats = cut_lineage(earlier_sums(cross_products(train, ["season"], feats, target), "season"))        # one row per season
+    meds = medians_of_earlier_seasons(train, "season", feats)
+    at = {p: i for i, p in enumerate(zip(*np.triu_indices(2 + 2 * len(feats))))}
+    out = {}
+    for name, few in sets.items():
+        cols = [0, 1, *[2 + feats.index(f) for f in few], *[2 + len(feats) + feats.index(f) for f in few]]
+        entries = [at[min(cols[i], cols[j]), max(cols[i], cols[j])] for i in range(len(cols)) for j in range(i, len(cols))]
+        part = lambda c: F.transform(F.array(*[F.lit(int(e)) for e in entries]), lambda e: F.get(c, e)).alias(c)
+        out[name] = ridge_coefficients(stats.select("season", part("xx"), part("plain")), "season", meds, few, alpha)
+    return out
+
+
 MODEL = ["med", "coef", "mean", "sd", "intercept", "y_sd"]
 
 

@@ -54,14 +54,14 @@ def ladder_walk_forward(spark, sf):
 
     d = cut_lineage(spine.ladder_frame(ladder_games(spark, sf)).withColumns({"resid": F.col("total") - F.col("line"), "eligible": F.col("game_key") % 10 != 0})
                     .select("game_key", "season", "resid", "eligible", *spine.feature_set("F8_trends")))
-    out = None
-    for rung in ("F2_ratings", "F4_matchup", "F8_trends"):
-        feats = spine.feature_set(rung)
-        m = models.fit_mean_models(d.where("eligible"), feats)
-        p = d.join(F.broadcast(m), "season").select("season", F.lit(rung).alias("rung"), ((F.col("resid") - models.linear_prediction(feats)) ** 2).alias("e"))       # one row per season
-        r = p.groupBy("season", "rung").agg(F.count("*").alias("n"), F.sqrt(F.avg("e")).alias("rmse"))
-        out = r if out is None else out.unionByName(r)
-    return out
+    sets = {rung: spine.feature_set(rung) for rung in ("F2_ratings", "F4_matchup", "F8_trends")}
+    p = d
+    for rung, m in models.fit_nested_models(d.where("eligible"), sets).items():
+        e = (F.col("resid") - models.linear_prediction(sets[rung])) ** 2
+        p = p.join(F.broadcast(m), "season").withColumn(f"e_{rung}", e).drop(*models.MODEL)           # one row per season
+    g = p.groupBy("season").agg(F.count("*").alias("n"), *[F.sqrt(F.avg(f"e_{r}")).alias(r) for r in sets])
+    rungs = F.explode(F.array(*[F.struct(F.lit(r).alias("rung"), F.col("n"), F.col(r).alias("rmse")) for r in sets]))
+    return g.select("season", rungs.alias("x")).select("season", "x.*")
 
 
 # The spine by market, the columns that past dates decide without ratings
